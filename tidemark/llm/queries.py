@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .decontaminate import matches, report
 from .packing import pack
+from .substring_dedup import dedup
 from .token_binary import read, segments
 from .token_counts import length_histogram
 from ._scratch import written
@@ -30,6 +33,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(segments(_table(spark, sf_dir, "documents"), vocabulary(), end=1), "uncompressed")
     return read(stored).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -39,9 +46,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dedup(_table(spark, sf_dir, "documents"), 50)
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_binary": op3_token_binary,
     "op4_token_counts": op4_token_counts,
+    "op8_substring_dedup": op8_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": oracles.OP2,
+    "op8_substring_dedup": oracles.OP8,
 }
-ORACLE_SQL: dict[str, str] = {}
