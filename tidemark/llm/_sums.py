@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def before(totals: DataFrame, key: str, value: str, fan: int = 4096) -> DataFrame:
+def before(totals: DataFrame, key: str, value: str, fan: int = 256) -> DataFrame:
     """(key, before): sum of ``value`` over the rows with smaller integer ``key``; one row a key.
 
     Runs of ``fan`` keys are summed in parallel, and only the runs' totals (one

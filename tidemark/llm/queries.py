@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import matches, report
+from .ngram_join import near_duplicates
 from .packing import pack
 from .substring_dedup import dedup
 from .token_binary import read, segments
@@ -46,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup(_table(spark, sf_dir, "documents"), 50)
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_token_binary": op3_token_binary,
     "op4_token_counts": op4_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {

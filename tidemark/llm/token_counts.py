@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import written
 from ._sums import before
 from ._text import slices
 
@@ -47,7 +48,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", end: b
     n_tokens ids).
     """
     h = encoded_lengths(docs, tokenizer, text, end).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-    h = h.withColumn("ids", F.col("n_tokens") * F.col("n_docs"))
+    h = written(h).withColumn("ids", F.col("n_tokens") * F.col("n_docs"))
+    # it was written, so texts are encoded once, not for each use below
     totals = h.agg(F.sum("n_docs").alias("docs_total"), F.sum("ids").alias("tokens_total"))
     h = h.join(before(h, "n_tokens", "n_docs").withColumnRenamed("before", "docs_shorter"), "n_tokens").join(before(h, "n_tokens", "ids").withColumnRenamed("before", "tokens_shorter"), "n_tokens")
     h = h.crossJoin(F.broadcast(totals))  # one row
