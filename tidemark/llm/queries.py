@@ -14,6 +14,7 @@ from .packing import pack
 from .substring_dedup import dedup
 from .token_binary import read, segments
 from .token_counts import length_histogram
+from .url_filter import judge
 from ._scratch import written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -51,6 +52,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
+#: (verdict, host/path)
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup(_table(spark, sf_dir, "documents"), 50)
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_binary": op3_token_binary,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
+    "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
