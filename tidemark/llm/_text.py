@@ -106,6 +106,15 @@ class Words:
             self._hash = mix(np.add.reduceat(_BYTE[self.mapped[self._inside]] * power[place], begin) + lengths.astype(U64) * _M)
         return self._hash
 
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes."""
+        lengths = np.minimum(self.ends - self.starts, size)
+        h = np.zeros(len(lengths), U64)
+        for i in range(size):
+            there = lengths > i
+            h[there] = mix(h[there] + _BYTE[self.mapped[self.starts[there] + i]])
+        return mix(h + U64(size))
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 

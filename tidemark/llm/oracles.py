@@ -37,3 +37,30 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, source AS host, text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, host, text, x, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, host, text, unnest(l) AS x FROM d)),
+full_line AS (SELECT doc_id, host, text, x, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM line WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM full_line GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+often AS (SELECT host, norm, count(DISTINCT text) AS docs FROM full_line GROUP BY host, norm),
+gone AS (
+  SELECT doc_id, sum(n) AS n FROM full_line JOIN often USING (host, norm) JOIN hosts USING (host)
+  WHERE docs > 20 AND docs > texts * CAST(0.05 AS DOUBLE) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - removed_words < CAST(0.3 AS DOUBLE) * n_words) AS kept
+FROM base
+"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, quality_classifier, quality_rules, toxicity
 from .decontaminate import matches, report
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -52,6 +52,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host/path)
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -65,16 +69,38 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = quality_classifier.train(docs, labels, _remainder(4) != 2)
+    s = quality_classifier.score(docs, machine)
+    return s.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, _remainder(5) != 0)
+    s = toxicity.score(docs, model)
+    return s.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_binary": op3_token_binary,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
+    "op6_quality_rules": op6_quality_rules,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracles.OP2,
+    "op6_quality_rules": oracles.OP6,
     "op8_substring_dedup": oracles.OP8,
 }
