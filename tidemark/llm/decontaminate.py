@@ -203,6 +203,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, slop: int | N
     return all_.select("doc_id", "n_words", "items", joined.alias("spans"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs."""
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind may clash
+    key, body = f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"
+    # told apart by the text too, for rows of equal or no doc_id
+    d = d.withColumn("k", F.struct(F.col(key).alias("id"), F.xxhash64(body).alias("hash")))
+    hit = matches(d, benchmark, n=n, doc_id="k", text=body, item_id=item_id, item_text=item_text).where(F.size("spans") > 0).select(F.col("doc_id.id").alias("h_id"), F.col("doc_id.hash").alias("h_hash")).distinct()
+    return d.join(hit, F.col("k.id").eqNullSafe(F.col("h_id")) & (F.col("k.hash") == F.col("h_hash")), "left_anti").drop("k").toDF(*docs.columns)
+
+
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from ``matches``."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])

@@ -206,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, k (hash of its text), class_id (least doc_id of its group), n_links (documents at the threshold or above)."""
+    """One row a document: doc_id, k (hash of its text), class_id and class_k (of its group's first document: least doc_id, null before all), n_links (documents at the threshold or above)."""
     runs = runs_for(threshold, recall)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
     meta = written(_described(d, n, runs))
@@ -236,11 +236,21 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     roots = components(links.select(F.col("c").alias("a"), F.col("to").alias("b")))
     classes = classes.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
     counted = links.groupBy("c").agg(F.sum("linked").alias("linked")).withColumnRenamed("c", "l_c")
-    classes = classes.join(counted, F.col("c") == F.col("l_c"), "left").select("c1", "c2", "docs", "doc_id", "root", F.coalesce("linked", F.lit(0)).alias("linked"))
-    named = classes.groupBy("root").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("root", "n_root")
-    classes = written(classes.join(named, F.col("root") == F.col("n_root")).select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "class_id", (F.col("linked") + F.col("docs") - 1).alias("n_links")))
+    classes = classes.join(counted, F.col("c") == F.col("l_c"), "left").select("c1", "c2", "docs", "doc_id", "k", "root", F.coalesce("linked", F.lit(0)).alias("linked"))
+    named = classes.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("lead")).withColumnRenamed("root", "n_root")
+    classes = written(classes.join(named, F.col("root") == F.col("n_root")).select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("lead.doc_id").alias("class_id"), F.col("lead.k").alias("class_k"), (F.col("linked") + F.col("docs") - 1).alias("n_links")))
     out = meta.join(classes, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("n_set") > 0), "left")
-    return out.select("doc_id", "k", F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "k", F.when(F.col("n_set") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n_set") > 0, F.col("class_k")).otherwise(F.col("k")).alias("class_k"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_each(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of each group, with the columns of ``docs``."""
+    found = near_duplicates(docs, n=n, threshold=threshold, recall=recall, doc_id=doc_id, text=text)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("k").eqNullSafe(F.col("class_k"))).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k")).distinct()
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind may clash
+    key, body = f"c{docs.columns.index(doc_id)}", f"c{docs.columns.index(text)}"
+    d = d.withColumn("k", F.xxhash64(body)).join(first, F.col(key).eqNullSafe(F.col("r_id")) & F.col("k").eqNullSafe(F.col("r_k")), "left_semi")
+    return d.dropDuplicates([key, "k"]).drop("k").toDF(*docs.columns)
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:

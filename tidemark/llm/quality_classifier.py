@@ -168,3 +168,16 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "k", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, score double")
+
+
+def keep(docs: DataFrame, machine: Machine, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+    names, at = docs.columns, docs.columns.index(text)
+    d = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind may clash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, f"c{at}"):
+            z, _ = machine.raw(*features(b.column(at)), b.num_rows)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) >= least))
+
+    return d.mapInArrow(run, d.schema).toDF(*names)

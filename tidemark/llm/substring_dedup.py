@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,39 +159,65 @@ def removals(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: st
     return copies.distinct().unionByName(alive)
 
 
+def _cut(texts: pa.Array, whole: pa.Array, starts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, words that go, and the others joined by one blank."""
+    w = Words(texts, SPACED)
+    gone, n = np.zeros(len(w.starts) + 1, np.int64), len(w.counts)
+    all_ = whole.fill_null(False).to_numpy(zero_copy_only=False)
+    for i in range(n):
+        if all_[i]:
+            gone[w.first[i]] += 1
+            gone[w.first[i + 1]] -= 1
+        elif starts[i].is_valid:
+            s = w.first[i] + starts[i].values.to_numpy()
+            np.add.at(gone, s, 1)
+            np.add.at(gone, s + length, -1)
+    stays = np.cumsum(gone[:-1]) == 0
+    # the bytes of words that stay, and a blank after each word
+    lengths = (w.ends - w.starts) * stays
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    number = np.concatenate([[0], np.cumsum(stays)])
+    place = np.arange(total[-1]) + np.repeat(w.starts - total[:-1], lengths)
+    out = np.full(total[-1] + number[-1], 0x20, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[(total[1:] + number[1:] - 1)[stays]] = False
+    out[keep] = w.data[place]
+    edge, flat = total[w.first] + number[w.first], out.tobytes()
+    kept = [flat[edge[i] : max(edge[i], edge[i + 1] - 1)] for i in range(n)]
+    return w.counts, w.counts - np.diff(number[w.first]), pa.array(kept, pa.binary()).cast(pa.string())
+
+
+def _with_removals(docs: DataFrame, length: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """``docs`` with columns renamed c0, c1, ... (names of any kind may clash), then whole and starts; place of the text."""
+    gone = removals(docs, length, doc_id, text)
+    d = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, at = f"c{docs.columns.index(doc_id)}", docs.columns.index(text)
+    joined = d.join(gone, F.col(key).eqNullSafe(F.col("r_id")) & F.xxhash64(f"c{at}").eqNullSafe(F.col("r_k")), "left")
+    return joined.select(*d.columns, "whole", "starts"), at
+
+
 def dedup(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, k, n_words, n_removed, kept (its other words, joined by one blank)."""
-    d = _text(docs, doc_id, text).join(removals(docs, length, doc_id, text), _same(), "left").select("doc_id", "k", "text", "whole", "starts")
+    """One row a document: doc_id, n_words, n_removed, kept (its other words, joined by one blank)."""
+    d, at = _with_removals(docs.select(doc_id, text), length, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            w = Words(b.column("text"), SPACED)
-            gone = np.zeros(len(w.starts) + 1, np.int64)
-            whole = b.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
-            for i in range(b.num_rows):
-                if whole[i]:
-                    gone[w.first[i]] += 1
-                    gone[w.first[i + 1]] -= 1
-                elif b.column("starts")[i].is_valid:
-                    s = w.first[i] + b.column("starts")[i].values.to_numpy()
-                    np.add.at(gone, s, 1)
-                    np.add.at(gone, s + length, -1)
-            stays = np.cumsum(gone[:-1]) == 0
-            # a byte each for words that stay, and a blank after each
-            lengths = (w.ends - w.starts) * stays
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            number = np.concatenate([[0], np.cumsum(stays)])
-            place = np.arange(total[-1]) + np.repeat(w.starts - total[:-1], lengths)
-            out = np.full(total[-1] + number[-1], 0x20, np.uint8)
-            keep = np.ones(len(out), bool)
-            keep[(total[1:] + number[1:] - 1)[stays]] = False
-            out[keep] = w.data[place]
-            edge = total[w.first] + number[w.first]
-            flat, kept = out.tobytes(), []
-            for i in range(b.num_rows):
-                kept.append(flat[edge[i] : max(edge[i], edge[i + 1] - 1)])
-            removed = w.counts - np.diff(number[w.first])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "k", "n_words", "n_removed", "kept"])
+        for b in slices(batches, "c1"):
+            n, removed, kept = _cut(b.column("c1"), b.column("whole"), b.column("starts"), length)
+            yield pa.RecordBatch.from_arrays([b.column("c0"), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), kept], ["doc_id", "n_words", "n_removed", "kept"])
+
+    kind = d.schema["c0"].dataType.simpleString()
+    return d.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+
+
+def cleaned(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with what repeats taken out of the text; texts that lose nothing stay as they are, documents that lose all words go."""
+    d, at = _with_removals(docs, length, doc_id, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, f"c{at}"):
+            n, removed, kept = _cut(b.column(f"c{at}"), b.column("whole"), b.column("starts"), length)
+            new = pc.if_else(pa.array(removed > 0), kept, b.column(f"c{at}").cast(pa.string()))
+            cols = [new if i == at else b.column(i) for i in range(b.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-2]).filter(pa.array((removed == 0) | (removed < n)))
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, k long, n_words long, n_removed long, kept string")
+    return d.mapInArrow(run, d.drop("whole", "starts").schema).toDF(*docs.columns)

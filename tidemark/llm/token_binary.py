@@ -28,6 +28,8 @@ from ._text import slices
 
 #: Ids after which a segment is closed.
 SEGMENT = 4 << 20
+#: Most segments whose starts (24 bytes each) are broadcast.
+BROADCAST = 200_000
 
 
 def segments(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", size: int = SEGMENT) -> DataFrame:
@@ -97,5 +99,7 @@ def read(stored: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     base = stored.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("seg_base")).join(base, "part")
     base = base.select("part", "segment", (F.col("seg_base") + F.col("part_base")).alias("base"))
+    # a row for each SEGMENT ids: small, but its size is checked, and past the bound both sides are shuffled
+    base = F.broadcast(base) if stored.count() <= BROADCAST else base
     rows = stored.select("part", "segment", "doc_ids", "doc_tokens", "payload").mapInArrow(decode, schema)
     return rows.join(base, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("in_segment")).alias("start"), "n_tokens", "ids")
