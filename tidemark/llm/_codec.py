@@ -97,8 +97,25 @@ def encode(ids: np.ndarray, wide: bool = False) -> bytes:
     model = _Model(lanes, wide)
     slots = np.zeros(lanes << _H0, np.uint16)
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    words = np.zeros((lanes, BLOCK + 4), np.uint32)
+    words = np.zeros((lanes, (2 if wide else 1) * BLOCK + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
+
+    def push(m: int, add: np.ndarray, width: np.ndarray) -> None:
+        """Go on with the part of each interval that begins ``add`` further and has this width."""
+        new = low[:m] + add
+        over = np.flatnonzero(new < add)
+        j = used[over] - 1
+        while len(over):  # carry into words that are out already; seldom into more than one
+            words[over, j] += np.uint32(1)
+            wrapped = words[over, j] == 0
+            over, j = over[wrapped], j[wrapped] - 1
+        small = width < U(1 << 32)
+        out = np.flatnonzero(small)
+        words[out, used[out]] = (new[out] >> _32).astype(np.uint32)
+        used[out] += 1
+        shift = small.astype(U) << U(5)
+        low[:m], span[:m] = new << shift, width << shift
+
     for i in range(BLOCK if lanes > 1 else rest):
         if i == rest and lanes > 1:
             model.keep(lanes - 1)
@@ -114,21 +131,13 @@ def encode(ids: np.ndarray, wide: bool = False) -> bytes:
         before, own, among = model.span(event)
         choice = np.where(event == 3, x, np.where(event == 2, slot, 0)).astype(U)
         r = span[:m] // model.total
-        r2 = r * own // among
-        add = r * before + r2 * choice
-        new = low[:m] + add
-        over = np.flatnonzero(new < add)
-        j = used[over] - 1
-        while len(over):  # carry into words that are out already; seldom into more than one
-            words[over, j] += np.uint32(1)
-            wrapped = words[over, j] == 0
-            over, j = over[wrapped], j[wrapped] - 1
-        small = r2 < U(1 << 32)
-        out = np.flatnonzero(small)
-        words[out, used[out]] = (new[out] >> _32).astype(np.uint32)
-        used[out] += 1
-        shift = small.astype(U) << U(5)
-        low[:m], span[:m] = new << shift, r2 << shift
+        if wide:
+            push(m, r * before, r * own)
+            r2 = span[:m] // among
+            push(m, r2 * choice, r2)
+        else:
+            r2 = r * own // among
+            push(m, r * before + r2 * choice, r2)
         model.end(event, x)
     for half in (_32, U(0)):
         words[np.arange(lanes), used] = (low >> half & _LOW).astype(np.uint32)
@@ -160,6 +169,15 @@ def decode(segment: bytes) -> np.ndarray:
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     code = (words[:, 0].astype(U) << _32) | words[:, 1].astype(U)
     nxt = np.full(lanes, 2, np.int64)
+
+    def pull(m: int, c: np.ndarray, width: np.ndarray) -> None:
+        """Go on in intervals of this width, with ``c`` the code's distance from their beginning."""
+        small = width < U(1 << 32)
+        more = words[model.lane, np.minimum(nxt[:m], words.shape[1] - 1)].astype(U)
+        code[:m] = np.where(small, (c << _32) | more, c)
+        nxt[:m] += small
+        span[:m] = width << (small.astype(U) << U(5))
+
     for i in range(BLOCK if lanes > 1 else rest):
         if i == rest and lanes > 1:
             model.keep(lanes - 1)
@@ -170,18 +188,16 @@ def decode(segment: bytes) -> np.ndarray:
         s = model.sums
         event = (t >= (s & _F16)).astype(np.int64) + (t >= (s >> U(16) & _F16)) + (t >= (s >> _32 & _F16))
         before, own, among = model.span(event)
-        r2 = r * own // among
         c = c - r * before
+        if wide:
+            pull(m, c, r * own)
+            c, r2 = code[:m].copy(), span[:m] // among
+        else:
+            r2 = r * own // among
         choice = np.minimum(c // r2, among - U(1))
-        c -= r2 * choice
         met = model.met[model.lane, np.where(event == 2, choice, U(0)).astype(np.int64)]
         x = np.where(event == 0, model.p2 - np.uint32(1), np.where(event == 1, model.p1 - np.uint32(1), np.where(event == 2, met, choice.astype(np.uint32))))
-        small = r2 < U(1 << 32)
-        shift = small.astype(U) << U(5)
-        # the low half of a lane that does not shift keeps its code
-        c = np.where(small, (c << _32) | words[model.lane, np.minimum(nxt[:m], words.shape[1] - 1)].astype(U), c)
-        nxt[:m] += small
-        code[:m], span[:m] = c, r2 << shift
+        pull(m, c - r2 * choice, r2)
         grid[i, :m] = x
         model.end(event, x)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
