@@ -45,9 +45,9 @@ def parse_tsf(lines: DataFrame, attributes: Sequence[tuple[str, str]]) -> DataFr
     data = lines.where(~F.col("value").rlike(r"^\s*([#@]|$)") & (F.size(parts) == len(attributes) + 1))
     cols = []
     for i, (name, kind) in enumerate(attributes):
-        raw = F.trim(parts[i])
+        raw = F.trim(F.get(parts, i))
         cols.append({"date": header_date(raw), "numeric": raw.try_cast("double"), "integer": raw.try_cast("long")}.get(kind, raw).alias(name))
-    values = F.transform(F.split(parts[len(attributes)], ","), lambda v: F.trim(v).try_cast("double"))
+    values = F.transform(F.split(F.get(parts, len(attributes)), ","), lambda v: F.trim(v).try_cast("double"))
     return data.select(*cols, values.alias("series_value"))
 
 
