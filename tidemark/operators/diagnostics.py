@@ -69,3 +69,51 @@ def residual_moments(rows: DataFrame, by: list[str], residual: str) -> DataFrame
     skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("g1"))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
     return g.select(*by, "n", "mean", "sd", "median", "mad", skew.alias("skew"), kurt.alias("kurtosis"), (n / 6 * (F.col("g1") ** 2 + F.col("g2") ** 2 / 4)).alias("jarque_bera"))
+
+
+def chi_square_tail(x, df: int):
+    """Upper tail of the chi-square distribution with an even number of degrees of freedom: a finite sum."""
+    if df % 2:
+        raise ValueError("an even number of degrees of freedom is needed")
+    half, term = x / 2, F.lit(1.0)
+    total = term
+    for i in range(1, df // 2):
+        term = term * half / i
+        total = total + term
+    return F.exp(-half) * total
+
+
+def dickey_fuller(obs: DataFrame) -> DataFrame:
+    """n, slope and t of the regression of each change on the value before it, with a constant."""
+    o = obs.withColumn("x", F.lag("y").over(along())).where("x is not null").withColumn("d", F.col("y") - F.col("x"))
+    g = o.groupBy("series_id").agg(F.count("*").alias("n"), F.regr_slope(F.col("d"), F.col("x")).alias("slope"), F.regr_sxx(F.col("d"), F.col("x")).alias("sxx"), F.regr_syy(F.col("d"), F.col("x")).alias("syy"))
+    rss = F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")
+    se = F.sqrt(rss / (F.col("n") - 2) / F.nullif(F.col("sxx"), F.lit(0.0)))
+    return g.select("series_id", "n", "slope", (F.col("slope") / F.nullif(se, F.lit(0.0))).alias("t"))
+
+
+def level_stationarity(obs: DataFrame, lags: int = 4) -> DataFrame:
+    """Mean square of the cumulative sums about the mean, over the long-run variance with Bartlett weights."""
+    from pyspark.sql import Window
+
+    o = obs.withColumn("d", F.col("y") - F.avg("y").over(whole()))
+    o = o.withColumn("s", F.sum("d").over(along().rowsBetween(Window.unboundedPreceding, 0)))
+    for k in range(1, lags + 1):
+        o = o.withColumn(f"l{k}", F.lag("d", k).over(along()))
+    n = F.count("*")
+    long_run = F.sum(F.col("d") * F.col("d"))
+    for k in range(1, lags + 1):
+        long_run = long_run + 2 * (1 - k / (lags + 1)) * F.sum(F.col("d") * F.col(f"l{k}"))
+    return o.groupBy("series_id").agg(n.alias("n"), (F.sum(F.col("s") * F.col("s")) / n / F.nullif(long_run, F.lit(0.0))).alias("statistic"))
+
+
+def strengths(obs: DataFrame, m: int = 12) -> DataFrame:
+    """trend and seasonal strength by classical decomposition: a centred mean over m, and month means of what it leaves; null for fewer than 2m rows."""
+    from pyspark.sql import Window
+
+    h = m // 2
+    a, b = (F.avg("y").over(along().rowsBetween(lo, hi)) for lo, hi in ((-h, h - 1), (1 - h, h)))
+    o = obs.where(F.col("n") >= 2 * m).withColumn("trend", F.when((F.col("t") >= h) & (F.col("t") < F.col("n") - h), (a + b) / 2)).where("trend is not null")
+    o = o.withColumn("x", F.col("y") - F.col("trend")).withColumn("season", F.avg("x").over(Window.partitionBy("series_id", F.month("ds")))).withColumn("r", F.col("x") - F.col("season"))
+    part = lambda c: F.greatest(F.lit(0.0), 1 - F.var_pop("r") / F.nullif(F.var_pop(c), F.lit(0.0)))
+    return o.withColumn("ts", F.col("trend") + F.col("r")).groupBy("series_id").agg(part("ts").alias("trend_strength"), part("x").alias("seasonal_strength"))
