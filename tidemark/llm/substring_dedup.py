@@ -133,10 +133,12 @@ def removals(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: st
     # doc_id null sorts first, as its own least value
     rank = lambda c: F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("id"))
     classes = long.groupBy("c1", "c2").agg(F.min(rank("doc_id")).alias("least")).withColumnRenamed("c1", "d1").withColumnRenamed("c2", "d2")
+    classes = written(classes)  # apart from the join, so that Spark can split a class of very many copies there
     judged = long.join(classes, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).withColumn("leads", rank("doc_id") == F.col("least"))
     copies = judged.where(~F.col("leads")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
     anchors = judged.where("leads").select("doc_id", "k", F.explode("anchors").alias("a"))
     repeated = anchors.groupBy("a").agg(F.min(rank("doc_id")).alias("lo"), F.max(rank("doc_id")).alias("hi")).where("lo < hi").select(F.col("a").alias("ra"))
+    repeated = written(repeated)
     alive = anchors.join(repeated, F.col("a") == F.col("ra")).groupBy("doc_id", "k").agg(F.collect_set("a").alias("alive")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "alive", F.lit(None).cast("array<int>").alias("starts"))
     alive = written(alive)
     for level in rest:
@@ -144,6 +146,7 @@ def removals(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: st
         found = written(_hashed(candidates, base, length, level))
         each = found.select("doc_id", "k", F.explode(F.arrays_zip("h", "v", "at")).alias("x")).select("doc_id", "k", "x.*")
         seen = each.groupBy("h", "v").agg(F.min(rank("doc_id")).alias("lo"), F.max(rank("doc_id")).alias("hi")).where("lo < hi").select(F.col("h").alias("sh"), F.col("v").alias("sv"), "lo")
+        seen = written(seen)
         again = each.join(seen, (F.col("h") == F.col("sh")) & (F.col("v") == F.col("sv")))
         if level == length:
             again = again.where(rank("doc_id") > F.col("lo"))
