@@ -105,6 +105,7 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     done = None
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("run", "leaf").agg(F.count("*").alias("members")).where("members > 1").select(F.col("run").alias("s_run"), F.col("leaf").alias("s_leaf"), "members")
+        sizes = written(sizes)  # apart from the join, so that Spark can split a large node there
         level = level.join(sizes, (F.col("run") == F.col("s_run")) & (F.col("leaf") == F.col("s_leaf"))).select("c", "run", "t", "leaf", "members")
         if depth < DEPTH:
             level = written(level)
@@ -223,6 +224,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     for r in range(runs - 1):
         owned |= (F.col("l_run") > r) & (F.col(f"lo{r}") == F.col(f"hi{r}")) & (F.col(f"lo{r}") != 0)
     fresh = members.groupBy(F.col("run").alias("l_run"), F.col("leaf").alias("l_leaf")).agg(F.count("*").alias("size"), *bounds).where(~owned).select("l_run", "l_leaf")
+    fresh = written(fresh)
     work = members.join(fresh, (F.col("run") == F.col("l_run")) & (F.col("leaf") == F.col("l_leaf")))
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("c", F.lit(7)), blocks).cast("int")
