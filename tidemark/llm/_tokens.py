@@ -2,8 +2,9 @@
 
 The word-level vocabulary drops white space and never joins characters across
 it, so the ids of a text are the ids of its blank-separated pieces in order.
-Pieces repeat, so each worker keeps the ids of the pieces it has met (a bounded
-memo, cleared when full) and asks the library for new ones alone.
+Pieces repeat: Arrow numbers the distinct ones of many texts at once, and each
+worker keeps the ids of those it has met (a bounded memo, cleared when full) and
+asks the library for new ones alone.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Encoder:
         self.at = np.zeros(MEMO + 1, np.int64)  # ids of piece i: ids[at[i]:at[i + 1]]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([x[:-1].decode() for x in pieces], add_special_tokens=False)]
         k, lengths = len(self.memo), np.fromiter(map(len, got), np.int64, len(got))
         if k + len(pieces) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(k + len(pieces) + 1 - len(self.at), np.int64)])
@@ -73,13 +74,17 @@ class Encoder:
         keep = np.ones(len(out), bool)
         keep[at[order] + np.arange(len(at))] = False
         out[keep] = data
-        flat = out.tobytes().split(b" ")[:-1]
-        blanks = np.concatenate([[0], np.cumsum(out == 0x20)])[ends]
-        counts = np.diff(blanks, prepend=0)
-        new = set(flat).difference(self.memo)
+        blank = np.flatnonzero(out == 0x20)
+        counts = np.diff(np.searchsorted(blank, ends), prepend=0)
+        # each piece with its blank; equal pieces meet before any becomes a Python object
+        off = np.concatenate([[0], blank + 1]).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(blank), [None, pa.py_buffer(off), pa.py_buffer(out)]).dictionary_encode()
+        keys = own.dictionary.to_pylist()
+        new = [x for x in keys if x not in self.memo]
         if new:
-            self._learn(list(new))
-        return np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat)), counts
+            self._learn(new)
+        numbers = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        return numbers[own.indices.to_numpy()], counts
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Ids in each text."""

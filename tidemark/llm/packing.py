@@ -47,7 +47,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, doc_id: str, text: str,
         from ._tokens import encoder
 
         e, part, row, queued = encoder(tokenizer), TaskContext.get().partitionId(), 0, {}
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             flat, counts = e.encode(b.column("text"), end)
             off = np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize
             col = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])

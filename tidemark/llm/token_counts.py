@@ -32,7 +32,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", end: bo
         from ._tokens import encoder
 
         e, seen = encoder(tokenizer), Counter()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             seen.update((e.lengths(b.column("text")) + int(end)).tolist())
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
