@@ -5,7 +5,7 @@ import pandas as pd
 
 from tests.conftest import SMALL
 from tests.test_series import loop_aci, months
-from tidemark.operators import experiments, models
+from tidemark.operators import experiments, models, smoothing
 from tidemark.plans.substrate import numbered
 from tidemark.queries import QUERIES
 
@@ -108,3 +108,43 @@ def test_evaluation_of_both(spark):
     m = QUERIES["evaluate_proposed"](spark, SMALL).toPandas()
     assert set(m.model) == {"s3", "fastsketch", "prior"} and (m.n_points == 12).all()
     assert m.ecp.between(0, 1).all() and (m.mase > 0).all() and loop_aci([1.0], [1.0])[0][2] == 0.1
+
+
+def frame(spark, y):
+    return numbered(spark.createDataFrame([("s", d, float(v)) for d, v in zip(months(len(y)), y)], "series_id string, ds date, y double"))
+
+
+def test_holt_winters_by_hand(spark):
+    y = one_series(60)
+    got = smoothing.holt_winters(frame(spark, y))
+    for i in (0, 7, len(smoothing.SETTINGS) - 1):
+        a, b, g, p = smoothing.SETTINGS[i]
+        level, trend, season, want = y[0], 0.0, [0.0] * 12, []
+        for t, v in enumerate(y):
+            s = season[t % 12]
+            want.append(level + p * trend + s)
+            new = a * (v - s) + (1 - a) * (level + p * trend)
+            trend = b * (new - level) + (1 - b) * p * trend
+            season[t % 12] = g * (v - new) + (1 - g) * s
+            level = new
+        assert np.allclose([r.pred for r in got.where(f"weight = {i}").orderBy("t").collect()], want)
+
+
+def test_window_regressions_by_hand(spark):
+    y = one_series(80)
+    x, z = np.array([y[i - 12 : i] for i in range(12, 80)]), y[12:]
+    fit = np.arange(12, 80) < 68
+    w, b = ridge(x[fit], z[fit])
+    assert np.allclose([r.pred for r in models.window_regression(frame(spark, y), "linear").orderBy("ds").collect()], (x @ w + b)[~fit])
+    d = x - x[:, -1:]
+    w, b = ridge(d[fit], (z - x[:, -1])[fit])
+    assert np.allclose([r.pred for r in models.window_regression(frame(spark, y), "nlinear").orderBy("ds").collect()], (d @ w + b + x[:, -1])[~fit])
+    for kind in ("dlinear", "kernel"):
+        rows = models.window_regression(frame(spark, y), kind).orderBy("ds").collect()
+        assert len(rows) == 12 and np.abs(np.array([r.pred for r in rows]) - y[68:]).mean() < 1.5
+    ar = models.autoregression(frame(spark, y), 2).orderBy("ds").collect()
+    for k, r in enumerate(ar):
+        h = y[: 68 + k]
+        m = np.column_stack([np.ones(len(h) - 2), h[1:-1], h[:-2]])
+        w = np.linalg.lstsq(m, h[2:], rcond=None)[0]
+        assert np.isclose(r.pred, w @ [1, h[-1], h[-2]])

@@ -127,3 +127,60 @@ def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
         return pd.DataFrame({"series_id": g.series_id.to_numpy()[at], "ds": g.ds.to_numpy()[at], "y": y[at], "pred": [float(predict(y[:i])) for i in at]})
 
     return o.groupBy("series_id").applyInPandas(run, "series_id string, ds date, y double, pred double")
+
+KINDS = ("linear", "nlinear", "dlinear", "kernel")
+
+
+def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int = 12, alpha: float = 1.0) -> DataFrame:
+    """One-step forecasts of test rows by regression on the ``width`` values before each.
+
+    linear: ridge on the window; nlinear: on its differences from its last
+    value; dlinear: on its running mean and what that leaves; kernel: ridge with
+    a Gaussian kernel on the standardised window.  Windows are columns; a
+    grouped map solves one series' system.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind: {kind}")
+    o = splits.tail(obs, horizon).withColumn("x", F.collect_list("y").over(along().rowsBetween(-width, -1)))
+    o = o.where((F.size("x") == width) & (F.col("t") >= F.col("n") - MOST)).select("series_id", "ds", "t", "y", "split", "x")
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        x, y, train = np.array(g.x.tolist(), float), g.y.to_numpy(float), (g.split == "train").to_numpy()
+        base = np.zeros(len(g))
+        if train.sum() < 3:
+            pred = x[:, -1]
+        elif kind == "kernel":
+            c, s = x[train].mean(), x[train].std() or 1.0
+            z = (x - c) / s
+            near = lambda u, v: np.exp(-((u[:, None, :] - v[None, :, :]) ** 2).sum(2) / width)
+            w = np.linalg.solve(near(z[train], z[train]) + alpha * np.eye(train.sum()), (y[train] - c) / s)
+            pred = near(z, z[train]) @ w * s + c
+        else:
+            if kind == "nlinear":
+                base, x = x[:, -1], x - x[:, -1:]
+            elif kind == "dlinear":
+                k = np.ones(5) / 5
+                trend = np.array([np.convolve(np.pad(r, 2, mode="edge"), k, "valid") for r in x])
+                x = np.hstack([trend, x - trend])
+            w, b = _ridge(x[train], (y - base)[train], alpha)
+            pred = x @ w + b + base
+        test = ~train
+        return pd.DataFrame({"series_id": g.series_id[test], "ds": g.ds[test], "y": y[test], "pred": pred[test]})
+
+    return o.groupBy("series_id").applyInPandas(fit, "series_id string, ds date, y double, pred double")
+
+
+def autoregression(obs: DataFrame, lags: int = 3, horizon: int = 12) -> DataFrame:
+    """Least squares on the last ``lags`` values and a constant, refitted before every test row on all that came before."""
+
+    def predict(y: np.ndarray) -> float:
+        y = y[-MOST:]
+        k = min(lags, max(1, len(y) // 3))
+        if len(y) < 2 * k + 2:
+            return y[-1]
+        x = np.column_stack([np.ones(len(y) - k)] + [y[k - i : len(y) - i] for i in range(1, k + 1)])
+        w = np.linalg.lstsq(x, y[k:], rcond=None)[0]
+        return w[0] + w[1:] @ y[-1 : -k - 1 : -1]
+
+    return custom(obs, predict, horizon)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import experiments, models, splits, statistics
+from tidemark.operators import experiments, metrics, models, smoothing, splits, statistics
 from tidemark.plans.model_queries import _FC, _R, scored
 from tidemark.plans.registry import query
 from tidemark.plans.substrate import BRAND_SQL, brand_monthly, line_monthly, table
@@ -84,3 +84,25 @@ def common_ids(spark, d):
     """Series with both training and test rows."""
     s = splits.tail(brand_monthly(spark, d), 12)
     return s.where("split = 'train'").select("series_id").intersect(s.where("split = 'test'").select("series_id"))
+
+
+@query()
+def prior_holt_winters(spark, d):
+    """Additive level, damped trend and season; the best of a grid on training rows."""
+    o = splits.tail(brand_monthly(spark, d), 12)
+    return smoothing.best_weight(smoothing.holt_winters(o)).select("series_id", "ds", "split", "weight", "pred")
+
+
+@query()
+def window_models(spark, d):
+    """Linear, last-value, trend-and-rest and kernel regressions on windows: errors of each series."""
+    o, out = brand_monthly(spark, d), None
+    for kind in models.KINDS:
+        m = models.window_regression(o, kind).groupBy("series_id").agg(metrics.point()["mae"].alias("mae"), F.count("*").alias("n_points")).withColumn("model", F.lit(kind))
+        out = m if out is None else out.unionByName(m)
+    return out.select("series_id", "model", "n_points", "mae")
+
+
+@query()
+def autoregression(spark, d):
+    return models.autoregression(brand_monthly(spark, d), 3)
