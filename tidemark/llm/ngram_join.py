@@ -42,7 +42,7 @@ POOL = 4
 #: Nodes of more sets are split again while levels remain.
 SPLIT = 256
 #: Sets compared in one piece.
-BLOCK = 512
+BLOCK = 256
 
 
 def runs_for(threshold: float, recall: float) -> int:
