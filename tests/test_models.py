@@ -106,7 +106,7 @@ def test_ablation_agrees_with_the_model(spark):
 
 def test_evaluation_of_both(spark):
     m = QUERIES["evaluate_proposed"](spark, SMALL).toPandas()
-    assert set(m.model) == {"s3", "fastsketch", "prior"} and (m.n_points == 12).all()
+    assert set(m.model) == {"reservoir", "sketch", "prior"} and (m.n_points == 12).all()
     assert m.ecp.between(0, 1).all() and (m.mase > 0).all() and loop_aci([1.0], [1.0])[0][2] == 0.1
 
 

@@ -14,12 +14,12 @@ WITH = f"WITH {BRAND_SQL}"
 
 
 @query()
-def fastsketch_forecast(spark, d):
+def sketch_forecast(spark, d):
     return models.sketch(brand_monthly(spark, d)).where("block = 'test'").drop("block")
 
 
 @query()
-def s3_forecast(spark, d):
+def reservoir_forecast(spark, d):
     return models.reservoir(brand_monthly(spark, d)).where("block = 'test'").drop("block")
 
 

@@ -89,11 +89,11 @@ def evaluate_proposed(spark, d):
     """Both fitted models and their prior, with adaptive intervals calibrated on the conformal block: metrics of each series."""
     obs = splits.tail(brand_monthly(spark, d), 12)
     rows = None
-    for name, f in (("s3", models.reservoir), ("fastsketch", models.sketch)):
+    for name, f in (("reservoir", models.reservoir), ("sketch", models.sketch)):
         m = f(brand_monthly(spark, d)).where("block in ('conformal', 'test')")
         one = m.select("series_id", F.lit(name).alias("model"), "ds", "y", "pred", "block")
         rows = one if rows is None else rows.unionByName(one)
-        if name == "s3":
+        if name == "reservoir":
             rows = rows.unionByName(m.select("series_id", F.lit("prior").alias("model"), "ds", "y", F.col("p").alias("pred"), "block"))
     rows = rows.join(obs.select("series_id", "ds", "t"), ["series_id", "ds"])
     iv = conformal.adaptive(rows, ["series_id", "model"]).where("block = 'test'")

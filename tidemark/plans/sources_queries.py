@@ -276,14 +276,14 @@ _PARAMS = "SELECT p_partkey, p_size AS n, (p_partkey % 40 + 1)::INTEGER AS lookb
 
 
 @query(f"""WITH c AS ({_PARAMS}) SELECT p_partkey, greatest(1, least(lookback, n - 2))::INTEGER AS lookback, least(p, n // 4)::INTEGER AS p, greatest(1, least(lags, n // 3))::INTEGER AS ar_lags,
-greatest(1, least(lags, n // 4))::INTEGER AS s3_lags, n >= 26 AS seasonal, greatest(CAST(0.55 AS DOUBLE), least(CAST(0.85 AS DOUBLE), ratio)) AS ratio FROM c""", "ratio")
+greatest(1, least(lags, n // 4))::INTEGER AS state_lags, n >= 26 AS seasonal, greatest(CAST(0.55 AS DOUBLE), least(CAST(0.85 AS DOUBLE), ratio)) AS ratio FROM c""", "ratio")
 def feasible_params(spark, d):
     """Parameters held to what a series of n rows allows."""
     n, k = F.col("p_size"), F.col("p_partkey")
     clip = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(v, hi)).cast("int")
     quarter, third = F.floor(n / 4), F.floor(n / 3)
     ratio = F.greatest(F.lit(0.55), F.least(F.lit(0.85), F.col("p_retailprice") / 2000))
-    return table(spark, d, "part").select("p_partkey", clip(k % 40 + 1, 1, n - 2).alias("lookback"), F.least(k % 7, quarter).cast("int").alias("p"), clip(k % 24 + 1, 1, third).alias("ar_lags"), clip(k % 24 + 1, 1, quarter).alias("s3_lags"), (n >= 26).alias("seasonal"), ratio.alias("ratio"))
+    return table(spark, d, "part").select("p_partkey", clip(k % 40 + 1, 1, n - 2).alias("lookback"), F.least(k % 7, quarter).cast("int").alias("p"), clip(k % 24 + 1, 1, third).alias("ar_lags"), clip(k % 24 + 1, 1, quarter).alias("state_lags"), (n >= 26).alias("seasonal"), ratio.alias("ratio"))
 
 
 @query("""WITH p AS (SELECT DISTINCT p_partkey % 3 AS g, p_brand FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#3%'),
