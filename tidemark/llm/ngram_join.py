@@ -195,8 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("m_a"), F.least("a", "b").alias("m"))
+        least = written(least)  # apart from the join, so that Spark can split a node of very many edges there
         large = both.where("b > a").join(least, F.col("a") == F.col("m_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "m_a")
+        large = written(large)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "m_a"))
         small = large.join(least, F.col("a") == F.col("m_a")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = written(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first()
