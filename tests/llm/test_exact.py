@@ -274,6 +274,17 @@ def test_quality_rules_edges(spark, odd, empty):
     assert kept == {d: d >= 5 for d, _, _ in rows}
 
 
+def test_lines_of_a_section_of_a_large_host(spark):
+    """A line in 1 % of a hot host's documents goes by its count, in equal texts or not."""
+    line = "this notice stands in one section of the host"
+    own = lambda i: " ".join(f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(12))
+    rows = [(i, f"{line}\n{line}" if 24 <= i < 30 else f"{line}\n" * 3 + own(i)[:10] if i < 24 else own(i), "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    gone = lambda **a: {r.doc_id for r in judge(df, base_failed=F.lit(False), **a).where("removed_words > 0 and not kept").collect()}
+    assert gone() == set() and gone(many=24) == set(range(30))  # 24 texts and one that six documents share
+    assert gone(many=25) == set() and gone(many=25, copies=True) == set(range(30)) and gone(many=30, copies=True) == set()
+
+
 def test_digests_of_queries(spark, small, ids):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
     got = Q.op3_token_binary(spark, small).toPandas().sort_values("doc_id")

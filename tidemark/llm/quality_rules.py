@@ -7,6 +7,10 @@ boilerplate.  Lines in more than ``most`` documents and more than the share
 ``share`` of their host's documents are removed, and a document that keeps less
 than the share ``left`` of its words is rejected.
 
+The share grows with the host, so lines of one section of a large host stay.
+With ``many``, lines in more than so many documents are removed too, whatever
+their share; with ``copies``, each doc_id is a document, of equal text or not.
+
 (host, line) counts are pre-aggregated before the shuffle; frequent lines are
 joined to the documents' lines, never gathered by line or host.
 
@@ -93,15 +97,22 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, host string, k long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
 
 
-def frequent_lines(found: DataFrame, most: int, share: float) -> DataFrame:
-    """(f_host, f_line, docs): lines above both limits."""
-    once = found.groupBy("host", "k").agg(F.first("lines").alias("lines"))
-    hosts = once.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
-    each = once.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > most)
-    return each.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("docs") > F.col("all") * share).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "docs")
+def frequent_lines(found: DataFrame, most: int, share: float, many: int | None = None, copies: bool = False) -> DataFrame:
+    """(f_host, f_line, docs): lines above both limits, or above ``many``."""
+    if copies:
+        ids = found.select("host", "doc_id").distinct()
+        line = found.select("host", "doc_id", F.explode("lines").alias("line")).distinct()
+    else:
+        ids = found.groupBy("host", "k").agg(F.first("lines").alias("lines"))
+        line = ids.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    hosts = ids.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
+    each = line.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > (most if many is None else min(most, many)))
+    often = (F.col("docs") > most) & (F.col("docs") > F.col("all") * share)
+    often = often if many is None else often | (F.col("docs") > many)
+    return each.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(often).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "docs")
 
 
-def judge(docs: DataFrame, *, most: int = 20, share: float = 0.05, left: float = 0.3, base_failed: Column | None = None, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, *, most: int = 20, share: float = 0.05, many: int | None = None, copies: bool = False, left: float = 0.3, base_failed: Column | None = None, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row a document: doc_id, the counts, removed_words (in frequent lines), base_failed, kept.
 
     ``base_failed``: rule on the counts; else under 10 words, or over 20 % of
@@ -109,7 +120,7 @@ def judge(docs: DataFrame, *, most: int = 20, share: float = 0.05, left: float =
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
     found = written(counts(d).withColumn("row", F.monotonically_increasing_id()))
-    frequent = frequent_lines(found, most, share)
+    frequent = frequent_lines(found, most, share, many, copies)
     lines = found.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     gone = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy(F.col("row").alias("g_row")).agg(F.sum("words").alias("gone"))
     out = found.drop("lines", "line_words").join(gone, F.col("row") == F.col("g_row"), "left").withColumn("removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
