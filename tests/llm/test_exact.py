@@ -18,6 +18,7 @@ from tidemark.llm import queries as Q
 from tidemark.llm.decontaminate import clean, matches, report
 from tidemark.llm.ngram_join import near_duplicates, one_each
 from tidemark.llm.packing import pack, sequences
+from tidemark.llm import quality_rules
 from tidemark.llm.quality_rules import judge
 from tidemark.llm.substring_dedup import cleaned, dedup
 from tidemark.llm.token_binary import read, segments
@@ -274,6 +275,33 @@ def test_quality_rules_edges(spark, odd, empty):
     assert kept == {d: d >= 5 for d, _, _ in rows}
 
 
+def test_quality_rules_give_the_remaining_texts(spark, odd, empty):
+    """Kept rows with all columns; the text by a plain loop, byte by byte."""
+    line, digits = "This line\tis on EVERY page", "seen {} times"
+    own = lambda i: " ".join(f"o{chr(97 + i)}{chr(97 + j)}" for j in range(12))
+    shapes = [lambda i: f"{line}\n{own(i)}\n\n{digits.format(i)}", lambda i: f"\n{own(i)}\r\n  {line.lower()} \n", lambda i: f"{own(i)}é\n{own(i + 1)}\n", lambda i: line]
+    rows = [(i, shapes[i % 4](i % 24), "h", f"t{i}") for i in range(96)] + [(200 + i, None, "h", "none") for i in range(2)]
+    rows += [(300, f"{line}\n{own(3)}", "other", "stays"), (300, f"{line}\n{own(3)}", "other", "stays")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, `a.b` string").withColumn("k", F.lit("x")).withColumn("gone", F.array(F.lit(1)))
+    norm = lambda x: " ".join(re.sub("[0-9]", "0", "".join(c.lower() if "A" <= c <= "Z" else c for c in w)) for w in WORD.findall(x))
+    host = {(t, s) for _, t, s, _ in rows}
+    n = Counter((s, x) for t, s in host for x in {norm(x) for x in (t or "").split("\n")} - {""})
+    often = {k for k, c in n.items() if c > 8 and c > 0.05 * sum(s == k[0] for _, s in host)}
+    assert ("h", norm(line)) in often and ("other", norm(line)) not in often
+    want = []
+    for d, t, s, z in rows:
+        rest = t and "\n".join(x for x in t.split("\n") if (s, norm(x)) not in often)
+        if len(WORD.findall(rest or "")) >= 0.3 * len(WORD.findall(t or "")):
+            want.append((d, rest, s, z, "x", [1]))
+    got = quality_rules.cleaned(df, most=8, base_failed=F.lit(False))
+    assert got.dtypes == df.dtypes
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    kept = {r.doc_id: r.n_words - r.removed_words for r in judge(df, most=8, base_failed=F.lit(False)).where("kept").collect()}
+    assert kept == {w[0]: len(WORD.findall(w[1] or "")) for w in want}
+    assert quality_rules.cleaned(empty).count() == 0 and quality_rules.cleaned(odd).columns == odd.columns
+    assert quality_rules.cleaned(odd).count() == judge(odd).where("kept").count() > 0
+
+
 def test_lines_of_a_section_of_a_large_host(spark):
     """A line in 1 % of a hot host's documents goes by its count, in equal texts or not."""
     line = "this notice stands in one section of the host"

@@ -11,12 +11,18 @@ The share grows with the host, so lines of one section of a large host stay.
 With ``many``, lines in more than so many documents are removed too, whatever
 their share; with ``copies``, each doc_id is a document, of equal text or not.
 
+``cleaned`` gives the kept documents' remaining texts, ``judge`` the counts; both
+are read off the same rows.  A removed line goes with its line break; texts
+without frequent lines stay as they are.
+
 (host, line) counts are pre-aggregated before the shuffle; frequent lines are
-joined to the documents' lines, never gathered by line or host.
+joined to the documents' lines, never gathered by line or host.  What is joined
+back to a document are the numbers and words of its removed lines; the texts
+themselves are written and joined by ``cleaned`` alone.
 
 Null texts have no words.  Null hosts are one host.  Repeated rows are one
 document for the counts and are judged each.  An empty table gives an empty
-result.  Further columns of any name are not read.
+result.  Further columns of any name are kept by ``cleaned`` and not read.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ._scratch import written
 from ._text import SPACED, U64, Words, mix, signed, slices, windows
@@ -60,22 +68,26 @@ def repeat_words(w: Words, size: int = 5) -> np.ndarray:
     return _per(np.cumsum(cover[:-1]) > 0, w.first)
 
 
-def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with a word: hash, words, text number (of words in ``w``, normalised)."""
+def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with a word: hash, words, text number, number of the line in its text (of words in ``w``, normalised)."""
     if not len(w.starts):
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.union1d(np.flatnonzero(w.data == 0x0A) + 1, w.offsets[:-1])
     line = np.searchsorted(begin, w.starts, "right")
     start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     count = np.diff(np.concatenate([start, [len(line)]]))
     place = np.arange(len(line)) - np.repeat(start, count)
     h = mix(np.add.reduceat(mix(w.hash ^ mix(place.astype(U64) + U64(3))), start) + count.astype(U64))
-    return h, count, w.doc_of_word()[start]
+    doc = w.doc_of_word()[start]
+    return h, count, doc, line[start] - np.searchsorted(begin, w.offsets[:-1], "right")[doc]
+
+
+#: Columns that ``counts`` adds.
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """One row a document of (doc_id, host, k, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; lines and line_words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """The rows of ``docs`` (with column text) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; lines, line_words and line_at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -86,15 +98,16 @@ def counts(docs: DataFrame) -> DataFrame:
             for t in texts.to_pylist():
                 lines = [x for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
                 dup.append(len(lines) - len(set(lines)))
-            h, size, doc = _lines(Words(texts, _NORMAL))
+            h, size, doc, at = _lines(Words(texts, _NORMAL))
             off = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
             longs = [w.counts, _per(chars, w.offsets), _per(_SYMBOL[w.data], w.offsets), np.array(dup), repeat_words(w)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("host"), b.column("k"), *(pa.array(x.astype(np.int64)) for x in longs), pa.ListArray.from_arrays(off, pa.array(signed(h))), pa.ListArray.from_arrays(off, pa.array(size.astype(np.int32)))],
-                ["doc_id", "host", "k", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+                [*b.columns, *(pa.array(x.astype(np.int64)) for x in longs), pa.ListArray.from_arrays(off, pa.array(signed(h))), *(pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (size, at))],
+                [*b.schema.names, *_COUNTS, "lines", "line_words", "line_at"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, host string, k long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
+    added = [*(StructField(c, LongType()) for c in _COUNTS), StructField("lines", ArrayType(LongType())), *(StructField(c, ArrayType(IntegerType())) for c in ("line_words", "line_at"))]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def frequent_lines(found: DataFrame, most: int, share: float, many: int | None = None, copies: bool = False) -> DataFrame:
@@ -112,6 +125,39 @@ def frequent_lines(found: DataFrame, most: int, share: float, many: int | None =
     return each.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(often).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), "docs")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """``rows``, text without the lines whose numbers are in column gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            at, gone = b.schema.get_field_index("text"), b.column("gone")
+            texts, some = b.column(at), np.flatnonzero(pc.is_valid(gone).to_numpy(zero_copy_only=False))
+            if len(some):
+                new = []
+                for text, lines in zip(texts.take(pa.array(some)).to_pylist(), gone.take(pa.array(some)).to_pylist()):
+                    lines = set(lines)
+                    new.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in lines))
+                mask = np.zeros(b.num_rows, bool)
+                mask[some] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 :]], b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _judged(docs: DataFrame, most: int, share: float, many: int | None, copies: bool, left: float, base_failed: Column | None, texts: bool) -> DataFrame:
+    """``docs`` (doc_id, host, k, text and others; text only if ``texts``) and the counts, gone (numbers of lines), removed_words, base_failed and kept."""
+    found = counts(docs).withColumn("row", F.monotonically_increasing_id())
+    found = written(found if texts else found.drop("text"))
+    frequent = frequent_lines(found, most, share, many, copies)
+    lines = found.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
+    gone = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy(F.col("row").alias("g_row")).agg(F.collect_list("at").alias("gone"), F.sum("words").alias("words"))
+    out = found.drop("lines", "line_words", "line_at").join(gone, F.col("row") == F.col("g_row"), "left").withColumn("removed_words", F.coalesce("words", F.lit(0)).cast("long"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")) if base_failed is None else base_failed
+    depleted = (F.col("n_words") - F.col("removed_words")) < left * F.col("n_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
 def judge(docs: DataFrame, *, most: int = 20, share: float = 0.05, many: int | None = None, copies: bool = False, left: float = 0.3, base_failed: Column | None = None, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row a document: doc_id, the counts, removed_words (in frequent lines), base_failed, kept.
 
@@ -119,11 +165,13 @@ def judge(docs: DataFrame, *, most: int = 20, share: float = 0.05, many: int | N
     words in repeated windows.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
-    found = written(counts(d).withColumn("row", F.monotonically_increasing_id()))
-    frequent = frequent_lines(found, most, share, many, copies)
-    lines = found.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    gone = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy(F.col("row").alias("g_row")).agg(F.sum("words").alias("gone"))
-    out = found.drop("lines", "line_words").join(gone, F.col("row") == F.col("g_row"), "left").withColumn("removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")) if base_failed is None else base_failed
-    depleted = (F.col("n_words") - F.col("removed_words")) < left * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return _judged(d, most, share, many, copies, left, base_failed, False).select("doc_id", *_COUNTS, "removed_words", "base_failed", "kept")
+
+
+def cleaned(docs: DataFrame, *, most: int = 20, share: float = 0.05, many: int | None = None, copies: bool = False, left: float = 0.3, base_failed: Column | None = None, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all columns; their text is without frequent lines."""
+    names = docs.columns
+    others = {n: f"c{i}" for i, n in enumerate(names) if n != text}  # names of any kind may clash
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("k"), F.col(text).alias("text"), *[F.col(f"`{n}`").alias(c) for n, c in others.items()])
+    out = _judged(d, most, share, many, copies, left, base_failed, True).where("kept")
+    return _cut(out.select(*others.values(), "text", "gone")).select(*[F.col(others.get(n, "text")).alias(n) for n in names])
