@@ -104,6 +104,30 @@ def test_ablation_agrees_with_the_model(spark):
             assert np.isclose(got[(variant, k)], np.abs(g.y - pred).mean())
 
 
+def test_ablation_refits(spark):
+    """Each variant is a fit without its columns: without them in the table the full fit is the same."""
+    obs = numbered(spark.createDataFrame([("s", d, float(v)) for d, v in zip(months(96), one_series())], "series_id string, ds date, y double"))
+    got = {r.variant: r.mae for r in experiments.ablation(obs).collect()}
+    assert set(got) == {*experiments.SKETCHES, *experiments.RESERVOIRS, "no_shrinkage", "no_selector", "prior_only", "reservoir_no_selector", "reservoir_prior_only"}
+    rows = models.sketch(obs, variants=experiments.SKETCHES).orderBy("ds").toPandas()
+    o, cols = models.featured(obs)
+    f = o.orderBy("t").toPandas().iloc[:-1]
+    assert {c: models.group(c) for c in cols if models.group(c) != "causal"} == {"lag1": "ar", "lag2": "ar", "lag3": "ar", "momentum2": "momentum", "momentum4": "momentum", "seasonal": "seasonal", "seasonal_gap": "seasonal", "season_sin": "calendar", "season_cos": "calendar"}
+    for name, without in experiments.SKETCHES.items():
+        g = rows[rows.variant == name]
+        fit = (g.block == "readout").to_numpy() & (np.arange(len(g)) >= 3)
+        z = robust(f[[c for c in cols if models.group(c) not in without]].to_numpy(float), fit)
+        w, b = ridge(z[fit], f.target.to_numpy(float)[fit])
+        assert np.allclose(g.raw, z @ w + b), name
+    r = models.reservoir(obs, variants=experiments.RESERVOIRS).orderBy("ds").toPandas()
+    lags = r[r.variant == "reservoir_no_reservoir"]
+    fit = (lags.block == "readout").to_numpy() & (np.arange(len(lags)) >= 3)
+    x = f[["lag1", "lag2", "lag3"]].to_numpy(float)
+    w, b = ridge(x[fit], f.target.to_numpy(float)[fit])
+    assert np.allclose(lags.raw, x @ w + b) and (r[r.variant == "reservoir_no_gate"].gate == 1).all()
+    assert not np.allclose(r[r.variant == "reservoir_no_ar_lags"].raw, r[r.variant == "reservoir_full"].raw)
+
+
 def test_evaluation_of_both(spark):
     m = QUERIES["evaluate_proposed"](spark, SMALL).toPandas()
     assert set(m.model) == {"reservoir", "sketch", "prior"} and (m.n_points == 12).all()

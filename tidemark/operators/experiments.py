@@ -28,12 +28,25 @@ def best_trial(scores: DataFrame) -> DataFrame:
     return s.orderBy("median", "trial")
 
 
+#: Feature groups that a refitted sketch model leaves out.
+SKETCHES = {"full": (), "no_ar": ("ar",), "no_momentum": ("momentum",), "no_causal_filters": ("causal",), "no_seasonal": ("seasonal",), "no_calendar": ("calendar",), "no_multiscale": ("momentum", "causal")}
+#: Parts that a refitted reservoir model leaves out.
+RESERVOIRS = {"reservoir_full": (), "reservoir_no_reservoir": ("reservoir",), "reservoir_no_ar_lags": ("ar",), "reservoir_no_gate": ("gate",)}
+
+
 def ablation(obs: DataFrame) -> DataFrame:
-    """Errors on test rows of the sketch model as it is, without factor, without selection, and of its prior alone."""
-    s = models.sketch(obs).where("block = 'test'")
-    variants = {"full": F.col("pred"), "no_shrinkage": F.col("p") + F.col("raw"), "no_selector": F.col("p") + F.col("gate") * F.col("raw"), "prior_only": F.col("p")}
-    v = s.select("series_id", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), c.alias("pred")) for k, c in variants.items()])).alias("x")).select("series_id", "y", "x.*")
-    return v.groupBy("variant", "series_id").agg(metrics.point()["mae"].alias("mae"))
+    """Errors on test rows of the sketch and reservoir models as they are, refitted without a group, without factor or selection, and of their prior alone."""
+    mae = metrics.point()["mae"].alias("mae")
+    out = None
+    for fitted, full, read in (
+        (models.sketch(obs, variants=SKETCHES), "full", {"no_shrinkage": F.col("p") + F.col("raw"), "no_selector": F.col("p") + F.col("gate") * F.col("raw"), "prior_only": F.col("p")}),
+        (models.reservoir(obs, variants=RESERVOIRS), "reservoir_full", {"reservoir_no_selector": F.col("p") + F.col("gate") * F.col("raw"), "reservoir_prior_only": F.col("p")}),
+    ):
+        own = F.struct(F.col("variant"), F.col("pred"))
+        more = F.array(own, *[F.struct(F.lit(k).alias("variant"), c.alias("pred")) for k, c in read.items()])
+        rows = fitted.where("block = 'test'").select("series_id", "y", F.explode(F.when(F.col("variant") == full, more).otherwise(F.array(own))).alias("x")).select("series_id", "y", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("variant", "series_id").agg(mae)
 
 
 def robustness(obs: DataFrame, priors: tuple[str, ...] = ("naive", "seasonal_naive", "rolling_mean")) -> DataFrame:

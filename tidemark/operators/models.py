@@ -46,51 +46,68 @@ def _scaled(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
     return np.nan_to_num((x - c) / np.where(s > 1e-8, s, 1.0))
 
 
+def group(column: str) -> str:
+    """Feature group of a column of ``featured``: ar, momentum, seasonal, calendar or causal."""
+    for start, name in (("lag", "ar"), ("momentum", "momentum"), ("season_", "calendar"), ("seasonal", "seasonal")):
+        if column.startswith(start):
+            return name
+    return "causal"
+
+
 OUT = "series_id string, ds date, y double, p double, raw double, gate double, pred double, block string, active boolean"
 
 
-def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7) -> DataFrame:
+def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Ridge on window features of the residuals, shrunk by a least-squares factor of the adapter block; active if it lowers that block's error.
 
     One row a target month: p (prior), raw (correction), gate (factor), pred.
+    ``variants``: feature groups to leave out by name; each is fitted, and adds its rows, with column variant.
     """
+    given = variants or {"": ()}
     blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
     o, cols = featured(obs)
     o = o.where((F.col("t") >= F.col("n") - MOST) & F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
+        used = [c for c in cols if group(c) not in given[g.variant.iloc[0]]]
         fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
         early = fit_ & (g.t.to_numpy() >= 3)
         raw, gamma, active = np.zeros(len(g)), 0.0, False
         if early.sum() > 3 and adapt.any():
-            x = _scaled(g[cols].to_numpy(float), early)
+            x = _scaled(g[used].to_numpy(float), early)
             w, b = _ridge(x[early], g.target.to_numpy(float)[early], alpha)
             raw = x @ w + b
             r, c = g.target.to_numpy(float)[adapt], raw[adapt]
             gamma = float(np.clip((c @ r) / (c @ c + 1e-12), 0.0, most_gamma))
             active = bool(np.abs(r - gamma * c).mean() < np.abs(r).mean())
         p = g.next_p.to_numpy(float)
-        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": raw, "gate": gamma, "pred": p + (gamma if active else 0.0) * raw, "block": g.block, "active": active})
+        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": raw, "gate": gamma, "pred": p + (gamma if active else 0.0) * raw, "block": g.block, "active": active, "variant": g.variant})
 
-    return o.groupBy("series_id").applyInPandas(fit, OUT)
+    out = o.groupBy("series_id", "variant").applyInPandas(fit, f"{OUT}, variant string")
+    return out if variants else out.drop("variant")
 
 
-def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7) -> DataFrame:
+def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Ridge on the states of a leaky reservoir driven by the residuals, and their lags; gated by the residuals' recent spread.
 
     gate = 1 / (1 + exp(a (z - b))) falls with volatility z; a and b are the best
-    of a grid on the adapter block.
+    of a grid on the adapter block.  ``variants``: parts to leave out (reservoir,
+    ar or gate) by name; each is fitted, and adds its rows, with column variant.
     """
+    given = variants or {"": ()}
     blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
     o, cols = featured(obs, lags=lags)
     spread = windows.ewm_std(o.select("series_id", "ds", "t", "e"), "e", 4).select("series_id", "ds", "ewm_std")
     keep = [c for c in cols if c.startswith("lag")]
     o = o.select("series_id", "ds", "t", "n", "e", "target", "next_p", "next_ds", *keep).join(spread, ["series_id", "ds"])
     o = o.where((F.col("t") >= F.col("n") - MOST) & F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
+        without = given[g.variant.iloc[0]]
         fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
         rng = np.random.default_rng(seed)
         w_in, w_res = rng.uniform(-1, 1, (size, 2)), rng.normal(size=(size, size))
@@ -103,17 +120,20 @@ def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float =
             for v in z:
                 h = (1 - leak) * h + leak * np.tanh(w_in @ np.array([1.0, v]) + w_res @ h)
                 states.append(h)
-            x = np.column_stack([np.array(states), g[keep].to_numpy(float)])
+            parts = {"reservoir": np.array(states), "ar": g[keep].to_numpy(float)}
+            x = np.column_stack([v for part, v in parts.items() if part not in without])
             w, b = _ridge(x[early], target[early], alpha)
             raw = x @ w + b
             vol = _scaled(g.ewm_std.to_numpy(float)[:, None], early)[:, 0]
-            gates = [(np.abs(target - s * raw)[adapt].mean(), i, s) for i, s in enumerate(1 / (1 + np.exp(np.clip(a * (vol - c), -50, 50))) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0))]
+            shapes = [np.ones(len(g))] if "gate" in without else (1 / (1 + np.exp(np.clip(a * (vol - c), -50, 50))) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0))
+            gates = [(np.abs(target - s * raw)[adapt].mean(), i, s) for i, s in enumerate(shapes)]
             loss, _, gate = min(gates, key=lambda k: k[:2])
             active = bool(loss < np.abs(target)[adapt].mean())
         p = g.next_p.to_numpy(float)
-        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + target, "p": p, "raw": raw, "gate": gate, "pred": p + np.where(active, gate, 0.0) * raw, "block": g.block, "active": active})
+        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + target, "p": p, "raw": raw, "gate": gate, "pred": p + np.where(active, gate, 0.0) * raw, "block": g.block, "active": active, "variant": g.variant})
 
-    return o.groupBy("series_id").applyInPandas(fit, OUT)
+    out = o.groupBy("series_id", "variant").applyInPandas(fit, f"{OUT}, variant string")
+    return out if variants else out.drop("variant")
 
 
 def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
