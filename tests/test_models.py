@@ -128,6 +128,21 @@ def test_ablation_refits(spark):
     assert not np.allclose(r[r.variant == "reservoir_no_ar_lags"].raw, r[r.variant == "reservoir_full"].raw)
 
 
+def test_long_series_are_fitted_whole(spark):
+    """Of 700 rows all are fitted; cut to the last 199, they are fitted as a series of that length."""
+    y = one_series(700)
+    obs = numbered(spark.createDataFrame([("s", d, float(v)) for d, v in zip(months(700), y)], "series_id string, ds date, y double"))
+    tail = numbered(spark.createDataFrame([("s", d, float(v)) for d, v in list(zip(months(700), y))[-199:]], "series_id string, ds date, y double"))
+    for model in (models.sketch, models.reservoir):
+        whole = model(obs).toPandas()
+        assert len(whole) == 699 and (whole.raw != 0).any() and whole.gate.max() > 0
+        cut, own = (r.orderBy("ds").toPandas() for r in (model(obs, most=199), model(tail)))
+        assert np.allclose(cut.pred, own.pred) and cut.block.tolist() == own.block.tolist()
+    x = np.array([y[i - 12 : i] for i in range(12, 700)])
+    w, b = ridge(x[:-12], y[12:-12])
+    assert np.allclose([r.pred for r in models.window_regression(obs, "linear").orderBy("ds").collect()], x[-12:] @ w + b)
+
+
 def test_evaluation_of_both(spark):
     m = QUERIES["evaluate_proposed"](spark, SMALL).toPandas()
     assert set(m.model) == {"reservoir", "sketch", "prior"} and (m.n_points == 12).all()

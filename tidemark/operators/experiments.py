@@ -34,13 +34,13 @@ SKETCHES = {"full": (), "no_ar": ("ar",), "no_momentum": ("momentum",), "no_caus
 RESERVOIRS = {"reservoir_full": (), "reservoir_no_reservoir": ("reservoir",), "reservoir_no_ar_lags": ("ar",), "reservoir_no_gate": ("gate",)}
 
 
-def ablation(obs: DataFrame) -> DataFrame:
+def ablation(obs: DataFrame, sketch: dict | None = None, reservoir: dict | None = None) -> DataFrame:
     """Errors on test rows of the sketch and reservoir models as they are, refitted without a group, without factor or selection, and of their prior alone."""
     mae = metrics.point()["mae"].alias("mae")
     out = None
     for fitted, full, read in (
-        (models.sketch(obs, variants=SKETCHES), "full", {"no_shrinkage": F.col("p") + F.col("raw"), "no_selector": F.col("p") + F.col("gate") * F.col("raw"), "prior_only": F.col("p")}),
-        (models.reservoir(obs, variants=RESERVOIRS), "reservoir_full", {"reservoir_no_selector": F.col("p") + F.col("gate") * F.col("raw"), "reservoir_prior_only": F.col("p")}),
+        (models.sketch(obs, variants=SKETCHES, **(sketch or {})), "full", {"no_shrinkage": F.col("p") + F.col("raw"), "no_selector": F.col("p") + F.col("gate") * F.col("raw"), "prior_only": F.col("p")}),
+        (models.reservoir(obs, variants=RESERVOIRS, **(reservoir or {})), "reservoir_full", {"reservoir_no_selector": F.col("p") + F.col("gate") * F.col("raw"), "reservoir_prior_only": F.col("p")}),
     ):
         own = F.struct(F.col("variant"), F.col("pred"))
         more = F.array(own, *[F.struct(F.lit(k).alias("variant"), c.alias("pred")) for k, c in read.items()])

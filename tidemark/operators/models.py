@@ -1,8 +1,9 @@
 """Residual-correcting forecasters, fitted series by series.
 
 The prior, its residuals, features and blocks are columns, made by windows.
-What a grouped map is left to do is to solve the ridge system of one series (at
-most ``MOST`` rows) and to run the reservoir, whose state is a recursion.
+What a grouped map is left to do is to solve the ridge system of one series and
+to run the reservoir, whose state is a recursion.  All rows are fitted; ``most``
+cuts series to their last rows before anything else.
 """
 
 from __future__ import annotations
@@ -15,17 +16,25 @@ from pyspark.sql import functions as F
 from tidemark.operators import forecasts, splits, windows
 from tidemark.plans.substrate import along
 
-#: The longest series that is fitted: the last rows of longer ones.
-MOST = 199
 SCALES = (2, 3, 6)
+#: The published defaults of both models, where they differ from those here.
+PUBLISHED = {"sketch": {"spans": (2, 4, 8, 12), "scales": (2, 3, 4, 6)}, "reservoir": {"size": 50}}
 
 
-def featured(obs: DataFrame, window: int = 6, lags: int = 3, m: int = 12, spans: tuple[int, ...] = (2, 4)) -> tuple[DataFrame, list[str]]:
+def latest(obs: DataFrame, most: int | None) -> DataFrame:
+    """The last ``most`` rows of each series, numbered anew; all without it."""
+    if most is None:
+        return obs
+    before = F.greatest(F.col("n") - most, F.lit(0))
+    return obs.where(F.col("t") >= before).withColumn("t", F.col("t") - before).withColumn("n", F.col("n") - before)
+
+
+def featured(obs: DataFrame, window: int = 6, lags: int = 3, m: int = 12, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES) -> tuple[DataFrame, list[str]]:
     """p (prior), e (residual), target (the next residual) and feature columns that end with the row's own residual."""
     o = obs.withColumn("p", forecasts.rolling_mean("y", window)).withColumn("e", F.col("y") - F.col("p"))
     cols = {f"lag{i}": c for i, c in enumerate(windows.lags("e", lags), 1)}
     cols |= {f"momentum{s}": windows.momentum("e", s) for s in spans}
-    for k in SCALES:
+    for k in scales:
         cols |= {f"{name}{k}": c for name, c in windows.causal("e", k).items()}
     cols["seasonal"], cols["seasonal_gap"] = windows.seasonal("e", m)
     cols["season_sin"], cols["season_cos"] = windows.calendar(m)
@@ -57,16 +66,17 @@ def group(column: str) -> str:
 OUT = "series_id string, ds date, y double, p double, raw double, gate double, pred double, block string, active boolean"
 
 
-def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...]] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None) -> DataFrame:
     """Ridge on window features of the residuals, shrunk by a least-squares factor of the adapter block; active if it lowers that block's error.
 
     One row a target month: p (prior), raw (correction), gate (factor), pred.
     ``variants``: feature groups to leave out by name; each is fitted, and adds its rows, with column variant.
     """
     given = variants or {"": ()}
+    obs = latest(obs, most)
     blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
-    o, cols = featured(obs)
-    o = o.where((F.col("t") >= F.col("n") - MOST) & F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o, cols = featured(obs, spans=spans, scales=scales)
+    o = o.where(F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
     o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +99,7 @@ def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: fl
     return out if variants else out.drop("variant")
 
 
-def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...]] | None = None, most: int | None = None) -> DataFrame:
     """Ridge on the states of a leaky reservoir driven by the residuals, and their lags; gated by the residuals' recent spread.
 
     gate = 1 / (1 + exp(a (z - b))) falls with volatility z; a and b are the best
@@ -97,12 +107,13 @@ def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float =
     ar or gate) by name; each is fitted, and adds its rows, with column variant.
     """
     given = variants or {"": ()}
+    obs = latest(obs, most)
     blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
     o, cols = featured(obs, lags=lags)
     spread = windows.ewm_std(o.select("series_id", "ds", "t", "e"), "e", 4).select("series_id", "ds", "ewm_std")
     keep = [c for c in cols if c.startswith("lag")]
     o = o.select("series_id", "ds", "t", "n", "e", "target", "next_p", "next_ds", *keep).join(spread, ["series_id", "ds"])
-    o = o.where((F.col("t") >= F.col("n") - MOST) & F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o = o.where(F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
     o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +162,7 @@ def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
 KINDS = ("linear", "nlinear", "dlinear", "kernel")
 
 
-def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int = 12, alpha: float = 1.0) -> DataFrame:
+def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int = 12, alpha: float = 1.0, most: int | None = None) -> DataFrame:
     """One-step forecasts of test rows by regression on the ``width`` values before each.
 
     linear: ridge on the window; nlinear: on its differences from its last
@@ -161,8 +172,8 @@ def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int =
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
-    o = splits.tail(obs, horizon).withColumn("x", F.collect_list("y").over(along().rowsBetween(-width, -1)))
-    o = o.where((F.size("x") == width) & (F.col("t") >= F.col("n") - MOST)).select("series_id", "ds", "t", "y", "split", "x")
+    o = splits.tail(latest(obs, most), horizon).withColumn("x", F.collect_list("y").over(along().rowsBetween(-width, -1)))
+    o = o.where(F.size("x") == width).select("series_id", "ds", "t", "y", "split", "x")
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
@@ -191,11 +202,11 @@ def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int =
     return o.groupBy("series_id").applyInPandas(fit, "series_id string, ds date, y double, pred double")
 
 
-def autoregression(obs: DataFrame, lags: int = 3, horizon: int = 12) -> DataFrame:
-    """Least squares on the last ``lags`` values and a constant, refitted before every test row on all that came before."""
+def autoregression(obs: DataFrame, lags: int = 3, horizon: int = 12, most: int | None = None) -> DataFrame:
+    """Least squares on the last ``lags`` values and a constant, refitted before every test row on all (or the last ``most``) that came before."""
 
     def predict(y: np.ndarray) -> float:
-        y = y[-MOST:]
+        y = y if most is None else y[-most:]
         k = min(lags, max(1, len(y) // 3))
         if len(y) < 2 * k + 2:
             return y[-1]

@@ -15,12 +15,12 @@ WITH = f"WITH {BRAND_SQL}"
 
 @query()
 def sketch_forecast(spark, d):
-    return models.sketch(brand_monthly(spark, d)).where("block = 'test'").drop("block")
+    return models.sketch(brand_monthly(spark, d), **models.PUBLISHED["sketch"]).where("block = 'test'").drop("block")
 
 
 @query()
 def reservoir_forecast(spark, d):
-    return models.reservoir(brand_monthly(spark, d)).where("block = 'test'").drop("block")
+    return models.reservoir(brand_monthly(spark, d), **models.PUBLISHED["reservoir"]).where("block = 'test'").drop("block")
 
 
 @query(f"{_FC}, m AS (SELECT series_id, ds, t, y, split, list(y) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM fc) SELECT series_id, ds, y, list_median(h) AS pred FROM m WHERE split = 'test'", "y pred")
@@ -48,7 +48,7 @@ def frozen_transfer(spark, d):
 
 @query()
 def ablation_variants(spark, d):
-    return experiments.ablation(brand_monthly(spark, d))
+    return experiments.ablation(brand_monthly(spark, d), **models.PUBLISHED)
 
 
 @query(f"""{_FC}, c AS (SELECT *, pred + coalesce(avg(y - pred) OVER (PARTITION BY series_id, model ORDER BY ds ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS corrected FROM fm)
@@ -65,7 +65,7 @@ def next_month(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return statistics.bootstrap_mean(scored(spark, d), ["model"], "mae", "series_id", draws=400)
+    return statistics.bootstrap_mean(scored(spark, d), ["model"], "mae", "series_id", draws=1000)
 
 
 @query("SELECT CAST(user_id % 10 AS VARCHAR) AS series_id, ts::DATE AS ds, sum(value) AS y, count(*) AS n_rows FROM events GROUP BY 1, 2", "y")

@@ -90,7 +90,7 @@ def evaluate_proposed(spark, d):
     obs = splits.tail(brand_monthly(spark, d), 12)
     rows = None
     for name, f in (("reservoir", models.reservoir), ("sketch", models.sketch)):
-        m = f(brand_monthly(spark, d)).where("block in ('conformal', 'test')")
+        m = f(brand_monthly(spark, d), **models.PUBLISHED[name]).where("block in ('conformal', 'test')")
         one = m.select("series_id", F.lit(name).alias("model"), "ds", "y", "pred", "block")
         rows = one if rows is None else rows.unionByName(one)
         if name == "reservoir":
