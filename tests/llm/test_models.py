@@ -132,3 +132,17 @@ def test_edges(spark, kind):
                 got = toxicity.score(d, toxicity.train(d, l, F.lit(True)))
             rows = got.collect()
             assert len(rows) == d.count() and all(0 <= r.score <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("module", [quality_classifier, toxicity])
+def test_repeated_rows_do_not_crowd_the_sample(spark, monkeypatch, module):
+    """A doc_id in 200 rows brings one text to the driver."""
+    docs = spark.createDataFrame([(1, f"copy {i % 3}") for i in range(200)] + [(i, f"text {i}") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    seen = []
+    if module is quality_classifier:
+        monkeypatch.setattr(module.Machine, "fit", lambda self, texts, y: seen.append((len(texts), int(y.sum()))) or self)
+    else:
+        monkeypatch.setattr(module, "fit", lambda p, u, prior: seen.append((len(u), len(p))))
+    module.train(docs, labels, F.lit(True))
+    assert seen == [(7, 4) if module is quality_classifier else (11, 4)]

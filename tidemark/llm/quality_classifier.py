@@ -11,7 +11,7 @@ taken in the order of a hash, and scores every whole text.
 
 Null and empty texts have no words, and the structure of an empty text.  Labels
 may be null (not used) or repeated (the least counts).  Without labels all
-scores are 0.5.  Repeated rows are scored each.  Further columns are not read.
+scores are 0.5.  Repeated rows are scored each; one row of a doc_id is learned.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -141,11 +141,18 @@ class Machine:
         return self
 
 
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``: that of the text with the least hash, so repeated rows cannot crowd a sample."""
+    kept = [F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("r")]
+    return rows.groupBy(F.col(key).alias("one_key")).agg(*kept).select("r.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = MOST, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Machine:
     """Fit on at most ``most`` labelled documents for which ``learn`` (of column doc_id) holds."""
     l = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).where("q is not null").where(learn).groupBy("doc_id").agg(F.min("q").alias("q"))
     l = l.orderBy(F.xxhash64("doc_id", F.lit(9))).limit(most).select(F.col("doc_id").alias("l_id"), "q")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(l, F.col("doc_id") == F.col("l_id")).select("q", "text")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(l, F.col("doc_id") == F.col("l_id"))
+    d = one_each(d, "l_id").select("q", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import ALNUM, U64, Words, slices
+from .quality_classifier import one_each
 
 BITS = 18
 MOST = 3000
@@ -125,9 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, prior: float | N
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = F.xxhash64("doc_id", F.lit(5))
     p = l.where("t = 1").orderBy(order).limit(most).select(F.col("doc_id").alias("p_id"))
-    u = d.where(learn).select("doc_id").orderBy(order).limit(2 * most).select(F.col("doc_id").alias("p_id"))
+    u = d.where(learn).select("doc_id").distinct().orderBy(order).limit(2 * most).select(F.col("doc_id").alias("p_id"))
     chosen = p.withColumn("kind", F.lit(1)).unionByName(u.withColumn("kind", F.lit(0)))
-    rows = features(d.join(chosen, F.col("doc_id") == F.col("p_id")).select("kind", "text"), "text").toArrow()  # 3 * most texts
+    chosen = chosen.groupBy("p_id").agg(F.collect_list("kind").alias("kinds"))
+    one = one_each(d.join(chosen, F.col("doc_id") == F.col("p_id")), "p_id")
+    rows = features(one.select(F.explode("kinds").alias("kind"), "text"), "text").toArrow()  # at most 3 * most texts
     kind = rows.column("kind").to_numpy()
     lists = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(rows.column("bucket"), rows.column("value"))]
     return fit([x for x, k in zip(lists, kind) if k == 1], [x for x, k in zip(lists, kind) if k == 0], float(share if prior is None else prior))
