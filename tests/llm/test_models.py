@@ -146,3 +146,13 @@ def test_repeated_rows_do_not_crowd_the_sample(spark, monkeypatch, module):
         monkeypatch.setattr(module, "fit", lambda p, u, prior: seen.append((len(u), len(p))))
     module.train(docs, labels, F.lit(True))
     assert seen == [(7, 4) if module is quality_classifier else (11, 4)]
+
+
+def test_url_kind_in_one_fold(spark):
+    """One hot URL is all that is allowed, and lies in the fold that sets the threshold: pages are still judged."""
+    urls = spark.range(50).select(F.concat(F.lit("http://good.com/aaa/aaaa"), "id").alias("u")).where(F.pmod(F.xxhash64("u"), F.lit(5)) == 0)
+    hot = urls.first().u
+    rows = [hot] * 30 + [f"http://bad.com/zzz/zzqq{i}" for i in range(30)] + ["http://zzz.zz/zzqqzz", "http://aaa.good/aaaa/aaa"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    got = {r.page_id: r.verdict for r in judge(pages, [("allow", "good.com/"), ("block", "bad.com/")]).collect()}
+    assert (got[60], got[61]) == ("block", "allow")

@@ -10,7 +10,9 @@ the training URLs best on a hash-chosen fifth that the models did not see.
 
 URLs are folded to ALPHABET (other characters count as one symbol), so a model
 has at most len(ALPHABET)**3 entries: one array of that size, built once and
-broadcast as a single row.  All is counted over all URLs; n-grams are
+broadcast as a single row.  The models are counted on the ruled URLs outside that
+fifth, and judge every URL; where one of the kinds lies in the fifth alone, they
+are counted on all ruled URLs, and the threshold is 0.  n-grams are
 pre-aggregated before they are shuffled.
 
 Null URLs and those without :// have an empty host and path; they fit no rule
@@ -147,7 +149,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     u = u.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     u = u.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).withColumn("good", F.col("r.verdict") == "allow").withColumn("s", _symbols(F.col("url")))
     known = u.where("good is not null").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(_FOLDS)))
-    model = written(log_ratios(grams(known.where("fold > 0"), ["good"])))  # one row
+    counted = written(grams(known.withColumn("held", F.col("fold") == 0), ["held", "good"]))
+    model = written(log_ratios(counted.where("not held")))  # one row
+    if model.where("model is not null").isEmpty():
+        model = written(log_ratios(counted))
+        known = known.where("false")  # no URL is unseen
     cut = written(threshold(scored(known.where("fold = 0").select("s", "good"), model)))
     out = scored(u.select("page_id", "host", "path", "r", "s"), model).crossJoin(F.broadcast(cut))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block"))
