@@ -103,6 +103,48 @@ def test_packing_mixture(spark, small, ids):
     check_pieces(p.toPandas(), [(r.doc_id, r.text) for r in docs.collect()], ids, 512)
 
 
+def test_packing_rare_sources(spark, ids):
+    """Sources of one document, and of almost no share, make no more rows than their ids ask for."""
+    from tidemark.llm.packing import placed, tokenized
+    from tidemark.llm._scratch import written
+
+    docs = spark.createDataFrame([(i, f"one two three {i} " * (1 + i % 40), f"s{i}") for i in range(1000)] + [(1000 + i, "common text " * 50, "big") for i in range(200)], "doc_id int, text string, source string")
+    for weights in (None, {"big": 1e-9, "s7": 1e-300}):
+        p = pack(docs, Q.vocabulary(), end=2, length=256, weights=weights)
+        check_pieces(p.toPandas(), [(r.doc_id, r.text) for r in docs.collect()], ids, 256)
+        tokens = written(tokenized(docs, Q.vocabulary(), 2, "doc_id", "text", "source"))
+        n = tokens.agg(F.sum("n_tokens")).first()[0]
+        assert placed(tokens, 256, weights, 32).count() <= n / 32 + 4 * 1200 + n / 256
+    for bad in (0.0, -1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            pack(docs, Q.vocabulary(), end=2, weights={"big": bad})
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_vocabulary(spark, odd, name):
+    """Ids and lengths are the library's, whether its rules allow a memo of words or not."""
+    import pyarrow as pa
+    import public_tokenizers as P
+
+    from tidemark.llm._tokens import encoder
+
+    rng = np.random.default_rng(2)
+    alphabet = list("abcXYZéÉßÿ×÷·'’.,#-_0189 \t\ń̸ \u0085ΣςİK½²٣漢字🙂<|>'sre") + ["<|endoftext|>", "ﬁ", "ǅ"]
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 30, 20_000)] + [None, "", "it's don't I'll we'reX 1's é's #'s 's'"]
+    e = encoder(P.path(name))
+    assert e.by_words == (name[0] == "w")
+    flat, counts = e.encode(pa.array(texts), 2)
+    want = [x.ids + [2] for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [y for x in want for y in x]
+    assert (e.lengths(pa.array(texts)) + 1).tolist() == counts.tolist()
+    own = lambda t: e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    check_pieces(pack(odd, P.path(name), end=2, length=256).toPandas(), rows, own, 256)
+    got = read(segments(odd, P.path(name), end=1))
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got.collect()) == sorted(own(t) + [1] for _, t in rows)
+    assert {(r.n_tokens, r.n_docs) for r in length_histogram(odd, P.path(name)).collect()} == set(Counter(len(own(t)) for _, t in rows).items())
+
+
 def test_token_binary(spark, odd, empty, ids, tmp_path):
     path = str(tmp_path / "ids")
     segments(odd, Q.vocabulary(), end=1, size=3000).write.parquet(path)

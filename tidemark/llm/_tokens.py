@@ -1,29 +1,61 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of words.
-
-The word-level vocabulary drops white space and never joins characters across
-it, so the ids of a text are the ids of its blank-separated pieces in order.
-Pieces repeat: Arrow numbers the distinct ones of many texts at once, and each
-worker keeps the ids of those it has met (a bounded memo, cleared when full) and
-asks the library for new ones alone.
+"""Token ids of whole texts by the tokenizers library, with a memo of words where the vocabulary allows it.
+
+A vocabulary that drops white space, lower-cases, and never joins characters
+across white space, from a letter to a mark or next to a digit (``WORD_LEVEL``,
+compared on load) gives a text the ids of its pieces in order.  Pieces repeat:
+Arrow numbers the distinct ones of many texts at once, and each worker keeps the
+ids of those it has met (a bounded memo, cleared when full) and asks the library
+for new ones alone.  Texts that may hold a special token, and all texts under
+any other vocabulary, go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._text import utf8
 
 #: Twice the pieces a worker remembers before it starts anew; about 200 MB.
 MEMO = 1_600_000
-
-_BLANK = np.arange(256, dtype=np.uint8)
-_BLANK[[0x09, 0x0A, 0x0D]] = 0x20
-_BLANK_FOLD = _BLANK.copy()
-_BLANK_FOLD[65:91] += 32
+#: Bytes of text that are cut into pieces at once.
+AT_ONCE = 8 << 20
+
+#: Normalizer and pre-tokenizer under which pieces are independent of each other.
+WORD_LEVEL = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_BLANK, _DIGIT, _MARK, _LETTER, _WIDE = range(5)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[0x09, 0x0A, 0x0D, 0x20]] = _BLANK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[128:] = _WIDE
+#: Second bytes, after 0xC3, of the Latin-1 letters (all but the signs of multiplication and division).
+_LATIN = np.zeros(256, bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+#: Words that are one piece for the model itself: small letters of ASCII and Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The characters that byte-level vocabularies write for bytes: printable ones themselves, the k-th other one as 256 + k.
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SAME)))}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -36,6 +68,14 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.size = size
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        model = stated["model"]
+        self.by_words = all(stated.get(k) == v for k, v in WORD_LEVEL.items()) and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+        self.special = [t["content"] for t in stated.get("added_tokens", [])]
+        self.by_words = self.by_words and all(self.special)
+        common = os.path.commonprefix(self.special)
+        self.special = [common] if common else self.special
         self._reset()
 
     def _reset(self) -> None:
@@ -44,7 +84,16 @@ class Encoder:
         self.at = np.zeros(MEMO + 1, np.int64)  # ids of piece i: ids[at[i]:at[i + 1]]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([x[:-1].decode() for x in pieces], add_special_tokens=False)]
+        got, rest, tokenize = [], [], self.tokenizer.model.tokenize
+        for x in pieces:
+            if _PLAIN.fullmatch(x):
+                got.append([t.id for t in tokenize(x.decode() if x.isascii() else x.decode("latin1").translate(_BYTES))])
+            else:
+                rest.append(len(got))
+                got.append(())
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)):
+                got[i] = e.ids
         k, lengths = len(self.memo), np.fromiter(map(len, got), np.int64, len(got))
         if k + len(pieces) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(k + len(pieces) + 1 - len(self.at), np.int64)])
@@ -55,30 +104,37 @@ class Encoder:
         self.ids[int(self.at[k]) : end] = np.fromiter(chain.from_iterable(got), self.dtype, int(lengths.sum()))
         self.memo.update(zip(pieces, range(k, k + len(pieces))))
 
-    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Memo numbers of all pieces, and pieces in each text; null counts as empty."""
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Memo numbers of all pieces, and pieces in each text."""
         if len(self.memo) > MEMO // 2:
             self._reset()
         data, offsets = utf8(texts)
-        plain = b"<|" not in data.tobytes()  # else it may hold a special token, told apart by case
-        data = (_BLANK_FOLD if plain else _BLANK)[data]
-        blank, dot = data == 0x20, np.zeros(len(data), bool)
-        if plain and len(data) > 2:
-            dot[1:-1] = ((data[1:-1] == 0x2C) | (data[1:-1] == 0x2E)) & blank[2:] & (data[:-2] >= 0x61) & (data[:-2] <= 0x7A)
-        # a blank before each closing mark, and one at the end of each text
-        at = np.concatenate([np.flatnonzero(dot), offsets[1:]])
-        order = np.argsort(at, kind="stable")
-        added = np.concatenate([[0], np.cumsum(dot)])[offsets[1:]] + np.arange(1, len(offsets))
-        ends = offsets[1:] + added
-        out = np.full(len(data) + len(at), 0x20, np.uint8)
-        keep = np.ones(len(out), bool)
-        keep[at[order] + np.arange(len(at))] = False
-        out[keep] = data
-        blank = np.flatnonzero(out == 0x20)
-        counts = np.diff(np.searchsorted(blank, ends), prepend=0)
-        # each piece with its blank; equal pieces meet before any becomes a Python object
-        off = np.concatenate([[0], blank + 1]).astype(np.int32)
-        own = pa.Array.from_buffers(pa.binary(), len(blank), [None, pa.py_buffer(off), pa.py_buffer(out)]).dictionary_encode()
+        kind = _KIND[data]
+        solid = kind != _BLANK
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        first[begins] = solid[begins]
+        # a mark after a letter, and either side of a digit
+        at = np.flatnonzero(kind == _MARK)
+        at = at[at > 0]
+        before = kind[at - 1]
+        letter = before == _LETTER
+        wide = np.flatnonzero((before == _WIDE) & (at > 1))
+        letter[wide] = (data[at[wide] - 2] == 0xC3) & _LATIN[data[at[wide] - 1]]
+        first[at[letter]] = True
+        digit = np.flatnonzero(kind == _DIGIT)
+        first[digit] = True
+        after = digit[digit + 1 < len(data)] + 1
+        first[after[(kind[after] != _BLANK) & (kind[after] != _WIDE)]] = True
+        starts = np.flatnonzero(first[solid])
+        counts = np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+        if not len(starts):
+            return np.zeros(0, np.int64), counts
+        packed = _FOLD[data[solid]]
+        # equal pieces meet before any becomes a Python object
+        off = np.append(starts, len(packed)).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(packed)]).dictionary_encode()
         keys = own.dictionary.to_pylist()
         new = [x for x in keys if x not in self.memo]
         if new:
@@ -86,21 +142,46 @@ class Encoder:
         numbers = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
         return numbers[own.indices.to_numpy()], counts
 
-    def lengths(self, texts: pa.Array) -> np.ndarray:
-        """Ids in each text."""
-        which, counts = self.pieces(texts)
-        total = np.concatenate([[0], np.cumsum(np.diff(self.at)[which])])
+    def _by_words(self, texts: pa.Array, wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        which, counts = self._pieces(texts)
+        begin, size = self.at[which], self.at[which + 1] - self.at[which]
+        total = np.concatenate([[0], np.cumsum(size)])
         ends = np.cumsum(counts)
-        return total[ends] - total[ends - counts]
+        lengths = total[ends] - total[ends - counts]
+        return (self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)] if wanted else None), lengths
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(lengths.sum())), lengths
+
+    def _all(self, texts: pa.Array, wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        if not self.by_words:
+            return self._whole(texts)
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._by_words(texts, wanted)
+        flat, lengths = self._by_words(pc.if_else(pa.array(special), "", texts.cast(pa.string())), wanted)
+        own, n = self._whole(texts.filter(pa.array(special)))
+        lengths = lengths.copy()
+        lengths[special] = n
+        if not wanted:
+            return None, lengths
+        out = np.empty(int(lengths.sum()), self.dtype)
+        there = np.repeat(special, lengths)
+        out[there], out[~there] = own, flat
+        return out, lengths
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Ids in each text; null counts as empty."""
+        return self._all(texts, False)[1]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and ids in each text; ``end`` follows each text if given."""
-        which, counts = self.pieces(texts)
-        begin, size = self.at[which], self.at[which + 1] - self.at[which]
-        total = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
-        flat, ends = self.ids[place], np.cumsum(counts)
-        lengths = total[ends] - total[ends - counts]
+        flat, lengths = self._all(texts, True)
         if end is None:
             return flat, lengths
         out = np.empty(len(flat) + len(lengths), self.dtype)

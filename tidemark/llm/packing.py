@@ -15,6 +15,8 @@ made in two levels, never one task for a source or for the stream.
 
 Null and empty texts hold the end id alone.  Null sources form one queue.  Rows
 with equal doc_id are packed each for itself.  An empty table gives no pieces.
+What is placed is rounds of a document's source, or, where the source's quantum
+is below a unit, the document's units: never more rows than ids / unit and a few.
 Further columns of any name are not read.
 """
 
@@ -34,6 +36,8 @@ from ._text import slices
 
 #: Rounds whose pieces are put in order by one task.
 _ROUNDS = 64
+#: The highest number of a round.
+_LAST = 1 << 52
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int, doc_id: str, text: str, source: str) -> DataFrame:
@@ -44,10 +48,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, doc_id: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from ._tokens import encoder
+        from ._tokens import AT_ONCE, encoder
 
         e, part, row, queued = encoder(tokenizer), TaskContext.get().partitionId(), 0, {}
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", AT_ONCE):
             flat, counts = e.encode(b.column("text"), end)
             off = np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize
             col = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
@@ -65,31 +69,38 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, doc_id: str, text: str,
 def placed(tokens: DataFrame, length: int, weights: dict[str, float] | None, unit: int) -> DataFrame:
     """Pieces by place alone: row, start, length, sequence_id, offset."""
     docs = tokens.select("row", "part", "source", "n_tokens", "queued")
-    parts = docs.groupBy("source", "part").agg(F.max(F.col("queued") + F.col("n_tokens")).alias("n"))
-    queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", "n", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("part_base"))
+    parts = written(docs.groupBy("source", "part").agg(F.max(F.col("queued") + F.col("n_tokens")).alias("n")))
     sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    total = sources.agg(F.sum("n").alias("all"))
     share = F.col("n") / F.col("all")
     if weights:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
         share = F.coalesce(F.try_element_at(given, F.col("source")), share)
-    sources = sources.crossJoin(F.broadcast(total)).withColumn("share", F.greatest(share, F.lit(1e-12)))  # total: one row
+    total = parts.agg(F.sum("n").alias("all"))
+    sources = sources.crossJoin(F.broadcast(total)).withColumn("share", share)  # total: one row
     sources = sources.crossJoin(F.broadcast(sources.agg(F.sum("share").alias("shares"))))
     quantum = F.lit(float(length)) * F.col("share") / F.col("shares")
-    sources = sources.select(F.col("source").alias("s"), F.when(quantum >= unit, 1).otherwise(unit).cast("long").alias("unit"), quantum.alias("q"))
-    sources = sources.select("s", "unit", (F.col("q") / F.col("unit")).alias("rate"))
-    plan = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "part_base").join(sources, F.col("p_source").eqNullSafe(F.col("s")))
+    sources = sources.select(F.col("source").alias("s"), "n", F.when(quantum >= unit, 1).otherwise(unit).cast("long").alias("unit"), quantum.alias("q"))
+    # no round has a number that a double does not hold
+    rate = F.greatest(F.col("q") / F.col("unit"), F.col("n") / F.col("unit") / F.lit(float(_LAST)))
+    sources = sources.select("s", "unit", rate.alias("rate"))
+    queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("source", "part", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("part_base"))
+    plan = bases.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "part_base", "unit", "rate")
+    plan = written(plan)  # apart from the join, so that Spark can split a source of very many documents there
     d = docs.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
     d = d.select("row", "source", "unit", "rate", (F.col("part_base") + F.col("queued")).alias("a"), "n_tokens")
-    first = F.ceil((F.floor(F.col("a") / F.col("unit")) + 1) / F.col("rate")).cast("long")
-    last = F.ceil((F.floor((F.col("a") + F.col("n_tokens") - 1) / F.col("unit")) + 1) / F.col("rate")).cast("long")
-    # one round more at either end, for rounding; empty shares are dropped
-    d = d.withColumn("k", F.explode(F.sequence(first - 1, last + 1)))
+    by_round, end = F.col("rate") >= 1, F.col("a") + F.col("n_tokens")
+    round_of = lambda u: F.ceil((u + 1) / F.col("rate")).cast("long")
+    first, last = F.floor(F.col("a") / F.col("unit")), F.floor((end - 1) / F.col("unit"))
+    # the document's rounds, and one more at either end for rounding; or, where rounds serve less than a unit, its units
+    d = d.withColumn("e", F.explode(F.when(by_round, F.sequence(round_of(first) - 1, round_of(last) + 1)).otherwise(F.sequence(first, last))))
     served = lambda k: F.floor(F.greatest(k, F.lit(0)) * F.col("rate")).cast("long") * F.col("unit")
-    d = d.withColumn("lo", F.greatest(F.col("a"), served(F.col("k") - 1))).withColumn("hi", F.least(F.col("a") + F.col("n_tokens"), served(F.col("k"))))
+    e = F.col("e")
+    d = d.withColumn("k", F.when(by_round, e).otherwise(round_of(e)))
+    d = d.withColumn("lo", F.greatest(F.col("a"), F.when(by_round, served(e - 1)).otherwise(e * F.col("unit"))))
+    d = d.withColumn("hi", F.least(end, F.when(by_round, served(e)).otherwise((e + 1) * F.col("unit"))))
     d = d.where("lo < hi").select("row", "source", "k", (F.col("lo") - F.col("a")).alias("start"), "lo", (F.col("hi") - F.col("lo")).alias("n"), F.floor(F.col("k") / _ROUNDS).cast("long").alias("run"))
-    base = before(d.groupBy("run").agg(F.sum("n").alias("n")), "run", "n")
+    base = before(d.groupBy("run").agg(F.sum("n").alias("n")), "run", "n", 1024, 3)
     inside = Window.partitionBy("run").orderBy("k", "source", "lo").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, "run").withColumn("at", F.col("at") + F.col("before"))
     size = F.lit(length)
@@ -103,10 +114,14 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int, length: int = 4096, weigh
     """Pieces of documents that fill sequences of ``length`` ids.
 
     doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset.  ``weights``: target shares by source; a source without
-    one has its share of the ids.  ``unit``: a source whose quantum is below so
-    many ids saves up that many before it is served.
+    sequence_id, offset.  ``weights``: target shares by source, above 0 (a
+    ValueError else); a source without one has its share of the ids.  ``unit``: a
+    source whose quantum is below so many ids saves up that many before it is
+    served.  A document makes at most its ids / ``unit`` + 4 pieces before cuts at
+    the ends of sequences, however small its source's share.
     """
+    if weights and not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be above 0 and finite; filter out what is not to be packed")
     tokens = written(tokenized(docs, tokenizer, end, doc_id, text, source))
     s = T.StructType([tokens.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length")), T.StructField("ids", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset"))])
     pieces = placed(tokens, length, weights, unit).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
@@ -115,16 +130,20 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int, length: int = 4096, weigh
         from ._tokens import encoder
 
         dtype = encoder(tokenizer).dtype
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                lists = b.column("pieces")
-                flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                col = lambda k: flat.field(k)
-                of = np.repeat(np.arange(b.num_rows), counts)
-                ids = [np.frombuffer(x.as_buffer(), dtype).astype("<u4") for x in b.column("ids")]
-                cuts = [ids[i][s : s + n].tobytes() for i, s, n in zip(of.tolist(), col("start").to_pylist(), col("length").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), col("start"), col("length"), pa.array(cuts, pa.binary()), b.column("n_tokens").take(pa.array(of)), col("sequence_id"), col("offset")], s.names)
+        for b in slices(batches, "ids", 4 << 20):
+            lists = b.column("pieces")
+            flat, of = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            start, size = flat.field("start").to_numpy(), flat.field("length").to_numpy()
+            # in order of rows and starts the pieces are the ids of the batch, end to end
+            order = np.lexsort((start, of))
+            ids = b.column("ids").cast(pa.large_binary())
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            wide = np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).astype("<u4")
+            off = np.concatenate([[0], np.cumsum(size[order])]) * 4
+            cuts = pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(off), pa.py_buffer(wide)]).cast(pa.binary())
+            own = pa.array(of[order])
+            flat = flat.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), flat.field("start"), flat.field("length"), cuts, b.column("n_tokens").take(own), flat.field("sequence_id"), flat.field("offset")], s.names)
 
     return tokens.select("row", "doc_id", "n_tokens", "ids").join(pieces, "row").mapInArrow(cut, s)
 

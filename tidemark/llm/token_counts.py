@@ -29,10 +29,10 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", end: bo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        from ._tokens import encoder
+        from ._tokens import AT_ONCE, encoder
 
         e, seen = encoder(tokenizer), Counter()
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", AT_ONCE):
             seen.update((e.lengths(b.column("text")) + int(end)).tolist())
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
