@@ -175,6 +175,30 @@ def test_codec_checks_blocks():
         _codec.decode(bytes(coded))
 
 
+def test_codec_groups(monkeypatch):
+    """More blocks than are coded side by side, all ids of a block distinct, one id alone; each block is coded by itself."""
+    monkeypatch.setattr(_codec, "LANES", 3)
+    rng = np.random.default_rng(1)
+    n = _codec.BLOCK
+    x = np.concatenate([rng.permutation(n) + 7, np.full(n, 65535), rng.integers(0, 9, 2 * n), rng.permutation(65536)[: n + 5], [3]])
+    assert (_codec.decode(_codec.encode(x)) == x).all()
+    first = np.frombuffer(_codec.encode(x[:n]), "<u4")[5:8]
+    assert (np.frombuffer(_codec.encode(x), "<u4")[5:8] == first).all()
+
+
+def test_codec_is_below_order_0():
+    """Fewer bits an id than zlib takes for the whole, and than the ids' own entropy without context, on real texts."""
+    import pyarrow.parquet as pq
+
+    from tidemark.llm._tokens import encoder
+
+    x, _ = encoder(Q.vocabulary()).encode(pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text"), 1)
+    p = np.bincount(x) / len(x)
+    p = p[p > 0]
+    coded = len(_codec.encode(x))
+    assert coded < len(zlib.compress(x.astype("<u2").tobytes(), 9)) and 8 * coded / len(x) < -(p * np.log2(p)).sum()
+
+
 def test_token_counts(spark, odd, empty, ids):
     n = np.array([len(ids(r.text)) for r in odd.collect()])
     h = length_histogram(odd, Q.vocabulary())

@@ -1,17 +1,21 @@
 """Context-mixing range coder for token ids, many independent blocks in step.
 
 A segment holds ids cut into blocks of BLOCK.  Each block starts from a fresh
-model and has its own payload and checksum, so a block can be read alone.  The
-blocks of a segment are coded side by side, one id of each at a time: the
-recursion runs along a block, the arrays across blocks.
-
-Model of one block.  Order 2 and order 1 predict the id that followed the same
-two ids, or the same id, last time; order 0 knows the ids met so far, and what
-it has not met costs 16 or 32 plain bits.  An id is thus one of four events
-(order-2 hit, order-1 hit, met before, new).  The event's probabilities mix two
-adaptive counters, one by which predictions exist and agree and one by the last
-two events; adding the counts weighs each by its evidence.  The four 16-bit
-counts of a context lie in one 64-bit word.
+model and has its own payload and checksum, so a block can be read alone.  Up to
+LANES blocks are coded side by side, one id of each at a time: the recursion
+runs along a block, the arrays across blocks, and memory has that bound whatever
+the segment's length.
+
+Model of one block.  Ids are numbered as they are met.  Order 2 and order 1
+predict the id that followed the same two ids, or the same id, before, with a
+confidence that rises by hits and falls by misses.  Order 0 gives each id met its
+count so far; the running sums of the counts are made anew at growing distances
+(_RENEW at most), and ids met since then count once.  An id not met yet costs its
+share of a fixed distribution that falls with the id, as merges come in order of
+frequency.  An id is thus one of four events (order-2 hit, order-1 hit, met, new)
+whose probabilities mix two adaptive counters, one by the confidences and one by
+the last two events; adding the counts weighs each by its evidence.  The four
+16-bit counts of a context lie in one 64-bit word.
 
 Segment: MAGIC, version, flags, blocks, ids (little-endian 32-bit words), then
 for each block payload words, crc32 of the payload, crc32 of the ids; then the
@@ -24,184 +28,305 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = 0x4B4D4454, 1
-BLOCK = 2048
-_H1, _H2, _H0 = 10, 11, 12  # bits of the tables
+MAGIC, VERSION = 0x4B4D4454, 2
+#: Ids in a block, and blocks coded side by side.
+BLOCK, LANES = 1 << 12, 1 << 11
 U = np.uint64
-_ONES = U(0x0001000100010001)
-_F16, _LOW, _32 = U(0xFFFF), U(0xFFFFFFFF), U(32)
-_EVENT0 = U(0x0002000400020002)  # new 2, met 4, order 1 2, order 2 2
-_STEP = U(8)
-_K1, _K2, _K0 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
+_H2 = 11  # bits of an order-2 table
+_ONES, _HALF = U(0x0001000100010001), U(0x7FFF7FFF7FFF7FFF)
+_F16, _LOW, _4, _16, _32, _48 = U(0xFFFF), U(0xFFFFFFFF), U(4), U(16), U(32), U(48)
+_FRESH = U(0x0004000800020002)  # order 2 2, order 1 2, met 8, new 4
+_STEP = U(16)
+#: A context's counts are halved when they exceed this, looked at every _EVERY ids.
+_LIMIT, _EVERY = U(2048), 64
+_RENEW = 256
+_IDS = np.arange(1 << 16, dtype=np.int64)
+_FALL = np.concatenate([[0], np.cumsum(1 + (1 << 15) // (_IDS + 1024))]).astype(U)  # below 2**18 in all
+_PLAIN = U(1 << 32)
 
 
 class _Model:
-    def __init__(self, lanes: int, wide: bool):
-        self.lane = np.arange(lanes)
-        self.t1 = np.zeros(lanes << _H1, np.uint32)  # id + 1, 0: none
-        self.t2 = np.zeros(lanes << _H2, np.uint32)
-        self.by_state = np.full(lanes * 8, _EVENT0)
-        self.by_last = np.full(lanes * 16, _EVENT0)
-        self.met = np.zeros((lanes, BLOCK), np.uint32)
-        self.n_met = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.c1 = np.zeros(lanes, U)
-        self.c2 = np.zeros(lanes, U)
-        self.plain = U(1 << 32 if wide else 1 << 16)
-        self.o1, self.o2, self.o0 = self.lane << _H1, self.lane << _H2, self.lane << _H0
-        self.slot = None
+    """State of some blocks: one array for each table, numbers count from 1.
+
+    Entry j of lane l lies at j * lanes + l, so what all lanes use often (early
+    numbers, common contexts) lies together.  What orders 1 and 2, or the two
+    contexts of the counters, have alike is done at once: the first axis of
+    ``e``, ``p``, ``k``, ``w`` tells them apart.
+    """
+
+    def __init__(self, lanes: int, steps: int, inverse: bool):
+        self.lane, self.lanes, self.inverse = np.arange(lanes), lanes, inverse
+        # 8 * number + confidence (1 to 4), 0: none; order 1 by number, then order 2 by hash
+        self.table = np.zeros(lanes * (steps + 2 + (1 << _H2)), np.uint16)
+        self.b2 = self.lane + lanes * (steps + 2)
+        self.word = np.full(lanes * 144, _FRESH)  # 128 by confidences, then 16 by last events
+        self.b_last = self.lane + lanes * 128
+        self.x = np.zeros((steps, lanes), np.uint16)  # numbers of the ids so far
+        self.met = np.zeros(lanes, np.int64)
+        self.last, self.q, self.h = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.ix = self.lane  # place of the number before, none at first
+        self.steps = self.summed = 0
+        self.counts = np.zeros((0, lanes), np.int32)
+        self.keep(lanes)
+        self.renew()
+
+    def keep(self, m: int) -> None:
+        """Only the first m lanes go on."""
+        for k in ("lane", "last", "q", "h", "ix", "b2", "b_last"):
+            setattr(self, k, getattr(self, k)[:m])
+        self.i, self.iw = np.empty((2, m), np.int64), np.empty((2, m), np.int64)
+
+    def renew(self) -> None:
+        """Order 0: counts (``freq``) and sums before (``cum``) of all numbers met, and room for those to come; with ``inverse``, numbers by place."""
+        n, rows = int(self.met.max(initial=0)) + 1, self.counts.shape[0]
+        seen = self.x[self.summed : self.steps].astype(np.int64) * self.lanes + np.arange(self.lanes)
+        counts = np.bincount(seen.reshape(-1), minlength=n * self.lanes).reshape(-1, self.lanes).astype(np.int32)
+        counts[:rows] += self.counts
+        self.counts, self.summed = counts, self.steps
+        self.freq = np.ones((n + _RENEW, self.lanes), np.int32)
+        self.cum = np.zeros((n + _RENEW, self.lanes), np.int32)
+        np.maximum(counts, 1, out=self.freq[:n])  # those not met yet will come once
+        np.cumsum(counts[:-1], axis=0, out=self.cum[1:n])
+        if self.inverse:
+            self.by_place = np.repeat(np.tile(np.arange(n, dtype=np.int32), self.lanes), counts.T.reshape(-1))
+        self.freq, self.cum = self.freq.reshape(-1), self.cum.reshape(-1)
+        self.known = self.met.copy()
+        self.next = self.steps + min(_RENEW, max(8, self.steps))
 
     def begin(self) -> None:
-        n = len(self.lane)
-        self.i1 = self.o1[:n] + (self.c1 * _K1 >> U(64 - _H1)).astype(np.int64)
-        self.i2 = self.o2[:n] + ((self.c2 * _K2 ^ self.c1) * _K1 >> U(64 - _H2)).astype(np.int64)
-        self.p1, self.p2 = self.t1[self.i1], self.t2[self.i2]
-        state = (self.p2 > 0) + 2 * (self.p1 > 0) + 4 * (self.p1 == self.p2)
-        self.ia, self.ib = self.lane * 8 + state, self.lane * 16 + self.last
-        self.counts = self.by_state[self.ia] + self.by_last[self.ib]
-        self.sums = self.counts * _ONES
-        self.total = self.sums >> U(48)
-
-    def span(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of an event: counts before it, its own, and among how many its rest chooses."""
-        shift = (event << 4).astype(U)
-        n = np.where(event == 3, self.plain, np.where(event == 2, np.maximum(self.n_met, 1).astype(U), U(1)))
-        return (self.sums << U(16)) >> shift & _F16, self.counts >> shift & _F16, n
-
-    def end(self, event: np.ndarray, ids: np.ndarray) -> None:
-        step = _STEP << (event << 4).astype(U)
-        self.by_state[self.ia] += step
-        self.by_last[self.ib] += step
-        new = np.flatnonzero(event == 3)
-        if len(new):
-            self.met[new, self.n_met[new]] = ids[new]
-            self.n_met[new] += 1
-        self.t1[self.i1] = self.t2[self.i2] = ids + 1
+        self.i[0] = self.ix
+        np.add(((self.q >> 7 ^ self.h) & ((1 << _H2) - 1)) * self.lanes, self.b2, out=self.i[1])
+        self.h = self.q >> 13
+        self.e = self.table.take(self.i)
+        self.p, self.k = self.e >> 3, self.e & 7
+        state = (self.k[1] << 3) + self.k[0] + (self.p[0] == self.p[1]) * np.uint16(64)
+        np.add(state.astype(np.int64) * self.lanes, self.lane, out=self.iw[0])
+        np.add(self.last * self.lanes, self.b_last, out=self.iw[1])
+        self.w = self.word.take(self.iw)
+        self.both = self.w[0] + self.w[1]
+        self.sums = self.both * _ONES
+        self.all = self.sums >> _48
+
+    def span(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of an event: counts before it, and its own."""
+        self.shift = event.astype(U) << _4
+        return (self.sums << _16) >> self.shift & _F16, self.both >> self.shift & _F16
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Places of the next ids' numbers (uint16) in the tables."""
+        x = x.astype(np.int64)
+        self.q = x * 0x9E3779B1
+        self.ix = x * self.lanes + self.lane
+        return self.ix
+
+    def end(self, event: np.ndarray, x: np.ndarray, new: np.ndarray) -> None:
+        """``x``: numbers of the ids, ``new``: lanes whose id is new."""
+        self.word[self.iw] = self.w + (_STEP << self.shift)
         self.last = (self.last << 2 & 15) | event
-        self.c2, self.c1 = self.c1, ids.astype(U) + U(1)
+        self.table[self.i] = np.where(self.p == x, self.e + (self.k < 4), np.where(self.k > 1, self.e - 1, (x << 3) + 1))
+        self.x[self.steps, : len(x)] = x
+        if len(new):
+            n = self.met[new]
+            self.cum[self.ix[new]] = self.summed + n - self.known[new]
+            self.met[new] = n + 1
+        self.steps += 1
+        if self.steps == self.next:
+            self.renew()
+        if self.steps % _EVERY == 0:
+            much = (self.word * _ONES >> _48 > _LIMIT).nonzero()[0]
+            self.word[much] = self.word[much] >> U(1) & _HALF | _ONES
 
-    def keep(self, n: int) -> None:
-        """Only the first n lanes go on."""
-        for k in ("lane", "n_met", "last", "c1", "c2"):
-            setattr(self, k, getattr(self, k)[:n])
-        self.met = self.met[:n]
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ids as numbers in order of first meeting (from 1), and which are met first."""
+    lanes, n = ids.shape
+    numbers, new = np.empty(ids.shape, np.uint16), np.zeros(ids.shape, bool)
+    for at in range(0, lanes, 32):
+        own = ids[at : at + 32].astype(U)
+        m = len(own)
+        key = np.sort((own << U(15)) + np.arange(n, dtype=U), axis=1)
+        place, kind = (key & U(0x7FFF)).astype(np.int64), key >> U(15)
+        first = np.ones(key.shape, bool)
+        first[:, 1:] = kind[:, 1:] != kind[:, :-1]
+        flat = (place + np.arange(m)[:, None] * n).reshape(-1)
+        starts = np.flatnonzero(first)
+        fresh = np.zeros(m * n, bool)
+        fresh[flat[starts]] = True
+        count = np.cumsum(fresh.reshape(m, n), axis=1, dtype=np.uint16).reshape(-1)
+        size = np.diff(np.append(starts, m * n))
+        out = np.empty(m * n, np.uint16)
+        out[flat] = np.repeat(count[flat[starts]], size)
+        numbers[at : at + m], new[at : at + m] = out.reshape(m, n), fresh.reshape(m, n)
+    return numbers, new
 
-def encode(ids: np.ndarray, wide: bool = False) -> bytes:
-    """A segment with these ids (below 65536 unless wide)."""
-    n, lanes = len(ids), max(1, -(-len(ids) // BLOCK))
-    padded = np.zeros(lanes * BLOCK, np.uint32)
-    padded[:n] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    rest = n - (lanes - 1) * BLOCK  # ids in the last block
-    model = _Model(lanes, wide)
-    slots = np.zeros(lanes << _H0, np.uint16)
+
+def _encode_group(ids: np.ndarray, wide: bool) -> list[bytes]:
+    """Payloads of the blocks of ids."""
+    n = len(ids)
+    lanes = -(-n // BLOCK)
+    steps, rest = (BLOCK if lanes > 1 else n), n - (lanes - 1) * BLOCK  # rest: ids in the last block
+    rows = np.zeros(lanes * steps, ids.dtype)
+    rows[:n] = ids
+    rows = rows.reshape(lanes, steps)
+    numbers, new = _numbered(rows)
+    grid, raw, new = np.ascontiguousarray(numbers.T), np.ascontiguousarray(rows.T), np.ascontiguousarray(new.T)
+    model = _Model(lanes, steps, False)
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    words = np.zeros((lanes, (2 if wide else 1) * BLOCK + 4), np.uint32)
-    used = np.zeros(lanes, np.int64)
-
-    def push(m: int, add: np.ndarray, width: np.ndarray) -> None:
-        """Go on with the part of each interval that begins ``add`` further and has this width."""
-        new = low[:m] + add
-        over = np.flatnonzero(new < add)
-        j = used[over] - 1
-        while len(over):  # carry into words that are out already; seldom into more than one
-            words[over, j] += np.uint32(1)
-            wrapped = words[over, j] == 0
-            over, j = over[wrapped], j[wrapped] - 1
-        small = width < U(1 << 32)
-        out = np.flatnonzero(small)
-        words[out, used[out]] = (new[out] >> _32).astype(np.uint32)
-        used[out] += 1
-        shift = small.astype(U) << U(5)
-        low[:m], span[:m] = new << shift, width << shift
-
-    for i in range(BLOCK if lanes > 1 else rest):
+    width = 2 * steps + 4
+    words = np.zeros(lanes * width, np.uint32)
+    used = np.arange(lanes) * width
+
+    def push(of, add: np.ndarray, size: np.ndarray) -> None:
+        """Go on with the part of each interval that begins ``add`` further and has this size; ``of``: lanes."""
+        own = low[of]
+        more = own + add
+        over = (more < own).nonzero()[0]
+        if len(over):
+            j = used[of][over] - 1
+            while len(j):  # carry into words that are out already; seldom into more than one
+                words[j] += np.uint32(1)
+                j = j[words[j] == 0] - 1
+        out = (size < _PLAIN).nonzero()[0]
+        if len(out):
+            at = out if isinstance(of, slice) else of[out]
+            words[used[at]] = (more[out] >> _32).astype(np.uint32)
+            used[at] += 1
+            more[out] <<= _32
+            size[out] <<= _32
+        low[of], span[of] = more, size
+
+    for i in range(steps):
         if i == rest and lanes > 1:
             model.keep(lanes - 1)
         m = len(model.lane)
         x = grid[i, :m]
         model.begin()
-        islot = model.o0[:m] + (x.astype(U) * _K0 >> U(64 - _H0)).astype(np.int64)
-        slot = slots[islot]
-        known = (model.met[model.lane, slot] == x) & (slot < model.n_met)
-        x1 = x + np.uint32(1)
-        event = np.where(x1 == model.p2, 0, np.where(x1 == model.p1, 1, np.where(known, 2, 3)))
-        slots[islot] = np.where(event == 3, model.n_met, slot).astype(np.uint16)
-        before, own, among = model.span(event)
-        choice = np.where(event == 3, x, np.where(event == 2, slot, 0)).astype(U)
-        r = span[:m] // model.total
-        if wide:
-            push(m, r * before, r * own)
-            r2 = span[:m] // among
-            push(m, r2 * choice, r2)
-        else:
-            r2 = r * own // among
-            push(m, r * before + r2 * choice, r2)
-        model.end(event, x)
+        ix = model.place(x)
+        hit = model.p == x
+        event = (2 - hit[0]) * ~hit[1] + new[i, :m]
+        before, own = model.span(event)
+        r = span[:m] // model.all
+        add, size = r * before, r * own
+        met = (event == 2).nonzero()[0]
+        if len(met):
+            im = ix[met]
+            r = size[met] // (model.summed + model.met[met] - model.known[met]).astype(U)
+            add[met] += r * model.cum.take(im).astype(U)
+            size[met] = r * model.freq.take(im).astype(U)
+        some = new[i, :m].nonzero()[0]
+        y = raw[i].take(some).astype(np.int64)
+        if len(some) and not wide:
+            r = size[some] // _FALL[-1]
+            low_y = _FALL.take(y)
+            add[some] += r * low_y
+            size[some] = r * (_FALL.take(y + 1) - low_y)
+        push(slice(0, m), add, size)
+        if len(some) and wide:
+            r = span[some] // _PLAIN
+            push(some, r * y.astype(U), r)
+        model.end(event, x, some)
     for half in (_32, U(0)):
-        words[np.arange(lanes), used] = (low >> half & _LOW).astype(np.uint32)
+        words[used] = (low >> half & _LOW).astype(np.uint32)
         used += 1
-    payloads = [words[k, : used[k]].astype("<u4").tobytes() for k in range(lanes)]
-    head = np.zeros((lanes, 3), "<u4")
+    return [words[k * width : used[k]].astype("<u4").tobytes() for k in range(lanes)]
+
+
+def encode(ids: np.ndarray, wide: bool = False) -> bytes:
+    """A segment with these ids (below 65536 unless wide)."""
+    ids = ids.astype(np.uint32 if wide else np.uint16, copy=False)
+    payloads: list[bytes] = []
+    for at in range(0, len(ids), BLOCK * LANES):
+        payloads += _encode_group(ids[at : at + BLOCK * LANES], wide)
+    head = np.zeros((len(payloads), 3), "<u4")
     for k, p in enumerate(payloads):
-        head[k] = used[k], zlib.crc32(p), zlib.crc32(padded[k * BLOCK : min(n, (k + 1) * BLOCK)].astype("<u4").tobytes())
-    return np.array([MAGIC, VERSION, int(wide), lanes, n], "<u4").tobytes() + head.tobytes() + b"".join(payloads)
+        head[k] = len(p) // 4, zlib.crc32(p), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes())
+    return np.array([MAGIC, VERSION, int(wide), len(payloads), len(ids)], "<u4").tobytes() + head.tobytes() + b"".join(payloads)
 
 
-def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError where a checksum does not fit."""
-    magic, version, wide, lanes, n = np.frombuffer(segment, "<u4", 5).tolist()
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a segment of token ids")
-    head = np.frombuffer(segment, "<u4", 3 * lanes, 20).reshape(lanes, 3)
-    used, at = head[:, 0].astype(np.int64), 20 + 12 * lanes
-    words = np.zeros((lanes, int(used.max()) + 2), np.uint32)
-    for k in range(lanes):
-        p = segment[at : at + 4 * int(used[k])]
-        if zlib.crc32(p) != head[k, 1]:
-            raise ValueError(f"block {k}: payload checksum")
-        words[k, : used[k]] = np.frombuffer(p, "<u4")
-        at += len(p)
-    rest = n - (lanes - 1) * BLOCK
-    model = _Model(lanes, bool(wide))
-    grid = np.zeros((BLOCK, lanes), np.uint32)
+def _decode_group(payloads: list[bytes], n: int, wide: bool) -> np.ndarray:
+    """The n ids of some blocks."""
+    lanes = len(payloads)
+    steps, rest = (BLOCK if lanes > 1 else n), n - (lanes - 1) * BLOCK
+    used = np.array([len(p) // 4 for p in payloads])
+    words = np.frombuffer(b"".join([*payloads, bytes(8)]), "<u4").astype(U)
+    at = np.cumsum(used) - used
+    model = _Model(lanes, steps, True)
+    name = np.zeros(lanes * (steps + 2), np.uint32)  # id by number
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    code = (words[:, 0].astype(U) << _32) | words[:, 1].astype(U)
-    nxt = np.full(lanes, 2, np.int64)
-
-    def pull(m: int, c: np.ndarray, width: np.ndarray) -> None:
-        """Go on in intervals of this width, with ``c`` the code's distance from their beginning."""
-        small = width < U(1 << 32)
-        more = words[model.lane, np.minimum(nxt[:m], words.shape[1] - 1)].astype(U)
-        code[:m] = np.where(small, (c << _32) | more, c)
-        nxt[:m] += small
-        span[:m] = width << (small.astype(U) << U(5))
-
-    for i in range(BLOCK if lanes > 1 else rest):
+    code = (words[at] << _32) | words[at + 1]
+    at += 2
+
+    def pull(of, c: np.ndarray, size: np.ndarray) -> None:
+        """Go on in intervals of this size, with ``c`` the code's distance from their beginning; ``of``: lanes."""
+        out = (size < _PLAIN).nonzero()[0]
+        if len(out):
+            j = out if isinstance(of, slice) else of[out]
+            c[out] = (c[out] << _32) | words.take(at[j], mode="clip")
+            at[j] += 1
+            size[out] <<= _32
+        code[of], span[of] = c, size
+
+    for i in range(steps):
         if i == rest and lanes > 1:
             model.keep(lanes - 1)
         m = len(model.lane)
         model.begin()
-        r, c = span[:m] // model.total, code[:m]
-        t = np.minimum(c // r, model.total - U(1))
+        c, r = code[:m], span[:m] // model.all
+        t = np.minimum(c // r, model.all - U(1))
         s = model.sums
-        event = (t >= (s & _F16)).astype(np.int64) + (t >= (s >> U(16) & _F16)) + (t >= (s >> _32 & _F16))
-        before, own, among = model.span(event)
-        c = c - r * before
-        if wide:
-            pull(m, c, r * own)
-            c, r2 = code[:m].copy(), span[:m] // among
-        else:
-            r2 = r * own // among
-        choice = np.minimum(c // r2, among - U(1))
-        met = model.met[model.lane, np.where(event == 2, choice, U(0)).astype(np.int64)]
-        x = np.where(event == 0, model.p2 - np.uint32(1), np.where(event == 1, model.p1 - np.uint32(1), np.where(event == 2, met, choice.astype(np.uint32))))
-        pull(m, c - r2 * choice, r2)
-        grid[i, :m] = x
-        model.end(event, x)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]
-    for k in range(lanes):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != head[k, 2]:
+        event = (t >= (s & _F16)).astype(np.int64) + (t >= (s >> _16 & _F16)) + (t >= (s >> _32 & _F16))
+        before, own = model.span(event)
+        c, size = c - r * before, r * own
+        x = np.where(event == 0, model.p[1], model.p[0])
+        met, some = (event == 2).nonzero()[0], (event == 3).nonzero()[0]
+        if len(met):
+            total = model.summed + model.met[met] - model.known[met]
+            r = size[met] // total.astype(U)
+            t = np.minimum((c[met] // r).astype(np.int64), total - 1)
+            late = t - model.summed  # ids met since the sums were made come last
+            number = model.by_place.take(met * model.summed + t, mode="clip") if model.summed else 0
+            number = np.where(late < 0, number, model.known[met] + 1 + late)
+            x[met] = number
+            im = number * lanes + met
+            c[met] -= r * model.cum.take(im).astype(U)
+            size[met] = r * model.freq.take(im).astype(U)
+        y = np.zeros(0, np.int64)
+        if len(some):
+            x[some] = model.met[some] + 1
+            if not wide:
+                r = size[some] // _FALL[-1]
+                y = np.searchsorted(_FALL, np.minimum(c[some] // r, _FALL[-1] - U(1)), "right") - 1
+                low_y = _FALL.take(y)
+                c[some] -= r * low_y
+                size[some] = r * (_FALL.take(y + 1) - low_y)
+        ix = model.place(x)
+        pull(slice(0, m), c, size)
+        if len(some) and wide:
+            r = span[some] // _PLAIN
+            y = np.minimum(code[some] // r, _LOW)
+            pull(some, code[some] - r * y, r)
+        name[ix[some]] = y
+        model.end(event, x, some)
+    out = name.take(model.x.astype(np.int64) * lanes + np.arange(lanes))
+    return np.ascontiguousarray(out.T).reshape(-1)[:n]
+
+
+def decode(segment: bytes) -> np.ndarray:
+    """The ids of a segment; ValueError where a checksum does not fit."""
+    magic, version, wide, blocks, n = np.frombuffer(segment, "<u4", 5).tolist()
+    if magic != MAGIC or version != VERSION:
+        raise ValueError("not a segment of token ids")
+    head = np.frombuffer(segment, "<u4", 3 * blocks, 20).reshape(blocks, 3)
+    ends = 20 + 12 * blocks + 4 * np.cumsum(head[:, 0].astype(np.int64))
+    out = np.empty(n, np.uint32)
+    for lo in range(0, blocks, LANES):
+        payloads = [segment[ends[k] - 4 * int(head[k, 0]) : ends[k]] for k in range(lo, min(blocks, lo + LANES))]
+        for k, p in enumerate(payloads, lo):
+            if zlib.crc32(p) != head[k, 1]:
+                raise ValueError(f"block {k}: payload checksum")
+        own = out[lo * BLOCK : (lo + LANES) * BLOCK]
+        own[:] = _decode_group(payloads, len(own), bool(wide))
+    for k in range(blocks):
+        if zlib.crc32(out[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != head[k, 2]:
             raise ValueError(f"block {k}: id checksum")
-    return ids
+    return out

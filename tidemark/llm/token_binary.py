@@ -8,9 +8,10 @@ may share no file system but Spark's.  One row a segment: part, segment,
 n_tokens, doc_ids, doc_tokens (ids of each document), payload.
 
 Null and empty texts hold the end id alone; null doc_ids come first; rows with
-equal doc_id follow each other in order of their texts' hashes; an empty table
-gives no segments.  A document is never split between segments.  Further columns
-are not read.
+equal doc_id follow each other in order of their texts' hashes, and are split
+between parts by those, so a doc_id (or none) of very many rows is no one task's;
+an empty table gives no segments.  A document is never split between segments,
+but its ids are coded in groups of bounded size.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from ._sums import before
 from ._text import slices
 
-#: Ids after which a segment is closed.
-SEGMENT = 4 << 20
+#: Ids after which a segment is closed: as many as the coder takes side by side.
+SEGMENT = 8 << 20
 #: Most segments whose starts (24 bytes each) are broadcast.
 BROADCAST = 200_000
 
@@ -41,7 +42,7 @@ def segments(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
         from pyspark import TaskContext
 
         from . import _codec
-        from ._tokens import encoder
+        from ._tokens import AT_ONCE, encoder
 
         e, part, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, names, lengths, held = [], [], [], 0
@@ -53,7 +54,7 @@ def segments(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
                 ["part", "segment", "n_tokens", "doc_ids", "doc_tokens", "payload"],
             )
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", AT_ONCE):
             flat, counts = e.encode(b.column("text"), end)
             ids.append(flat), names.append(b.column("doc_id")), lengths.append(counts)
             held += len(flat)
@@ -64,7 +65,8 @@ def segments(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
             yield row()
 
     # equal texts of equal doc_ids are alike, so their order does not matter
-    ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     return ordered.mapInArrow(write, schema)
 
 
