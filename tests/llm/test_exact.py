@@ -267,7 +267,7 @@ def brute_dedup(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [3, 20, 50, 130])
+@pytest.mark.parametrize("length", [1, 3, 20, 50, 130])
 def test_substring_dedup(spark, odd, empty, length):
     rng = np.random.default_rng(length)
     pool = [" ".join(rng.choice(list("abcdefgh"), 90)) for _ in range(6)]

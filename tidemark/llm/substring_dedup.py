@@ -1,17 +1,22 @@
 """Substring dedup by level-wise doubling.
 
 Windows of ``length`` words that occur in several documents are found through
-windows of half that length, a quarter and so on, down to a base length.  A
-longer window can only repeat where its parts repeat, so at each level the
-windows that repeat are extended to twice the length and counted again, until
-``length`` is reached or no candidates survive; the rest was dropped levels before.
-
-At the base level not every window is counted but, of the base windows in each
-``length``-word window, the one with the least hash: equal long windows choose
-equal base windows, so none is lost, and about 2 in ``length - base + 1`` windows
-are shuffled.  Documents with equal word sequences count as one (their first),
-since whatever a copy repeats its first has too.  Counting is by min and max of
-doc_id for each hash, pre-aggregated before the shuffle; no group is collected.
+windows of half that length, a quarter and so on, down to a base of a few words
+(for 50 words: 7, 13, 25, 50).  A longer window can only repeat where its parts
+repeat, so the windows that repeat at one length alone are extended to twice that
+length and counted again, until ``length`` is reached or no candidates survive.
+
+At the base not every window is counted but, of the base windows in each
+``length``-word window, the one with the least hash, its anchor: equal long windows
+choose equal anchors, so none is lost, and about 2 in ``length - base + 1`` windows
+are shuffled.  An anchor that repeats is extended within its long window, to the
+right while that fits and else to the left, which is again alike in equal long
+windows; so each level has few windows until the last, where all long windows
+that are left are counted.  Documents with equal word sequences count as one
+(their first), since whatever a copy repeats its first has too.  Counting is by
+min and max of doc_id for each hash, pre-aggregated before the shuffle; no group
+is collected.  Texts are read again once, where anchors repeat; from there on only
+the word hashes of the candidates are carried from level to level.
 
 Windows are judged on the input.  A window goes if its words also start in a
 document of smaller doc_id; so the smallest keeps its text, and repeats within
@@ -35,15 +40,15 @@ from ._scratch import written
 from ._text import SPACED, U64, Words, double, mix, signed, sliding_min, slices, windows
 
 #: No level starts above this many words.
-_BASE = 32
+_BASE = 8
 
 
 def levels(length: int) -> list[int]:
     """From the base length to ``length``; each is at most twice the one before."""
     out = [length]
-    while out[0] > _BASE:
-        out.insert(0, -(-out[0] // 2))
-    return out if len(out) > 1 else [max(1, -(-length // 2)), length]
+    while out[0] > _BASE or len(out) == 1:
+        out.insert(0, max(1, -(-out[0] // 2)))
+    return out
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -81,39 +86,110 @@ def described(docs: DataFrame, base: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, k long, n_words long, c1 long, c2 long, anchors array<long>")
 
 
-def _hashed(docs: DataFrame, base: int, length: int, level: int) -> DataFrame:
-    """Candidates (doc_id, k, text, alive, starts): windows of ``level`` words to count, as arrays h, v, at.
+def _least_at(h: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each w consecutive values, the first among equals."""
+    at, length = np.arange(len(h)), 1
+    while length < w:
+        step = min(length, w - length)
+        n = max(0, len(h) - step)
+        right = h[step : step + n] < h[:n]
+        h, at = np.where(right, h[step : step + n], h[:n]), np.where(right, at[step : step + n], at[:n])
+        length += step
+    return at
 
-    alive: surviving base hashes, or null if starts (of ``length``-word windows) are known.
-    """
+
+def _extended(s: np.ndarray, at: np.ndarray, sizes: list[int], length: int) -> np.ndarray:
+    """Where the windows of the last of these sizes begin, that anchors at ``at`` are extended to in the windows that begin at s."""
+    for size, level in zip(sizes, sizes[1:]):
+        at = s if level == length else np.where(at - s <= length - level, at, at - (level - size))
+    return at
+
+
+def _checked(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-word windows, and 32 bits more against chance."""
+    h, half, size, step = words, words, 1, 0
+    while size < k:
+        step = min(size, k - size)
+        h, half, size = double(h, step), h, size + step
+    return h, mix(half[: len(h)] * U64(0xC2B2AE3D27D4EB4F) + half[step : step + len(h)]).astype(np.uint32).view(np.int32)
+
+
+_CARRIED = "k long, starts array<int>, anchors array<int>, words binary, h array<long>, v array<int>, at array<int>"
+_FIELDS = [c.split()[0] for c in _CARRIED.split(", ")]
+
+
+def _batch(ids: pa.Array, rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], sizes: list[int], length: int) -> pa.RecordBatch:
+    """Candidates: (row, k, starts, anchors, hashes of the words from each start on to the end of its window, joined where they overlap)."""
+    own = [r for r in rows if len(r[2])]
+    every = lambda i: np.concatenate([r[i] for r in own]) if own else np.zeros(0, np.int64)
+    size = np.array([len(r[4]) for r in own], np.int64)
+    h, v = _checked(every(4) if own else np.zeros(0, U64), sizes[-1])
+    out_h, out_v, out_at, base = [], [], [], 0
+    for r, n in zip(own, size.tolist()):
+        at = np.unique(_extended(r[2], r[3], sizes, length))
+        place = base + _inside(r[2], at, length)
+        out_h.append(signed(h[place])), out_v.append(v[place]), out_at.append(at.astype(np.int32))
+        base += n
+    many = lambda x, kind: _lists(np.concatenate(x).astype(kind) if x else np.zeros(0, kind), np.array([len(y) for y in x], np.int64))
+    off = (np.concatenate([[0], np.cumsum(size)]) * 8).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(off.tobytes()), pa.py_buffer((every(4) if own else np.zeros(0, U64)).tobytes())])
+    cols = [pa.array([r[1] for r in own], pa.int64()), many([r[2] for r in own], np.int32), many([r[3] for r in own], np.int32), words, many(out_h, np.int64), many(out_v, np.int32), many(out_at, np.int32)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in own], pa.int64())), *cols], ["doc_id", *_FIELDS])
+
+
+def _runs(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what windows of ``length`` words at s (in order) cover."""
+    new = np.flatnonzero(np.diff(s) > length) + 1
+    return s[np.concatenate([[0], new])], s[np.concatenate([new - 1, [len(s) - 1]])] + length
+
+
+def _inside(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Where words ``at`` lie in the runs that windows at s cover, put end to end."""
+    lo, hi = _runs(s, length)
+    run = np.searchsorted(lo, at, "right") - 1
+    return (np.cumsum(hi - lo) - (hi - lo))[run] + at - lo[run]
+
+
+def _begun(docs: DataFrame, sizes: list[int], length: int) -> DataFrame:
+    """Candidates from (doc_id, k, text, alive): windows of ``length`` words whose anchor is alive, with their extensions to the second size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = Words(b.column("text"), SPACED)
-            h, least = _anchor_hash(w, base, length)
-            full, size = h, base
-            while size < level:
-                step = min(size, level - size)
-                full, other, size = double(full, step), full, size + step
-            check = mix(other[: len(full)] * U64(0xC2B2AE3D27D4EB4F) + other[step:] if size > base else full)[: len(full)]
-            out_h, out_v, out_at, counts = [], [], [], []
+            h, ks, rows = windows(w.hash, sizes[0]), b.column("k").to_pylist(), []
             for i in range(b.num_rows):
-                lo, hi = int(w.first[i]), int(w.first[i + 1]) - length + 1
-                alive, starts = b.column("alive")[i], b.column("starts")[i]
-                if hi <= lo:
-                    s = np.zeros(0, np.int64)
-                elif alive.is_valid:
-                    s = np.flatnonzero(np.isin(signed(least[lo:hi]), alive.values.to_numpy()))
-                else:
-                    s = starts.values.to_numpy().astype(np.int64)
-                if level < length:
-                    s = np.union1d(s, s + length - level)
-                out_h.append(signed(full[lo + s])), out_v.append(check[lo + s].astype(np.uint32).view(np.int32)), out_at.append(s.astype(np.int32)), counts.append(len(s))
-            n = np.array(counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), *(_lists(np.concatenate(x), n) for x in (out_h, out_v, out_at))], ["doc_id", "k", "h", "v", "at"])
+                lo, n = int(w.first[i]), int(w.counts[i]) - length + 1
+                if n > 0:
+                    own = h[lo : lo + n + length - sizes[0]]
+                    at = _least_at(own, length - sizes[0] + 1)
+                    s = np.flatnonzero(np.isin(signed(own[at]), b.column("alive")[i].values.to_numpy()))
+                    if len(s):
+                        a, e = _runs(s, length)
+                        rows.append((i, ks[i], s, at[s], np.concatenate([w.hash[lo + x : lo + y] for x, y in zip(a.tolist(), e.tolist())])))
+            yield _batch(b.column("doc_id"), rows, sizes[:2], length)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, k long, h array<long>, v array<int>, at array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, {_CARRIED}")
+
+
+def _narrowed(found: DataFrame, sizes: list[int], length: int) -> DataFrame:
+    """Of candidates with ``hit`` (windows of the last size but one that repeat), what is left, with extensions to the last size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "words"):
+            ks, rows = b.column("k").to_pylist(), []
+            for i in range(b.num_rows):
+                s, at, hit = (b.column(c)[i].values.to_numpy().astype(np.int64) for c in ("starts", "anchors", "hit"))
+                keep = np.isin(_extended(s, at, sizes[:-1], length), hit)
+                if keep.any():
+                    words, few = np.frombuffer(b.column("words")[i].as_buffer(), U64), s[keep]
+                    lo, hi = _runs(few, length)
+                    place = _inside(s, lo, length)
+                    rows.append((i, ks[i], few, at[keep], np.concatenate([words[x : x + n] for x, n in zip(place.tolist(), (hi - lo).tolist())])))
+            yield _batch(b.column("doc_id"), rows, sizes, length)
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(run, f"doc_id {kind}, {_CARRIED}")
 
 
 def _same(a: str = "") -> Column:
@@ -126,9 +202,9 @@ def _text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that lose words: r_id, r_k (doc_id, hash of the text), whole (all words go) or starts (of windows that go)."""
-    base, *rest = levels(length)
+    sizes = levels(length)
     d = _text(docs, doc_id, text)
-    meta = written(described(d, base, length))
+    meta = written(described(d, sizes[0], length))
     long = meta.where(F.col("n_words") >= length)
     # doc_id null sorts first, as its own least value
     rank = lambda c: F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("id"))
@@ -139,27 +215,22 @@ def removals(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: st
     anchors = judged.where("leads").select("doc_id", "k", F.explode("anchors").alias("a"))
     repeated = anchors.groupBy("a").agg(F.min(rank("doc_id")).alias("lo"), F.max(rank("doc_id")).alias("hi")).where("lo < hi").select(F.col("a").alias("ra"))
     repeated = written(repeated)
-    alive = anchors.join(repeated, F.col("a") == F.col("ra")).groupBy("doc_id", "k").agg(F.collect_set("a").alias("alive")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "alive", F.lit(None).cast("array<int>").alias("starts"))
-    alive = written(alive)
-    for level in rest:
-        candidates = d.join(alive, _same()).select("doc_id", "k", "text", "alive", "starts")
-        found = written(_hashed(candidates, base, length, level))
+    alive = anchors.join(repeated, F.col("a") == F.col("ra")).groupBy("doc_id", "k").agg(F.collect_set("a").alias("alive")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "alive")
+    found = written(_begun(d.join(written(alive), _same()).select("doc_id", "k", "text", "alive"), sizes, length))
+    for j in range(1, len(sizes)):
+        last = sizes[j] == length
         each = found.select("doc_id", "k", F.explode(F.arrays_zip("h", "v", "at")).alias("x")).select("doc_id", "k", "x.*")
         seen = each.groupBy("h", "v").agg(F.min(rank("doc_id")).alias("lo"), F.max(rank("doc_id")).alias("hi")).where("lo < hi").select(F.col("h").alias("sh"), F.col("v").alias("sv"), "lo")
         seen = written(seen)
         again = each.join(seen, (F.col("h") == F.col("sh")) & (F.col("v") == F.col("sv")))
-        if level == length:
-            again = again.where(rank("doc_id") > F.col("lo"))
-        again = again.groupBy("doc_id", "k").agg(F.collect_set("at").alias("hit")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), F.col("hit"))
-        if level < length:
-            both = F.filter("hit", lambda x: F.array_contains("hit", x + (length - level)))
-            again = again.select("r_id", "r_k", F.lit(None).cast("array<bigint>").alias("alive"), both.alias("starts"))
-        else:
-            again = again.select("r_id", "r_k", F.lit(False).alias("whole"), F.col("hit").alias("starts"))
-        alive = written(again)
-        if level < length and alive.isEmpty():
-            return copies.distinct()
-    return copies.distinct().unionByName(alive)
+        again = again.where(rank("doc_id") > F.col("lo")) if last else again
+        again = again.groupBy("doc_id", "k").agg(F.collect_set("at").alias("hit")).select(F.col("doc_id").alias("r_id"), F.col("k").alias("r_k"), "hit")
+        again = written(again)
+        if last or again.isEmpty():
+            break
+        found = written(_narrowed(found.join(again, _same()).select("doc_id", "k", "starts", "anchors", "words", "hit"), sizes[: j + 2], length))
+    # empty where no window survived to the last level
+    return copies.distinct().unionByName(again.select("r_id", "r_k", F.lit(False).alias("whole"), F.col("hit").alias("starts")))
 
 
 def _cut(texts: pa.Array, whole: pa.Array, starts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
