@@ -4,13 +4,16 @@ The training texts are cut into shards of whole documents.  Each shard's index
 holds, for every term of the benchmark, the increasing list of its positions,
 and its documents' extents; documents lie GAP positions apart, so no match
 crosses from one into the next.  The index is written once, and is searched
-shard by shard: for each benchmark window the lists of its terms, shifted by
-their offsets, are intersected from the rarest term on, until the list is empty
-or all terms are done (exact phrases).  For proximity the lists are not shifted,
-and each further term must occur within ``slop`` words of the rarest one.
+shard by shard, for all benchmark windows whose terms the shard has at once: the
+lists of their rarest terms there, shifted by the terms' offsets, are intersected
+with the next rarer terms' lists, until they are empty or all terms are done
+(exact phrases).  For proximity the lists are not shifted, and each further term
+must occur within ``slop`` words of the rarest one.
 
 The benchmark is taken in blocks of at most BLOCK_CHARS characters (one for a
-benchmark of usual size), so what each task holds of it has a bound.
+benchmark of usual size), so what each task holds of it has a bound; with several
+blocks the texts are written once with a number for each row, by which the
+blocks' findings are put together.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 Null or empty texts have no words and match nothing; items without words, and
@@ -36,6 +39,8 @@ from ._text import ALNUM, Words, slices
 SHARD_WORDS = 1 << 19
 GAP = 1 << 10
 BLOCK_CHARS = 4_000_000
+#: Positions that are intersected at once.
+AT_ONCE = 1 << 21
 
 
 def split_words(w: Words) -> list[bytes]:
@@ -65,12 +70,12 @@ class Terms:
         self.size = (self.windows >= 0).sum(1)
 
 
-def index(docs: DataFrame, number: dict[bytes, int], doc_id: str, text: str) -> DataFrame:
-    """One row a shard: doc_ids, keys (hash of the text), n_words and begin of its documents; terms, counts and positions."""
-    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(docs.schema[doc_id].dataType)), T.StructField("n_words", T.ArrayType(T.LongType())), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("steps", T.BinaryType())])
+def index(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
+    """Shards of (row, doc_id, text): rows, doc_ids and n_words of the documents; terms, counts and steps between positions."""
+    schema = T.StructType([T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("n_words", T.ArrayType(T.LongType())), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("steps", T.BinaryType())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes, lists, held, at = [], [], [], 0, 0
+        rows, names, sizes, lists, held, at = [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             term = np.concatenate([t for t, _ in lists])
@@ -79,9 +84,8 @@ def index(docs: DataFrame, number: dict[bytes, int], doc_id: str, text: str) ->
             term, place = term[order], place[order]
             there, counts = np.unique(term, return_counts=True)
             steps = np.diff(place, prepend=0).astype(np.int32)  # small within a list; sums restore all lists
-            ids = pa.concat_arrays(names)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([one(ids), one(pa.array(np.concatenate(sizes))), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (there, counts, steps))], schema.names)
+            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows)), one(pa.concat_arrays(names)), one(pa.array(np.concatenate(sizes))), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (there, counts, steps))], schema.names)
 
         for b in slices(batches, "text"):
             w = Words(b.column("text"), ALNUM)
@@ -89,76 +93,88 @@ def index(docs: DataFrame, number: dict[bytes, int], doc_id: str, text: str) ->
             term = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
             place = np.arange(len(words)) + at + np.repeat(np.arange(len(w.counts)) * GAP, w.counts)
             known = term >= 0
-            names.append(b.column("doc_id")), sizes.append(w.counts.astype(np.int64)), lists.append((term[known], place[known]))
+            rows.append(b.column("row")), names.append(b.column("doc_id")), sizes.append(w.counts.astype(np.int64)), lists.append((term[known], place[known]))
             at += len(words) + len(w.counts) * GAP
             held += len(words)
             if held >= SHARD_WORDS or at >= 1 << 30:
                 yield row()
-                names, sizes, lists, held, at = [], [], [], 0, 0
+                rows, names, sizes, lists, held, at = [], [], [], [], 0, 0
         if names:
             yield row()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, schema)
+    return docs.mapInArrow(build, schema)
 
 
-def _begin(lists: dict, terms: np.ndarray, slop: int | None) -> np.ndarray:
-    """Positions where a window begins (or, with slop, occurrences of its rarest term with all others near)."""
-    order = sorted(range(len(terms)), key=lambda k: len(lists[terms[k]]))
-    first = order[0]
-    at = lists[terms[first]] - (first if slop is None else 0)
-    for k in order[1:]:
-        own = lists[terms[k]]
-        if slop is None:
-            i = np.searchsorted(own, at + k)
-            at = at[own[np.minimum(i, len(own) - 1)] == at + k]
-        else:
-            at = at[np.searchsorted(own, at - slop) < np.searchsorted(own, at + slop, "right")]
-        if not len(at):
-            break
-    return at
+def _matched(posts: np.ndarray, number: np.ndarray, windows: np.ndarray, size: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that occur, and where each begins (or, with slop, occurrences of its rarest term with all others near).
+
+    posts: (term << 32) + position in order; number: occurrences by term.
+    """
+    n = number[windows]
+    order = np.argsort(np.where(windows < 0, np.iinfo(np.int64).max, n), axis=1, kind="stable")  # rarest first, none last
+    by_rank = np.take_along_axis(windows, order, 1).astype(np.int64)
+    rarest = by_rank[:, 0]
+    first = np.searchsorted(posts, rarest << 32)
+    found, begins = [], []
+    total = np.cumsum(number[rarest])
+    cuts = [0, *np.searchsorted(total, np.arange(AT_ONCE, int(total[-1]) if len(total) else 0, AT_ONCE)).tolist(), len(rarest)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        count = number[rarest[lo:hi]]
+        of = np.repeat(np.arange(lo, hi), count)
+        place = np.repeat(first[lo:hi] - (np.cumsum(count) - count), count) + np.arange(len(of))
+        at = (posts[place] & 0xFFFFFFFF) - (order[of, 0] if slop is None else 0)
+        for k in range(1, windows.shape[1]):
+            term = by_rank[of, k]
+            if slop is None:
+                key = (term << 32) + at + order[of, k]
+                keep = posts[np.minimum(np.searchsorted(posts, key), len(posts) - 1)] == key
+                keep &= at + order[of, k] >= 0
+            else:
+                keep = np.searchsorted(posts, (term << 32) + np.maximum(at - slop, 0)) < np.searchsorted(posts, (term << 32) + at + slop, "right")
+            keep |= k >= size[of]
+            of, at = of[keep], at[keep]
+            if not len(of):
+                break
+        keep = at >= 0
+        found.append(of[keep]), begins.append(at[keep])
+    return (np.concatenate(found), np.concatenate(begins)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def search(shards: DataFrame, terms: Terms, id_type: T.DataType, item_type: T.DataType, slop: int | None = None) -> DataFrame:
     """One row a document of the shards: doc_id, n_words, items that match, spans (start, end) of words hit, disjoint and in order."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("place", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", span)])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes = batch.column("n_words")[i].values.to_numpy()
                 there, counts, steps = (np.frombuffer(batch.column(k)[i].as_py(), np.int32) for k in ("terms", "counts", "steps"))
-                ends = np.cumsum(counts)
-                place = np.cumsum(steps, dtype=np.int64)
-                lists = {t: place[e - c : e] for t, c, e in zip(there.tolist(), counts.tolist(), ends.tolist())}
-                present = np.zeros(len(terms.number) + 1, bool)
-                present[there] = True
-                present[-1] = True  # for -1
+                posts = (np.repeat(there, counts).astype(np.int64) << 32) + np.cumsum(steps, dtype=np.int64)
+                number = np.zeros(len(terms.number) + 1, np.int64)
+                number[there] = counts
+                number[-1] = 1  # for -1
                 begin = np.concatenate([[0], np.cumsum(sizes + GAP)])
-                of, items, lo, hi = [], [], [], []
-                for k in np.flatnonzero(present[terms.windows].all(1)).tolist():
-                    at = _begin(lists, terms.windows[k, : terms.size[k]].tolist(), slop)
-                    if len(at):
-                        d = np.searchsorted(begin, at, "right") - 1
-                        of.append(d), lo.append(at - begin[d])
-                        hi.append(at - begin[d] + (int(terms.size[k]) if slop is None else 1))
-                        hit = np.unique(d)
-                        items += [(x, y) for x in hit.tolist() for y in terms.items[k]]
+                some = np.flatnonzero((number[terms.windows] > 0).all(1))
+                which, at = _matched(posts, number, terms.windows[some], terms.size[some], slop)
+                which = some[which]
+                of = np.searchsorted(begin, at, "right") - 1
+                lo = at - begin[of]
+                hi = lo + (terms.size[which] if slop is None else 1)
+                items = [(x, y) for x, k in np.unique(np.stack([of, which], 1), axis=0).tolist() for y in terms.items[k]]
                 found: dict[int, set] = {}
                 for x, y in items:
                     found.setdefault(x, set()).add(y)
                 spans: dict[int, list] = {}
-                if of:
-                    of, lo, hi = (np.concatenate(x) for x in (of, lo, hi))
-                    for j in np.lexsort((hi, lo, of)).tolist():
-                        own = spans.setdefault(int(of[j]), [])
-                        if own and lo[j] <= own[-1]["end"]:
-                            own[-1]["end"] = max(own[-1]["end"], int(hi[j]))
-                        else:
-                            own.append({"start": int(lo[j]), "end": int(hi[j])})
+                for j in np.lexsort((hi, lo, of)).tolist():
+                    own = spans.setdefault(int(of[j]), [])
+                    if own and lo[j] <= own[-1]["end"]:
+                        own[-1]["end"] = max(own[-1]["end"], int(hi[j]))
+                    else:
+                        own.append({"start": int(lo[j]), "end": int(hi[j])})
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("shard")[i].as_py())), pa.array(np.arange(n)), batch.column("doc_ids")[i].values, pa.array(sizes), pa.array([[terms.ids[y] for y in sorted(found.get(x, ()))] for x in range(n)], to_arrow(item_type)), pa.array([spans.get(x, []) for x in range(n)], _SPANS)],
+                    [batch.column("rows")[i].values, batch.column("doc_ids")[i].values, pa.array(sizes), pa.array([[terms.ids[y] for y in sorted(found.get(x, ()))] for x in range(n)], to_arrow(item_type)), pa.array([spans.get(x, []) for x in range(n)], _SPANS)],
                     schema.names,
                 )
 
@@ -183,18 +199,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, slop: int | N
     b = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     blocks = max(1, -(-int(b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // BLOCK_CHARS))
     parts, id_type, item_type = [], docs.schema[doc_id].dataType, benchmark.schema[item_id].dataType
+    d = docs.select(F.lit(0).cast("long").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if blocks > 1:
+        d = written(d.withColumn("row", F.monotonically_increasing_id()))
     for k in range(blocks):
         own = b if blocks == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         terms = Terms([(r.i, r.t) for r in own.toLocalIterator()], n)  # a block: bounded by BLOCK_CHARS
-        shards = written(index(docs, terms.number, doc_id, text).withColumn("shard", F.monotonically_increasing_id()))
+        shards = written(index(d, terms.number))
         parts.append(search(shards, terms, id_type, item_type, slop))
     if blocks == 1:
         return parts[0].select("doc_id", "n_words", "items", "spans")
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    # shards are cut alike for every block, since they depend on the texts alone
-    all_ = union.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    all_ = union.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     joined = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),

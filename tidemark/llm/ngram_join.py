@@ -3,19 +3,24 @@
 A document is its set of ``n``-word shingles (all its words, if it has fewer).
 Every document carries min-hash values, which are tokens that two sets share
 with a probability equal to their Jaccard similarity.  A run splits the whole
-collection by one such token; nodes that are still large are split again by
-another token that the node's own path chooses, for at most DEPTH levels; what
-falls into one leaf is compared by brute force on the shingles themselves.  Runs
-repeat until a pair at the threshold t is missed with a probability below
-``1 - recall`` even if it had to pass all levels: (1 - t**DEPTH)**runs.
+collection recursively: a node samples 1 / t of its run's POOL tokens on average
+(for t = 0.8 one, or in a quarter of the nodes two), none that its path has used,
+and a set goes on to one child for each sampled token, the child of that token's
+value; so a pair at the threshold t goes on together into one child on average,
+however deep.  Nodes of at most SPLIT sets, and those at DEPTH, are leaves, and
+are compared by brute force on the shingles themselves.  The chance that a pair
+at the threshold shares a leaf is ``survival``, in closed form; runs repeat until
+a pair is missed with a probability below ``1 - recall``.
 
 Documents with equal sets form one class, found by grouping; only a class's
 first document is compared, whatever the number of copies.  A pair belongs to
-the first run in which it shares a leaf, so it is counted once, and leaves in
-which all pairs belong to earlier runs are left out before any set is moved.
-Leaves larger than BLOCK are compared in pairs of blocks, each pair a task of
-its own; nothing is capped, and only counts and a spanning forest leave a task.
-Groups are the connected components of all links.
+the first leaf that both share, so it is counted once, and leaves in which all
+pairs are known to belong to earlier runs are left out before any set is moved.
+Leaves of more than BLOCK sets or SHINGLES shingles are compared in pairs of
+blocks, each pair a task of its own; nothing is capped, and only counts and a
+spanning forest leave a task.  In a dense leaf of m sets, exact counts of links
+take all m * m / 2 comparisons, and each set is sent m / BLOCK times.  Groups are
+the connected components of all links.
 
 Null and empty texts have no shingles: they are alone, without links.  Rows with
 equal doc_id and text are members of one class like other copies.  An empty
@@ -37,16 +42,41 @@ from ._scratch import written
 from ._text import SPACED, U64, Words, mix, signed, slices, windows
 
 DEPTH = 3
-#: Tokens of a run: one for the root, the others for its nodes to choose from.
-POOL = 4
+#: Tokens of a run, which its nodes sample.
+POOL = 6
 #: Nodes of more sets are split again while levels remain.
 SPLIT = 256
-#: Sets compared in one piece.
-BLOCK = 256
+#: Sets, and shingles of them, in a block; a larger set comes alone.
+BLOCK, SHINGLES = 512, 1 << 21
+#: Bits of a leaf's number below its run.
+_BITS = 56
+
+
+def survival(similarity: float, threshold: float) -> float:
+    """The chance that two sets of this similarity share a leaf of a run.
+
+    Given which of the POOL tokens they share, nodes sample independently, so
+    the chance follows from the numbers of tokens unused, and of those shared.
+    """
+    whole = math.floor(1 / threshold)
+
+    def share(shared: int, unused: int, depth: int) -> float:
+        if depth == 0:
+            return 1.0
+        below = share(shared - 1, unused - 1, depth - 1) if shared else 0.0
+
+        def lost(m: int) -> float:
+            m = min(m, unused)
+            return sum(math.comb(shared, j) * math.comb(unused - shared, m - j) * (1 - below) ** j for j in range(m + 1)) / math.comb(unused, m)
+
+        more = 1 / threshold - whole
+        return 1 - (1 - more) * lost(whole) - more * lost(whole + 1)
+
+    return sum(math.comb(POOL, a) * similarity**a * (1 - similarity) ** (POOL - a) * share(a, POOL, DEPTH) for a in range(POOL + 1))
 
 
 def runs_for(threshold: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold))))
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,63 +128,74 @@ def _described(docs: DataFrame, n: int, runs: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, k long, n_set long, c1 long, c2 long, tokens array<int>")
 
 
-def _leaves(classes: DataFrame, runs: int) -> DataFrame:
-    """(run, leaf, c, members): each class's leaf in each run in which it is not alone there."""
+def _leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
+    """(run, leaf, c, members, shingles): each class's leaves in which it is not alone, and their sets and shingles in all."""
     root = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), F.slice("tokens", r * POOL + 1, POOL).alias("t")))
-    level = classes.select("c", F.explode(root).alias("x")).select("c", "x.run", "x.t").withColumn("leaf", F.xxhash64("run", F.element_at("t", 1)))
+    level = classes.select("c", "n_set", F.explode(root).alias("x")).select("c", "n_set", "x.run", "x.t", F.lit(0).alias("used"), F.xxhash64("x.run").alias("leaf"))
+    whole, more = math.floor(1 / threshold), 1 / threshold - math.floor(1 / threshold)
     done = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("run", "leaf").agg(F.count("*").alias("members")).where("members > 1").select(F.col("run").alias("s_run"), F.col("leaf").alias("s_leaf"), "members")
+        wanted = F.lit(whole) + (F.pmod(F.xxhash64("leaf", F.lit("many")), F.lit(1 << 20)) < int(more * (1 << 20))).cast("int")
+        free = F.filter(F.sequence(F.lit(0), F.lit(POOL - 1)), lambda i: F.getbit("used", i) == 0)
+        order = F.array_sort(F.transform(free, lambda i: F.struct(F.xxhash64("leaf", i).alias("h"), i.alias("i"))))
+        child = F.transform(F.slice(order, 1, wanted), lambda x: F.struct((F.col("used") + F.pow(F.lit(2), x["i"]).cast("int")).alias("used"), F.xxhash64("leaf", x["i"], F.element_at("t", x["i"] + 1)).alias("leaf")))
+        level = level.select("c", "n_set", "run", "t", F.explode(child).alias("x")).select("c", "n_set", "run", "t", "x.used", (F.col("run").cast("long") * (1 << _BITS) + F.col("x.leaf").bitwiseAND(F.lit((1 << _BITS) - 1))).alias("leaf"))
+        level = written(level) if depth > 1 else level
+        sizes = level.groupBy("leaf").agg(F.count("*").alias("members"), F.sum("n_set").alias("shingles")).where("members > 1").withColumnRenamed("leaf", "s_leaf")
         sizes = written(sizes)  # apart from the join, so that Spark can split a large node there
-        level = level.join(sizes, (F.col("run") == F.col("s_run")) & (F.col("leaf") == F.col("s_leaf"))).select("c", "run", "t", "leaf", "members")
+        level = level.join(sizes, F.col("leaf") == F.col("s_leaf")).drop("s_leaf")
         if depth < DEPTH:
             level = written(level)
-            small = level.where(F.col("members") <= SPLIT)
-            choice = F.pmod(F.xxhash64("leaf", F.lit(depth)), F.lit(POOL - 1)).cast("int") + 2
-            large = level.where(F.col("members") > SPLIT)
-            level = large.select("c", "run", "t", F.xxhash64("leaf", choice, F.element_at("t", choice)).alias("leaf"))
+            small = level.where(F.col("members") <= SPLIT).select("run", "leaf", "c", "members", "shingles")
+            level = level.where(F.col("members") > SPLIT)
             done = small if done is None else done.unionByName(small)
         else:
+            level = level.select("run", "leaf", "c", "members", "shingles")
             done = done.unionByName(level) if done is not None else level
-    return done.select("run", "leaf", "c", "members")
-
-
-def _compare(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
+    return done
+
+
+def _shared(of: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
+    """How many values each two of m sets have in common (value[i] is in set of[i])."""
+    order = np.argsort(value, kind="stable")
+    value, of = value[order], of[order]
+    number = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1 if len(value) else np.zeros(0, np.int64)
+    often = np.bincount(number) > 1
+    some = often[number]
+    of, number = of[some], (np.cumsum(often) - 1)[number[some]]
+    out, width = np.zeros((m, m), np.float32), 2048  # counts below 2**24 are exact
+    cuts = np.searchsorted(number, np.arange(0, (int(number[-1]) + 1 if len(number) else 0) + width, width))
+    for at, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        x = np.zeros((m, width), np.float32)
+        x[of[lo:hi], number[lo:hi] - at * width] = 1
+        out += x @ x.T
+    return out
+
+
+def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     """Links within each piece: c, linked (documents linked to it here), to (a class of its part of the spanning forest)."""
     t = Fraction(str(threshold))
 
-    def piece(rows: list[tuple]) -> tuple[list, list, list]:
+    def piece(rows: list[tuple], leaf: int, two: bool) -> tuple[list, list, list]:
         seen, keep = set(), []
-        for r in rows:  # (c, side, docs, run, paths, set)
+        for r in rows:  # (c, side, docs, paths, set)
             if r[0] not in seen:
                 seen.add(r[0])
                 keep.append(r)
         m = len(keep)
-        if m < 2:
+        side = np.array([r[1] for r in keep])
+        if m < 2 or two and side.all() | ~side.any():
             return [], [], []
-        sets = [np.frombuffer(r[5], U64) for r in keep]
+        each = lambda lists: np.repeat(np.arange(m), [len(x) for x in lists])
+        sets = [np.frombuffer(r[4], U64) for r in keep]
         size, docs = np.array([len(x) for x in sets]), np.array([r[2] for r in keep], np.int64)
-        side, paths = np.array([r[1] for r in keep]), np.array([r[4] for r in keep])
-        flat, of = np.concatenate(sets), np.repeat(np.arange(m), size)
-        order = np.argsort(flat, kind="stable")
-        flat, of = flat[order], of[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        number = np.cumsum(new) - 1
-        often = np.bincount(number) > 1
-        shared = often[number]
-        of, number = of[shared], (np.cumsum(often) - 1)[number[shared]]
-        inter = np.zeros((m, m))
-        cuts = np.searchsorted(number, np.arange(0, (int(number[-1]) if len(number) else 0) + 2048, 2048))
-        for at, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            x = np.zeros((m, 2048), np.float32)
-            x[of[lo:hi], number[lo:hi] - at * 2048] = 1
-            inter += x @ x.T
+        inter = _shared(each(sets), np.concatenate(sets), m).astype(np.float64)
         near = inter * (t.denominator + t.numerator) >= t.numerator * (size[:, None] + size[None, :])
         np.fill_diagonal(near, False)
-        if side.any() and not side.all():  # two blocks: pairs within one belong to its own piece
+        if two:  # pairs within one block belong to its own piece
             near &= side[:, None] != side[None, :]
-        for r in range(keep[0][3]):
-            near &= ~((paths[:, r, None] == paths[None, :, r]) & (paths[:, r, None] != 0))
+        before = [np.array([x for x in r[3] if x < leaf], np.int64) for r in keep]
+        near &= _shared(each(before), np.concatenate(before), m) == 0
         linked = near @ docs
         label = np.arange(m)
         while True:  # least label among neighbours
@@ -170,12 +211,12 @@ def _compare(rows: DataFrame, threshold: float, runs: int) -> DataFrame:
         key, held = None, []
 
         def out() -> pa.RecordBatch:
-            c, linked, to = piece(held)
+            c, linked, to = piece(held, key[0], key[1] != key[2])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(linked, pa.int64()), pa.array(to, pa.int64())], ["c", "linked", "to"])
 
         for batch in batches:
-            cols = [batch.column(k) for k in ("c", "side", "docs", "run", "paths", "set")]
-            keys = list(zip(*(batch.column(k).to_pylist() for k in ("run", "leaf", "i", "j"))))
+            cols = [batch.column(k) for k in ("c", "side", "docs", "paths", "set")]
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("leaf", "i", "j"))))
             for r in range(batch.num_rows):
                 if keys[r] != key:
                     if len(held) > 1:
@@ -215,28 +256,29 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     meta = written(_described(d, n, runs))
     filled = meta.where("n_set > 0")
     # a set's class is known by the first of its two hashes; the second guards against chance
-    classes = filled.groupBy("c1", "c2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "k")).alias("lead"), F.first("tokens").alias("tokens")).withColumn("c", F.xxhash64("c1", "c2"))
-    classes = written(classes.select("c", "c1", "c2", "docs", "lead.doc_id", "lead.k", "tokens"))
-    leaves = written(_leaves(classes, runs))
-    paths = leaves.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("p"))
-    paths = paths.select(F.col("c").alias("p_c"), F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("p", r), F.lit(0))).alias("paths"))
-    members = written(leaves.join(paths, F.col("c") == F.col("p_c")).select("run", "leaf", "c", "members", "paths"))
-    bounds = [f(F.col("paths")[r]).alias(f"{name}{r}") for r in range(runs - 1) for name, f in (("lo", F.min), ("hi", F.max))]
+    classes = filled.groupBy("c1", "c2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "k")).alias("lead"), F.first("tokens").alias("tokens"), F.first("n_set").alias("n_set")).withColumn("c", F.xxhash64("c1", "c2"))
+    classes = written(classes.select("c", "c1", "c2", "docs", "n_set", "lead.doc_id", "lead.k", "tokens"))
+    leaves = written(_leaves(classes, runs, threshold))
+    paths = leaves.groupBy(F.col("c").alias("p_c")).agg(F.array_sort(F.collect_list("leaf")).alias("paths"))
+    members = written(leaves.join(paths, F.col("c") == F.col("p_c")).drop("p_c"))
+    of_run = lambda r: lambda p: F.shiftright(p, _BITS) == r
+    first = [F.get(F.filter("paths", of_run(r)), F.lit(0)) for r in range(runs - 1)]
+    bounds = [f(F.coalesce(x, F.lit(0))).alias(f"{name}{r}") for r, x in enumerate(first) for name, f in (("lo", F.min), ("hi", F.max))]
     owned = F.lit(False)
     for r in range(runs - 1):
         owned |= (F.col("l_run") > r) & (F.col(f"lo{r}") == F.col(f"hi{r}")) & (F.col(f"lo{r}") != 0)
-    fresh = members.groupBy(F.col("run").alias("l_run"), F.col("leaf").alias("l_leaf")).agg(F.count("*").alias("size"), *bounds).where(~owned).select("l_run", "l_leaf")
+    fresh = members.groupBy(F.col("run").alias("l_run"), F.col("leaf").alias("l_leaf")).agg(F.count("*").alias("size"), *bounds).where(~owned).select("l_leaf")
     fresh = written(fresh)
-    work = members.join(fresh, (F.col("run") == F.col("l_run")) & (F.col("leaf") == F.col("l_leaf")))
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    work = members.join(fresh, F.col("leaf") == F.col("l_leaf"))
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("shingles") / F.lit(SHINGLES))).cast("int")
     own = F.pmod(F.xxhash64("c", F.lit(7)), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), (own > o).cast("int").alias("side")))
-    tasks = work.select("c", "paths", F.struct("run", "leaf", pair.alias("pairs")).alias("w")).groupBy("c").agg(F.first("paths").alias("paths"), F.collect_list("w").alias("w"))
+    tasks = work.select("c", "paths", F.struct("leaf", pair.alias("pairs")).alias("w")).groupBy("c").agg(F.first("paths").alias("paths"), F.collect_list("w").alias("w"))
     tasks = tasks.join(classes.select(F.col("c").alias("q"), "docs", F.col("doc_id").alias("r_id"), F.col("k").alias("r_k")), F.col("c") == F.col("q")).drop("q")
     with_text = d.join(tasks, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("k").eqNullSafe(F.col("r_k"))).select("c", "docs", "paths", "w", "text")
-    with_sets = _sets(with_text, n).select("c", "docs", "paths", "set", F.explode("w").alias("w")).select("c", "docs", "paths", "set", "w.run", "w.leaf", F.explode("w.pairs").alias("x")).select("run", "leaf", "x.*", "c", "docs", "paths", "set")
-    dealt = with_sets.repartition("run", "leaf", "i", "j").sortWithinPartitions("run", "leaf", "i", "j")
-    links = written(_compare(dealt, threshold, runs))
+    with_sets = _sets(with_text, n).select("c", "docs", "paths", "set", F.explode("w").alias("w")).select("c", "docs", "paths", "set", "w.leaf", F.explode("w.pairs").alias("x")).select("leaf", "x.*", "c", "docs", "paths", "set")
+    dealt = with_sets.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
+    links = written(_compare(dealt, threshold))
     roots = components(links.select(F.col("c").alias("a"), F.col("to").alias("b")))
     classes = classes.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
     counted = links.groupBy("c").agg(F.sum("linked").alias("linked")).withColumnRenamed("c", "l_c")

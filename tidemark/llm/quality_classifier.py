@@ -7,10 +7,12 @@ on), which says in which of a few fixed intervals the statistic lies.  A
 factorisation machine adds to a linear score all pairwise interactions through
 low-rank vectors: sum over f of ((sum v x)**2 - sum v**2 x**2) / 2, linear in
 the features.  It is fitted by numpy with AdaGrad on at most MOST labelled texts,
-taken in the order of a hash, and scores every whole text.
+taken in the order of a hash, with at most WIDEST words of each, again by a hash,
+so what reaches the driver has a bound in bytes; it scores every whole text by all
+its words.
 
 Null and empty texts have no words, and the structure of an empty text.  Labels
-may be null (not used) or repeated (the least counts).  Without labels all
+may be null (not used), repeated (the least counts), or without doc_id (not used).  Without labels all
 scores are 0.5.  Repeated rows are scored each; one row of a doc_id is learned.  Further columns are not read.
 """
 
@@ -28,6 +30,7 @@ from ._text import SPACED, U64, Words, mix, slices, windows
 BITS = 14
 RANK = 4
 MOST = 6000
+WIDEST = 2000
 _SHARE = np.array([1e-9, 0.003, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.8])
 _COUNT = np.array([1, 3, 10, 30, 100, 300, 1000, 3000, 10000, 30000])
 _MEAN = np.array([1, 2, 3, 4, 5, 6, 8, 12, 20, 50])
@@ -98,6 +101,16 @@ def features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[order], bucket[order].astype(np.int32), value[order].astype(np.float32)
 
 
+def narrowed(doc: np.ndarray, which: np.ndarray, value: np.ndarray, widest: int, always: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``widest`` features of each text, by a hash of their numbers; those from ``always`` on stay."""
+    first = mix(which.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(17))
+    order = np.lexsort((first, which >= always, doc))
+    own = doc[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    keep = np.sort(order[(place < widest) | (which[order] >= always)])
+    return doc[keep], which[keep], value[keep]
+
+
 class Machine:
     """Bias, weights and factors."""
 
@@ -117,29 +130,33 @@ class Machine:
         return z, total
 
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 5) -> "Machine":
+        """AdaGrad on the mean logistic loss of mini-batches."""
         rng, eps = np.random.default_rng(seed), 1e-6
         gw, gv, gb = np.full(SIZE, eps), np.full((SIZE, RANK), eps), eps
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
-                which = np.concatenate([texts[i][0] for i in own])
-                value = np.concatenate([texts[i][1] for i in own])
-                doc = np.repeat(np.arange(len(own)), [len(texts[i][0]) for i in own])
-                z, total = self.raw(doc, which, value, len(own))
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) / len(own)
-                there, place = np.unique(which, return_inverse=True)
-                w = np.bincount(place, d[doc] * value) + decay * self.weight[there]
+                there, b, w, v = self.slopes([texts[i] for i in own], labels[own])
+                w, v = w + decay * self.weight[there], v + decay * self.factor[there]
                 gw[there] += w * w
                 self.weight[there] -= (rate * w / np.sqrt(gw[there])).astype(np.float32)
-                for f in range(RANK):
-                    v = np.bincount(place, d[doc] * value * (total[doc, f] - self.factor[which, f] * value)) + decay * self.factor[there, f]
-                    gv[there, f] += v * v
-                    self.factor[there, f] -= (0.2 * rate * v / np.sqrt(gv[there, f])).astype(np.float32)
-                gb += d.sum() ** 2
-                self.bias -= rate * d.sum() / np.sqrt(gb)
+                gv[there] += v * v
+                self.factor[there] -= (0.2 * rate * v / np.sqrt(gv[there])).astype(np.float32)
+                gb += b**2
+                self.bias -= rate * b / np.sqrt(gb)
         return self
 
+    def slopes(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """The features that occur, and the mean logistic loss's slope by the bias, their weights and their factors."""
+        which, value = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts])
+        doc = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
+        z, total = self.raw(doc, which, value, len(texts))
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(texts)
+        there, place = np.unique(which, return_inverse=True)
+        v = [np.bincount(place, d[doc] * value * (total[doc, f] - self.factor[which, f] * value)) for f in range(RANK)]
+        return there, float(d.sum()), np.bincount(place, d[doc] * value), np.stack(v, 1)
+
 
 def one_each(rows: DataFrame, key: str) -> DataFrame:
     """One row for each value of ``key``: that of the text with the least hash, so repeated rows cannot crowd a sample."""
@@ -147,8 +164,8 @@ def one_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("one_key")).agg(*kept).select("r.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = MOST, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Machine:
-    """Fit on at most ``most`` labelled documents for which ``learn`` (of column doc_id) holds."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = MOST, widest: int = WIDEST, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Machine:
+    """Fit on at most ``most`` labelled documents for which ``learn`` (of column doc_id) holds, and ``widest`` words of each."""
     l = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).where("q is not null").where(learn).groupBy("doc_id").agg(F.min("q").alias("q"))
     l = l.orderBy(F.xxhash64("doc_id", F.lit(9))).limit(most).select(F.col("doc_id").alias("l_id"), "q")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(l, F.col("doc_id") == F.col("l_id"))
@@ -156,11 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc, which, value = features(b.column("text"))
+            doc, which, value = narrowed(*features(b.column("text")), widest, 1 << BITS)
             off = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("q"), pa.ListArray.from_arrays(off, pa.array(which)), pa.ListArray.from_arrays(off, pa.array(value))], ["q", "which", "value"])
 
-    rows = d.withColumn("q", F.col("q").cast("int")).mapInArrow(run, "q int, which array<int>, value array<float>").toArrow()  # at most ``most`` rows
+    rows = d.withColumn("q", F.col("q").cast("int")).mapInArrow(run, "q int, which array<int>, value array<float>").toArrow()  # at most ``most`` rows of ``widest`` features and those of structure
     texts = [(a.values.to_numpy(), v.values.to_numpy()) for a, v in zip(rows.column("which"), rows.column("value"))]
     return Machine().fit(texts, (rows.column("q").to_numpy() == 1).astype(float))
 

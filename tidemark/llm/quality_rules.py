@@ -149,7 +149,8 @@ def _judged(docs: DataFrame, most: int, share: float, many: int | None, copies:
     """``docs`` (doc_id, host, k, text and others; text only if ``texts``) and the counts, gone (numbers of lines), removed_words, base_failed and kept."""
     found = counts(docs).withColumn("row", F.monotonically_increasing_id())
     found = written(found if texts else found.drop("text"))
-    frequent = frequent_lines(found, most, share, many, copies)
+    # apart from the join, so that Spark can split a line that is on every page of a large host there
+    frequent = written(frequent_lines(found, most, share, many, copies))
     lines = found.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
     gone = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy(F.col("row").alias("g_row")).agg(F.collect_list("at").alias("gone"), F.sum("words").alias("words"))
     out = found.drop("lines", "line_words", "line_at").join(gone, F.col("row") == F.col("g_row"), "left").withColumn("removed_words", F.coalesce("words", F.lit(0)).cast("long"))

@@ -10,10 +10,11 @@ beginnings of words, with weights learned by
 numpy in mini-batches; the features with too few toxic texts are not used.
 
 It is fitted on at most MOST toxic and 2 * MOST unlabelled texts, taken in the
-order of a hash, and scores every whole text.
+order of a hash, with at most WIDEST features of each, so what reaches the driver
+has a bound in bytes; it scores every whole text by all its features.
 
 Null and empty texts have no words and get the score of the bias.  Labels may be
-null or repeated: a document is a toxic example if any of its labels says so.
+null, without doc_id (not used) or repeated: a document is a toxic example if any of its labels says so.
 Without toxic examples every score is 0.  Further columns of any name are not read.
 """
 
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import ALNUM, U64, Words, slices
-from .quality_classifier import one_each
+from .quality_classifier import narrowed, one_each
 
 BITS = 18
 MOST = 3000
+WIDEST = 4000
 #: Bytes of the beginnings of words that are features beside the words.
 PREFIXES = (5, 7)
 #: A feature counts if so many toxic examples have it.
@@ -53,13 +55,13 @@ def values(count: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (np.log1p(count) * 4 / np.log(16.0 + words)).astype(np.float32)
 
 
-def features(docs: DataFrame, text: str) -> DataFrame:
-    """kind and features (bucket, value lists) of a bounded sample of texts."""
+def features(docs: DataFrame, text: str, widest: int = WIDEST) -> DataFrame:
+    """kind and at most ``widest`` features (bucket, value lists) of each of a bounded sample of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             doc, bucket, count, words = word_counts(b.column("text"))
-            v = values(count, words[doc])
+            doc, bucket, v = narrowed(doc, bucket, values(count, words[doc]), widest, 1 << BITS)
             off = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("kind"), pa.ListArray.from_arrays(off, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(v))], ["kind", "bucket", "value"])
 
@@ -117,7 +119,7 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     return weight, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, prior: float | None = None, most: int = MOST, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, prior: float | None = None, most: int = MOST, widest: int = WIDEST, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> tuple[np.ndarray, float]:
     """Fit on documents for which ``learn`` (of column doc_id) holds; ``prior`` is the share of toxic labels if not given."""
     l = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("t")).where("t is not null").where(learn).groupBy("doc_id").agg(F.max("t").alias("t"))
     share, positives = l.agg(F.avg((F.col("t") == 1).cast("double")), F.sum((F.col("t") == 1).cast("long"))).first()
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, prior: float | N
     chosen = p.withColumn("kind", F.lit(1)).unionByName(u.withColumn("kind", F.lit(0)))
     chosen = chosen.groupBy("p_id").agg(F.collect_list("kind").alias("kinds"))
     one = one_each(d.join(chosen, F.col("doc_id") == F.col("p_id")), "p_id")
-    rows = features(one.select(F.explode("kinds").alias("kind"), "text"), "text").toArrow()  # at most 3 * most texts
+    rows = features(one.select(F.explode("kinds").alias("kind"), "text"), "text", widest).toArrow()  # at most 3 * most texts of ``widest`` features
     kind = rows.column("kind").to_numpy()
     lists = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(rows.column("bucket"), rows.column("value"))]
     return fit([x for x, k in zip(lists, kind) if k == 1], [x for x, k in zip(lists, kind) if k == 0], float(share if prior is None else prior))

@@ -15,9 +15,10 @@ fifth, and judge every URL; where one of the kinds lies in the fifth alone, they
 are counted on all ruled URLs, and the threshold is 0.  n-grams are
 pre-aggregated before they are shuffled.
 
-Null URLs and those without :// have an empty host and path; they fit no rule
-and are allowed, as is any URL where no model can be learned (no rule fits a URL
-of one of the kinds).  Repeated rows count, and are judged, each for itself.
+Null URLs and those without :// have an empty host and path and fit no rule.  A
+null URL is allowed; one without :// is judged by its score, as any other.  Where
+no model can be learned (no rule fits a URL of one of the kinds) all scores are 0
+and what no rule fits is allowed.  Repeated rows count, and are judged, each for itself.
 Further columns of any name are kept out.
 """
 
@@ -155,7 +156,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
         model = written(log_ratios(counted))
         known = known.where("false")  # no URL is unseen
     cut = written(threshold(scored(known.where("fold = 0").select("s", "good"), model)))
-    out = scored(u.select("page_id", "host", "path", "r", "s"), model).crossJoin(F.broadcast(cut))
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block"))
-    some = F.col("host") != ""
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.when(some | F.col("r").isNotNull(), verdict).otherwise("allow").alias("verdict"), "score", "cut")
+    out = scored(u.select("page_id", "host", "path", "r", "s", F.col("url").isNull().alias("none")), model).crossJoin(F.broadcast(cut))
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("none") | (F.col("score") >= F.col("cut")), "allow").otherwise("block"))
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score", "cut")
