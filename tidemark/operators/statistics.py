@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import tails
+
 
 def summary(rows: DataFrame, by: list[str], columns: Sequence[str]) -> DataFrame:
     """One row for each group and metric: n, mean, median, q1, q3, iqr, std (0 for one value)."""
@@ -68,12 +70,7 @@ def paired_t(rows: DataFrame, metric: str) -> DataFrame:
     return p.select("a", "b", "n", "mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"))
 
 
-def normal_tail(z: Column) -> Column:
-    """Two-sided tail of the normal distribution, by a rational approximation (error below 1.5e-7)."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.least(poly * F.exp(-x * x), F.lit(1.0))
+normal_tail = tails.normal
 
 
 def holm(tests: DataFrame, p: str, *ties: str) -> DataFrame:
@@ -147,3 +144,106 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, unit: str, draws:
     d = d.withColumn("w", weight).groupBy(*by, "draw").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return d.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def friedman_test(rows: DataFrame, metric: str) -> DataFrame:
+    """``friedman`` with p, the chi-square tail of k - 1 degrees of freedom."""
+    return friedman(rows, metric).withColumn("p", tails.chi_square(F.col("chi_square"), F.col("k") - 1))
+
+
+def paired_t_test(rows: DataFrame, metric: str) -> DataFrame:
+    """Each two models over the series that all have: n, mean difference, p of Student's t and its step-down adjustment.
+
+    Without spread p is 1 if the models agree everywhere, else 0.
+    """
+    t = paired_t(rows.join(common_series(rows, metric), "series_id"), metric).where("n >= 2")
+    p = F.when(F.col("se") > 0, tails.student(F.col("t"), F.col("n") - 1)).when(F.abs("mean") <= 1e-8, 1.0).otherwise(0.0)
+    return holm(t.select("a", "b", "n", "mean", F.round(p, 12).alias("p")), "p", "a", "b")
+
+
+def diebold_mariano_test(forecasts: DataFrame, a: str, b: str, horizon: int = 1) -> DataFrame:
+    """``diebold_mariano`` with p; low_power under 24 rows, and without statistic under 8."""
+    d = diebold_mariano(forecasts, a, b, horizon)
+    p = F.when(F.col("statistic") == 0, 1.0).otherwise(tails.student(F.col("statistic"), F.col("n") - 1))
+    return d.select("series_id", "n", "statistic", F.when(F.col("n") >= 8, p).alias("p"), F.when(F.col("n") < 24, "low_power").otherwise("ok").alias("status"))
+
+
+def signed_rank_test(rows: DataFrame, metric: str, full: str, exact: int = 50) -> DataFrame:
+    """Each other model against ``full``: pairs, means, the lesser signed-rank sum, p and its step-down adjustment.
+
+    Differences of zero leave the ranks but not the pairs; all zero gives p = 1.  p
+    is exact for at most ``exact`` pairs without zeros or ties, else normal with the
+    correction for ties.
+    """
+    own = rows.where(f"{metric} is not null").select("series_id", "model", F.col(metric).alias("v"))
+    base = own.where(F.col("model") == full).select("series_id", F.col("v").alias("base"))
+    d = own.where(F.col("model") != full).join(base, "series_id").withColumn("d", F.col("v") - F.col("base")).withColumn("size", F.abs("d"))
+    w = Window.partitionBy("model", "size")
+    d = d.withColumn("rank", F.when(F.col("d") != 0, F.rank().over(Window.partitionBy("model", F.col("d") == 0).orderBy("size")) + (F.count("*").over(w) - 1) / 2)).withColumn("alike", F.count("*").over(w))
+    some = F.col("d") != 0
+    sums = [F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0)) for c in (F.col("d") > 0, F.col("d") < 0)]
+    ties = F.coalesce(F.sum(F.when(some, F.col("alike") * F.col("alike") - 1)), F.lit(0))  # of each t alike, t (t * t - 1)
+    g = d.groupBy("model").agg(F.count("*").alias("n_pairs"), F.sum(some.cast("int")).alias("m"), F.avg("base").alias("full_mean"), F.avg("v").alias("mean"), F.avg("d").alias("mean_delta"), F.least(*sums).alias("w"), ties.alias("ties"))
+    m = F.col("m")
+    sd = F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("ties") / 2) / 24)
+    near = tails.normal((F.col("w") - m * (m + 1) / 4) / F.nullif(sd, F.lit(0.0)))
+    p = F.when(m == 0, 1.0).when((m == F.col("n_pairs")) & (F.col("ties") == 0) & (m <= exact), tails.signed_rank_exact(F.col("w"), m)).otherwise(near)
+    return holm(g.select("model", "n_pairs", "full_mean", "mean", "mean_delta", "w", F.round(p, 12).alias("p")), "p", "model")
+
+
+def weight(unit: Column, draw: Column, seed: int) -> Column:
+    """A Poisson(1) weight of a unit in a draw, from 32 bits of a digest (four draws share one)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), unit, F.floor(draw / 4).cast("string")).cast("binary"))
+    uniform = F.conv(F.substring(digest, (draw % 4) * 8 + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    out, below, p = F.lit(0), 0.0, 2.718281828459045**-1
+    for k in range(1, 9):
+        below += p
+        out = F.when(uniform >= below, k).otherwise(out)
+        p /= k
+    return out
+
+
+def weighted_mean(value: Column, w: Column) -> Column:
+    return F.sum(w * value) / F.nullif(F.sum(w), F.lit(0))
+
+
+def weighted_median(value: Column, w: Column) -> Column:
+    return F.percentile(value, F.lit(0.5), w)
+
+
+def bootstrap(rows: DataFrame, by: list[str], value: str, unit: str, statistic=weighted_mean, draws: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile interval (low, high) of any statistic over units drawn with replacement.
+
+    ``statistic(value, weight)`` is an aggregate Column.  How often a unit is drawn
+    is Poisson(1) by its digest, so draws need no exchange beyond their sums, no
+    group is gathered, and all statistics of one unit move together.
+    """
+    d = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), F.col(unit).cast("string").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    d = d.withColumn("w", weight(F.col("u"), F.col("draw"), seed)).groupBy(*by, "draw").agg(statistic(F.col("v"), F.col("w")).alias("m"))
+    q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return d.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def paired_bootstrap(rows: DataFrame, metric: str, **draws) -> DataFrame:
+    """Each two models over series that both have: n, mean difference and its bootstrap interval."""
+    p = pairs(rows, metric)
+    return p.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("d").alias("mean")).join(bootstrap(p, ["a", "b"], "d", "series_id", **draws), ["a", "b"])
+
+
+def ranked_summary(rows: DataFrame, metric: str, higher: bool = False, **draws) -> DataFrame:
+    """Each model: successful and failed series, mean, median, spread, average rank and the bootstrap interval of the mean."""
+    ok = rows.where(f"{metric} is not null")
+    r = ok.withColumn("key", -F.col(metric) if higher else F.col(metric)).withColumn("rank", tied_rank(["series_id"], "key"))
+    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = r.groupBy("model").agg(F.count("*").alias("successful"), F.avg(metric).alias("mean"), q.alias("q"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), F.avg("rank").alias("average_rank"))
+    failed = rows.groupBy("model").agg(F.sum(F.col(metric).isNull().cast("long")).alias("failures"))
+    ci = bootstrap(ok, ["model"], metric, "series_id", **draws).select("model", F.col("low").alias("ci95_low"), F.col("high").alias("ci95_high"))
+    out = g.join(failed, "model").join(ci, "model")
+    return out.select("model", "successful", "failures", "mean", F.col("q")[1].alias("median"), "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "ci95_low", "ci95_high", "average_rank")
+
+
+def critical_differences(rows: DataFrame, metric: str) -> DataFrame:
+    """Each model: its average rank over the series that all have, their number, and its failures."""
+    r = ranked(rows.join(common_series(rows, metric), "series_id"), metric).groupBy("model").agg(F.avg("rank").alias("average_rank"), F.count("*").alias("n_complete"))
+    f = rows.groupBy("model").agg(F.sum(F.col(metric).isNull().cast("long")).alias("failures"))
+    return f.join(r, "model", "left").select("model", "average_rank", F.coalesce("n_complete", F.lit(0)).alias("n_complete"), "failures", (F.col("n_complete") > 0).alias("included"))
