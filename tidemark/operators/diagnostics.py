@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.substrate import along, whole
@@ -117,3 +117,69 @@ def strengths(obs: DataFrame, m: int = 12) -> DataFrame:
     o = o.withColumn("x", F.col("y") - F.col("trend")).withColumn("season", F.avg("x").over(Window.partitionBy("series_id", F.month("ds")))).withColumn("r", F.col("x") - F.col("season"))
     part = lambda c: F.greatest(F.lit(0.0), 1 - F.var_pop("r") / F.nullif(F.var_pop(c), F.lit(0.0)))
     return o.withColumn("ts", F.col("trend") + F.col("r")).groupBy("series_id").agg(part("ts").alias("trend_strength"), part("x").alias("seasonal_strength"))
+
+
+def adjacent_breaks(obs: DataFrame, width: int = 8, least: float = 3.0) -> DataFrame:
+    """As ``breaks``, with the difference of means against the standard error of a mean of ``width`` rows (spread of the series / root of width)."""
+    o = breaks(obs, width, 0.0).join(obs.groupBy("series_id").agg((F.stddev_pop("y") / F.stddev_samp("y")).alias("ratio"), F.stddev_samp("y").alias("sd")), "series_id")
+    z = F.col("z") * F.col("ratio") * math.sqrt(width)
+    return o.where(F.col("sd") > 1e-12).withColumn("z", z).where(F.col("z") >= least).select("series_id", "t", "ds", "z")
+
+
+def stationarity_p(statistic: Column) -> Column:
+    """p of ``level_stationarity``, interpolated between the published critical values, held to 0.01 to 0.1."""
+    # fixed values: critical values of the level test at 10, 5, 2.5 and 1 per cent
+    points = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+    out = F.when(statistic >= points[-1][0], points[-1][1])
+    for (a, p), (b, q) in zip(points, points[1:]):
+        out = out.when((statistic >= a) & (statistic < b), p + (statistic - a) / (b - a) * (q - p))
+    return F.when(statistic.isNotNull(), out.otherwise(points[0][1]))
+
+
+def frame(obs: DataFrame, m: int = 12) -> DataFrame:
+    """One row a series with everything that is known of it; what a series is too short for is null.
+
+    observations, missing, zeros, cv, acf1, acf_season, ljung_box and its p (m
+    lags, even m), trend_strength, seasonal_strength, entropy, breaks, unit_root_t
+    and unit_root (not rejected at 5 per cent), level and level_p.
+    """
+    parts = [
+        autocorrelation(obs, sorted({1, m})).select("series_id", F.col("rho1").alias("acf1"), F.col(f"rho{m}").alias("acf_season")),
+        ljung_box(obs, m).select("series_id", F.col("q").alias("ljung_box"), chi_square_tail(F.col("q"), m).alias("ljung_box_p")),
+        strengths(obs, m),
+        spectral_entropy(obs),
+        break_count(adjacent_breaks(obs)),
+        # fixed value: the 5 per cent point of the unit-root t with a constant, for long series
+        dickey_fuller(obs).select("series_id", F.col("t").alias("unit_root_t"), (F.col("t") >= -2.86).alias("unit_root")),
+        level_stationarity(obs).select("series_id", F.col("statistic").alias("level"), stationarity_p(F.col("statistic")).alias("level_p")),
+    ]
+    out = profile(obs).withColumnRenamed("n", "observations")
+    for p in parts:
+        out = out.join(p, "series_id", "left")
+    return out.withColumn("breaks", F.coalesce("breaks", F.lit(0)))
+
+
+def residual_tests(rows: DataFrame, by: list[str], residual: str, order: str, m: int = 12, limit: float = 0.2) -> DataFrame:
+    """Residuals by group in order: acf at 1 and m, Ljung-Box with its p, the skewness and kurtosis test (k2) and Jarque-Bera with their p, and whether the seasonal correlation is over ``limit``."""
+    key = F.concat_ws("|", *by)
+    r = rows.where(F.col(residual).isNotNull()).select(*by, key.alias("series_id"), F.col(order).alias("ds"), F.col(residual).alias("y"))
+    lb = autocorrelation(r, list(range(1, m + 1)))
+    total = sum((F.col(f"rho{k}") * F.col(f"rho{k}") / (F.col("n") - k) for k in range(1, m + 1)), F.lit(0.0))
+    q = F.col("n") * (F.col("n") + 2) * total
+    lb = lb.select("series_id", F.col("rho1").alias("acf1"), F.col(f"rho{m}").alias("acf_season"), q.alias("ljung_box"), chi_square_tail(q, m).alias("ljung_box_p"))
+    g = r.groupBy(*by, "series_id").agg(F.count("*").alias("n"), F.skewness("y").alias("g1"), F.kurtosis("y").alias("g2"))
+    n, g1, g2 = F.col("n").cast("double"), F.col("g1"), F.col("g2")
+    # D'Agostino's transforms of both moments to normal scores
+    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    a = y / F.sqrt(2 / (w2 - 1))
+    z1 = F.log(a + F.sqrt(a * a + 1)) / F.sqrt(0.5 * F.log(w2))
+    x = (g2 + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    c = 6 + 8 / b1 * (2 / b1 + F.sqrt(1 + 4 / (b1 * b1)))
+    d = 1 + x * F.sqrt(2 / (c - 4))
+    z2 = (1 - 2 / (9 * c) - F.signum(d) * F.pow((1 - 2 / c) / F.abs(d), F.lit(1 / 3))) / F.sqrt(2 / (9 * c))
+    k2, jb = z1 * z1 + z2 * z2, n / 6 * (g1 * g1 + g2 * g2 / 4)
+    g = g.select(*by, "series_id", "n", F.when(n >= 20, k2).alias("k2"), F.when(n >= 20, F.exp(-k2 / 2)).alias("k2_p"), jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jarque_bera_p"))
+    return g.join(lb, "series_id").withColumn("seasonal_left", F.abs("acf_season") > limit).drop("series_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecasts, metrics, models, splits
@@ -75,3 +75,82 @@ def next_month(obs: DataFrame) -> DataFrame:
     o = obs.withColumn("last", F.row_number().over(along()) == F.col("n"))
     o = o.withColumn("rolling_mean", F.avg("y").over(along().rowsBetween(-5, 0))).withColumn("seasonal_naive", F.coalesce(F.lag("y", 11).over(along()), F.col("y"))).withColumn("naive", F.col("y"))
     return o.where("last").select("series_id", F.last_day(F.add_months("ds", 1)).alias("ds"), "rolling_mean", "seasonal_naive", "naive")
+
+
+def _evaluated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Errors on test rows of (series_id, y, pred, status, and ``by``), null where the model failed; n_failed."""
+    ok = F.col("status") == "ok"
+    mae = F.avg(F.when(ok, F.abs(F.col("y") - F.col("pred"))))
+    failed = F.max((~ok).cast("int"))
+    return rows.where("block = 'test'").groupBy(*by).agg(F.when(failed == 0, mae).alias("mae"), failed.alias("n_failed"))
+
+
+def _both(keyed: DataFrame, sketch: dict | None, reservoir: dict | None, prior: Column | None = None) -> DataFrame:
+    """Test rows of both fitted models, and of their prior, for series whose id ends in |key: model, key."""
+    out = None
+    for name, fit, given in (("sketch", models.sketch, sketch), ("reservoir", models.reservoir, reservoir)):
+        rows = fit(keyed, prior=prior, **(given or {})).select("series_id", "ds", "y", "p", "pred", "block", "status").withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+        if name == "sketch":
+            out = out.unionByName(rows.withColumn("pred", F.col("p")).withColumn("model", F.lit("prior")))
+    key = F.substring_index("series_id", "|", -1).alias("key")
+    own = F.col("series_id").substr(F.lit(1), F.length("series_id") - F.length(F.substring_index("series_id", "|", -1)) - 1).alias("series_id")
+    return out.select(own, key, "model", "ds", "y", "pred", "block", "status")
+
+
+def efficiency(obs: DataFrame, sizes: tuple[int, ...] = (36, 60, 84, 120, 160), sketch: dict | None = None, reservoir: dict | None = None) -> DataFrame:
+    """Errors of both fitted models and their prior by how much history they were given: histories are series of their own, so all are fitted in one pass."""
+    h = splits.histories(obs, sizes).withColumn("series_id", F.concat_ws("|", "series_id", F.col("history").cast("string")))
+    h = h.withColumn("t", (F.col("t") - F.col("n") + F.col("history")).cast("int")).withColumn("n", F.col("history").cast("long")).drop("history")
+    return _evaluated(_both(h, sketch, reservoir).withColumnRenamed("key", "history"), ["series_id", "history", "model"])
+
+
+def adapted_priors(obs: DataFrame, priors: tuple[str, ...] = ("naive", "seasonal_naive", "rolling_mean"), sketch: dict | None = None, reservoir: dict | None = None) -> DataFrame:
+    """Errors of both fitted models on every prior, and of the priors alone; a failed fit is counted, not left out."""
+    o = obs.withColumn("series_id", F.explode(F.array(*[F.concat_ws("|", "series_id", F.lit(p)) for p in priors])))
+    prior = F.coalesce(*[F.when(F.endswith("series_id", F.lit(f"|{p}")), forecasts.MODELS[p]()) for p in priors])
+    return _evaluated(_both(o, sketch, reservoir, prior).withColumnRenamed("key", "prior"), ["series_id", "prior", "model"])
+
+
+#: Ranges of the settings that a search tries: low, high, and whether by their logarithm.
+SPACES = {
+    "sketch": {"alpha": (1e-3, 100.0, True), "most_gamma": (0.25, 3.0, False)},
+    "reservoir": {"size": (1, 200, False), "radius": (0.05, 0.99, False), "leak": (0.05, 1.0, False), "alpha": (0.1, 50.0, True)},
+}
+
+
+def sampled(kind: str, trials: int, seed: int = 42) -> dict[str, dict]:
+    """Settings of ``trials`` trials by name, drawn from the ranges of SPACES; the first has the defaults."""
+    import numpy as np
+
+    rng, out = np.random.default_rng(seed), {"trial0": {}}
+    for i in range(1, trials):
+        one = {}
+        for name, (low, high, log) in SPACES[kind].items():
+            x = float(np.exp(rng.uniform(np.log(low), np.log(high)))) if log else float(rng.uniform(low, high))
+            one[name] = round(x) if isinstance(low, int) else x
+        out[f"trial{i}"] = one
+    return out
+
+
+def fitted_trials(obs: DataFrame, kind: str, settings: dict[str, dict], **given) -> DataFrame:
+    """trial, series_id, score: mean error on test rows of the model fitted with each setting, all in one pass; infinite where it failed."""
+    rows = {"sketch": models.sketch, "reservoir": models.reservoir}[kind](obs, variants=settings, **given)
+    return _evaluated(rows.withColumnRenamed("variant", "trial"), ["trial", "series_id"]).select("trial", "series_id", F.coalesce("mae", F.lit(float("inf"))).alias("score"))
+
+
+def best_setting(scores: DataFrame) -> DataFrame:
+    """Trials by the median score over series; the least first, in order of name among equals."""
+    return scores.groupBy("trial").agg(F.percentile("score", F.lit(0.5)).alias("median"), F.count("*").alias("n")).orderBy("median", "trial")
+
+
+def transferred(obs: DataFrame, kind: str, settings: dict[str, dict], **given) -> DataFrame:
+    """The setting that is best on development series, applied as it is to those it never saw: series_id, trial, score, default_score."""
+    from tidemark.operators import sampling
+
+    roles = sampling.roles(sampling.series_ids(obs)).select("series_id", "role")
+    scores = fitted_trials(obs, kind, settings, **given).join(roles, "series_id")
+    best = best_setting(scores.where("role = 'development'")).limit(1).select("trial")
+    first = next(iter(settings))
+    default = scores.where(F.col("trial") == first).select("series_id", F.col("score").alias("default_score"))
+    return scores.where("role = 'evaluation'").join(F.broadcast(best), "trial").join(default, "series_id").select("series_id", "trial", "score", "default_score")  # best: one row

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecasts, splits, windows
@@ -29,9 +29,10 @@ def latest(obs: DataFrame, most: int | None) -> DataFrame:
     return obs.where(F.col("t") >= before).withColumn("t", F.col("t") - before).withColumn("n", F.col("n") - before)
 
 
-def featured(obs: DataFrame, window: int = 6, lags: int = 3, m: int = 12, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES) -> tuple[DataFrame, list[str]]:
-    """p (prior), e (residual), target (the next residual) and feature columns that end with the row's own residual."""
-    o = obs.withColumn("p", forecasts.rolling_mean("y", window)).withColumn("e", F.col("y") - F.col("p"))
+def featured(obs: DataFrame, window: int = 6, lags: int = 3, m: int = 12, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, prior: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """p (``prior``, else the rolling mean), e (residual), target (the next residual) and feature columns that end with the row's own residual."""
+    prior = forecasts.rolling_mean("y", window) if prior is None else prior
+    o = obs.withColumn("p", prior).withColumn("e", F.col("y") - F.col("p"))
     cols = {f"lag{i}": c for i, c in enumerate(windows.lags("e", lags), 1)}
     cols |= {f"momentum{s}": windows.momentum("e", s) for s in spans}
     for k in scales:
@@ -63,66 +64,133 @@ def group(column: str) -> str:
     return "causal"
 
 
-OUT = "series_id string, ds date, y double, p double, raw double, gate double, pred double, block string, active boolean"
+OUT = "series_id string, ds date, y double, p double, raw double, gate double, pred double, block string, active boolean, status string, error string"
 
 
-def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...]] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None) -> DataFrame:
-    """Ridge on window features of the residuals, shrunk by a least-squares factor of the adapter block; active if it lowers that block's error.
+def captured(fit, schema: str, block: str = "block"):
+    """``fit`` for a grouped map, with status ok; a series on which it raises gets one row at its first test month: failed, with the error, without a forecast."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    One row a target month: p (prior), raw (correction), gate (factor), pred.
-    ``variants``: feature groups to leave out by name; each is fitted, and adds its rows, with column variant.
-    """
-    given = variants or {"": ()}
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        try:
+            out = fit(g)
+            out["status"], out["error"] = "ok", None
+        except Exception as e:  # any error of one series' model is that series' result
+            g = g.sort_values("t")
+            first = g[g[block] == "test"].head(1) if (g[block] == "test").any() else g.tail(1)
+            out = pd.DataFrame({c: first[c].to_numpy() if c in ("series_id", "variant") else [None] for c in names})
+            out["ds"], out["status"], out["error"] = first.next_ds.to_numpy() if "next_ds" in first else first.ds.to_numpy(), "failed", f"{type(e).__name__}: {e}"
+            if "block" in names:
+                out["block"] = "test"
+        return out[names]
+
+    return run
+
+
+def _settings(variants: dict[str, tuple[str, ...] | dict] | None, defaults: dict) -> dict[str, dict]:
+    """Every variant's settings: a tuple names what is left out, a dict may change any default."""
+    return {k: {"without": (), **defaults, **(v if isinstance(v, dict) else {"without": v})} for k, v in (variants or {"": ()}).items()}
+
+
+def _worth(target: np.ndarray, corrected: np.ndarray, raw: np.ndarray, least_r2: float, least_gain: float, penalty: float) -> bool:
+    """Whether a correction is used, by the rows of the adapter block: as ``forecasts.selected``."""
+    prior, adapted = np.abs(target).mean(), np.abs(target - corrected).mean()
+    r2 = 1 - ((target - raw) ** 2).sum() / (((target - target.mean()) ** 2).sum() + 1e-12)
+    return bool(r2 > least_r2 and prior - adapted > least_gain and adapted + penalty < prior)
+
+
+def _sketch_fit(g: pd.DataFrame, cols: list[str], s: dict) -> dict:
+    used = [c for c in cols if group(c) not in s["without"]]
+    fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
+    early = fit_ & (g.t.to_numpy() >= 3)
+    out = {"used": used, "w": np.zeros(len(used)), "raw": np.zeros(len(g)), "gamma": 0.0, "active": False}
+    if early.sum() > 3 and adapt.any():
+        target = g.target.to_numpy(float)
+        if used:
+            x = _scaled(g[used].to_numpy(float), early)
+            out["w"], b = _ridge(x[early], target[early], s["alpha"])
+            out["raw"] = x @ out["w"] + b
+        r, c = target[adapt], out["raw"][adapt]
+        out["gamma"] = float(np.clip((c @ r) / (c @ c + 1e-12), 0.0, s["most_gamma"]))
+        out["active"] = _worth(r, out["gamma"] * c, c, s["least_r2"], s["least_gain"], s["penalty"])
+    return out
+
+
+def _blocks(obs: DataFrame, horizon: int, ratio: float) -> DataFrame:
+    return splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", F.col("ds").alias("next_ds"), "block")
+
+
+def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], spans: tuple[int, ...], scales: tuple[int, ...], most: int | None, prior: Column | None) -> tuple[DataFrame, list[str]]:
     obs = latest(obs, most)
-    blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
-    o, cols = featured(obs, spans=spans, scales=scales)
-    o = o.where(F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
-    o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
+    o, cols = featured(obs, spans=spans, scales=scales, prior=prior)
+    o = o.where(F.col("target").isNotNull()).join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    return o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in names]))), cols
+
+
+#: When a correction is used: least share explained, least gain, and what the corrected loss is charged.
+SELECTION = {"least_r2": float("-inf"), "least_gain": float("-inf"), "penalty": 0.0}
+
+
+def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...] | dict] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
+    """Ridge on window features of the residuals, shrunk by a least-squares factor of the adapter block; active as SELECTION (or ``selection``) says.
+
+    One row a target month: p (prior), raw (correction), gate (factor), pred,
+    status and error.  ``variants``: feature groups to leave out, or settings
+    (without, alpha, most_gamma, those of SELECTION), by name; each is fitted, and
+    adds its rows, with column variant.
+    """
+    given = _settings(variants, {"alpha": alpha, "most_gamma": most_gamma, **SELECTION, **selection})
+    o, cols = _sketched(obs, horizon, ratio, list(given), spans, scales, most, prior)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        used = [c for c in cols if group(c) not in given[g.variant.iloc[0]]]
-        fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
-        early = fit_ & (g.t.to_numpy() >= 3)
-        raw, gamma, active = np.zeros(len(g)), 0.0, False
-        if early.sum() > 3 and adapt.any():
-            x = _scaled(g[used].to_numpy(float), early)
-            w, b = _ridge(x[early], g.target.to_numpy(float)[early], alpha)
-            raw = x @ w + b
-            r, c = g.target.to_numpy(float)[adapt], raw[adapt]
-            gamma = float(np.clip((c @ r) / (c @ c + 1e-12), 0.0, most_gamma))
-            active = bool(np.abs(r - gamma * c).mean() < np.abs(r).mean())
+        f = _sketch_fit(g, cols, given[g.variant.iloc[0]])
         p = g.next_p.to_numpy(float)
-        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": raw, "gate": gamma, "pred": p + (gamma if active else 0.0) * raw, "block": g.block, "active": active, "variant": g.variant})
+        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": f["raw"], "gate": f["gamma"], "pred": p + (f["gamma"] if f["active"] else 0.0) * f["raw"], "block": g.block, "active": f["active"], "variant": g.variant})
 
-    out = o.groupBy("series_id", "variant").applyInPandas(fit, f"{OUT}, variant string")
+    schema = f"{OUT}, variant string"
+    out = o.groupBy("series_id", "variant").applyInPandas(captured(fit, schema), schema)
     return out if variants else out.drop("variant")
 
 
-def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...]] | None = None, most: int | None = None) -> DataFrame:
+def importance(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, ratio: float = 0.7, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None) -> DataFrame:
+    """Each feature's weight in the sketch model: series_id, feature, feature_group, weight (on robustly scaled columns), size; parameters (weights, constant and factor) of the series' model."""
+    given = _settings(None, {"alpha": alpha, "most_gamma": 1.5, **SELECTION})[""]
+    o, cols = _sketched(obs, horizon, ratio, [""], spans, scales, most, None)
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        f = _sketch_fit(g, cols, given)
+        return pd.DataFrame({"series_id": g.series_id.iloc[0], "feature": f["used"], "feature_group": [group(c) for c in f["used"]], "weight": f["w"], "size": np.abs(f["w"]), "parameters": len(f["w"]) + 2})
+
+    return o.groupBy("series_id").applyInPandas(fit, "series_id string, feature string, feature_group string, weight double, size double, parameters int")
+
+
+def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...] | dict] | None = None, most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
     """Ridge on the states of a leaky reservoir driven by the residuals, and their lags; gated by the residuals' recent spread.
 
     gate = 1 / (1 + exp(a (z - b))) falls with volatility z; a and b are the best
     of a grid on the adapter block.  ``variants``: parts to leave out (reservoir,
-    ar or gate) by name; each is fitted, and adds its rows, with column variant.
+    ar or gate), or settings (without, size, radius, leak, alpha, those of
+    SELECTION), by name; each is fitted, and adds its rows, with column variant.
     """
-    given = variants or {"": ()}
+    given = _settings(variants, {"size": size, "radius": radius, "leak": leak, "alpha": alpha, **SELECTION, **selection})
     obs = latest(obs, most)
-    blocks = splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", "ds", "block")
-    o, cols = featured(obs, lags=lags)
+    o, cols = featured(obs, lags=lags, prior=prior)
     spread = windows.ewm_std(o.select("series_id", "ds", "t", "e"), "e", 4).select("series_id", "ds", "ewm_std")
     keep = [c for c in cols if c.startswith("lag")]
     o = o.select("series_id", "ds", "t", "n", "e", "target", "next_p", "next_ds", *keep).join(spread, ["series_id", "ds"])
-    o = o.where(F.col("target").isNotNull()).join(blocks.withColumnRenamed("ds", "next_ds"), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o = o.where(F.col("target").isNotNull()).join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
     o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        without = given[g.variant.iloc[0]]
+        s = given[g.variant.iloc[0]]
+        without, size, leak = s["without"], int(s["size"]), s["leak"]
         fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
         rng = np.random.default_rng(seed)
         w_in, w_res = rng.uniform(-1, 1, (size, 2)), rng.normal(size=(size, size))
-        w_res *= min(max(radius, 1e-6), 0.999) / max(np.abs(np.linalg.eigvals(w_res)).max(), 1e-12)
+        w_res *= min(max(s["radius"], 1e-6), 0.999) / max(np.abs(np.linalg.eigvals(w_res)).max(), 1e-12)
         e, target = g.e.to_numpy(float), g.target.to_numpy(float)
         raw, gate, active = np.zeros(len(g)), np.zeros(len(g)), False
         early = fit_ & (g.t.to_numpy() >= lags)
@@ -133,22 +201,23 @@ def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float =
                 states.append(h)
             parts = {"reservoir": np.array(states), "ar": g[keep].to_numpy(float)}
             x = np.column_stack([v for part, v in parts.items() if part not in without])
-            w, b = _ridge(x[early], target[early], alpha)
+            w, b = _ridge(x[early], target[early], s["alpha"])
             raw = x @ w + b
             vol = _scaled(g.ewm_std.to_numpy(float)[:, None], early)[:, 0]
             shapes = [np.ones(len(g))] if "gate" in without else (1 / (1 + np.exp(np.clip(a * (vol - c), -50, 50))) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0))
-            gates = [(np.abs(target - s * raw)[adapt].mean(), i, s) for i, s in enumerate(shapes)]
-            loss, _, gate = min(gates, key=lambda k: k[:2])
-            active = bool(loss < np.abs(target)[adapt].mean())
+            gates = [(np.abs(target - k * raw)[adapt].mean(), i, k) for i, k in enumerate(shapes)]
+            gate = min(gates, key=lambda k: k[:2])[2]
+            active = _worth(target[adapt], (gate * raw)[adapt], raw[adapt], s["least_r2"], s["least_gain"], s["penalty"])
         p = g.next_p.to_numpy(float)
         return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + target, "p": p, "raw": raw, "gate": gate, "pred": p + np.where(active, gate, 0.0) * raw, "block": g.block, "active": active, "variant": g.variant})
 
-    out = o.groupBy("series_id", "variant").applyInPandas(fit, f"{OUT}, variant string")
+    schema = f"{OUT}, variant string"
+    out = o.groupBy("series_id", "variant").applyInPandas(captured(fit, schema), schema)
     return out if variants else out.drop("variant")
 
 
 def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
-    """One-step forecasts of test rows by ``predict(history) -> float``, called with what came before each."""
+    """One-step forecasts of test rows by ``predict(history) -> float``, called with what came before each; status and error as ``captured``."""
     o = splits.tail(obs, horizon).select("series_id", "ds", "t", "y", "split")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +226,28 @@ def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
         at = np.flatnonzero((g.split == "test").to_numpy())
         return pd.DataFrame({"series_id": g.series_id.to_numpy()[at], "ds": g.ds.to_numpy()[at], "y": y[at], "pred": [float(predict(y[:i])) for i in at]})
 
-    return o.groupBy("series_id").applyInPandas(run, "series_id string, ds date, y double, pred double")
+    schema = "series_id string, ds date, y double, pred double, status string, error string"
+    return o.groupBy("series_id").applyInPandas(captured(run, schema, "split"), schema)
+
+
+def walked(predict, least: int = 3, m: int = 12, fall_back: str = "last"):
+    """``predict`` for ``custom``, with a fall-back while there are fewer than ``least`` values or where it raises or gives no finite number.
+
+    fall_back: last, seasonal (the value m before, if there are more than m) or mean.
+    """
+
+    def run(y: np.ndarray) -> float:
+        plain = {"last": y[-1], "seasonal": y[-m] if len(y) > m else y[-1], "mean": y.mean()}[fall_back]
+        if len(y) < least:
+            return y[-1]
+        try:
+            out = float(predict(y))
+        except Exception:  # the fall-back is what the caller asked for
+            return plain
+        return out if np.isfinite(out) else plain
+
+    return run
+
 
 KINDS = ("linear", "nlinear", "dlinear", "kernel")
 
@@ -199,7 +289,8 @@ def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int =
         test = ~train
         return pd.DataFrame({"series_id": g.series_id[test], "ds": g.ds[test], "y": y[test], "pred": pred[test]})
 
-    return o.groupBy("series_id").applyInPandas(fit, "series_id string, ds date, y double, pred double")
+    schema = "series_id string, ds date, y double, pred double, status string, error string"
+    return o.groupBy("series_id").applyInPandas(captured(fit, schema, "split"), schema)
 
 
 def autoregression(obs: DataFrame, lags: int = 3, horizon: int = 12, most: int | None = None) -> DataFrame:

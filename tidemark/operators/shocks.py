@@ -69,3 +69,31 @@ def recovery(rows: DataFrame) -> DataFrame:
     in_ = lambda name: F.col("phase") == name
     back = F.min(F.when(in_("post") & (F.col("a") <= F.col("usual")), F.col("t") - F.col("p") - F.col("length")))
     return r.groupBy("series_id").agg(*[F.avg(F.when(in_(x), F.col("a"))).alias(f"mae_{x}") for x in ("pre", "during", "post")], F.max(F.when(~in_("pre"), F.col("a"))).alias("peak"), back.alias("recovery"))
+
+
+def noise(*keys: Column, seed: int = 42) -> Column:
+    """A standard normal number for each key, by digest (Box and Muller): the same in every run and partition."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+    part = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / float((1 << 32) + 1)
+    return F.sqrt(-2 * F.log(part(1))) * F.cos(6.283185307179586 * part(9))
+
+
+def variance_shift(obs: DataFrame, size: float = 3.0, seed: int = 42) -> DataFrame:
+    """The series with noise of ``size`` spreads added from the middle on: series_id, ds, t, y, variance."""
+    u = F.abs(F.lit(size)) * F.stddev_pop("y").over(whole())
+    return obs.select("series_id", "ds", "t", "y", F.when(F.col("t") >= position(), F.col("y") + u * noise(F.col("series_id"), F.col("t"), seed=seed)).otherwise(F.col("y")).alias("variance"))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """Of test rows with shock, pred and scale: for each series, model and subset (overall, shock, non_shock) n_points, fraction, status (empty without rows) and errors."""
+    from tidemark.operators import metrics
+
+    kinds = F.array(*[F.lit(k) for k in ("overall", "shock", "non_shock")])
+    r = rows.withColumn("subset", F.explode(kinds)).withColumn("inside", F.when(F.col("subset") == "overall", True).otherwise(F.col("shock") == (F.col("subset") == "shock")))
+    e, n = F.abs(F.col("y") - F.col("pred")), F.sum(F.col("inside").cast("long"))
+    own = lambda c: F.avg(F.when(F.col("inside"), c))
+    g = r.groupBy("series_id", "model", "subset").agg(
+        n.alias("n_points"), (n / F.count("*")).alias("fraction"), F.when(n == 0, "empty").otherwise("ok").alias("status"), own(e).alias("mae"),
+        F.sqrt(own(e * e)).alias("rmse"), own(e / F.greatest(F.abs("y"), F.lit(metrics.EPS))).alias("mape"), (own(e) / metrics.safe(F.first("scale"))).alias("mase"),
+    )
+    return g

@@ -33,7 +33,7 @@ def diebold_mariano_p(spark, d):
     return statistics.diebold_mariano_test(compared(spark, d).where("split = 'test'"), "naive", "rolling_mean")
 
 
-@query(f"""{_R.replace('WITH', 'WITH RECURSIVE', 1)}, pr AS (SELECT r.model, r.mae AS v, f.mae AS base, r.mae - f.mae AS d FROM rk r JOIN rk f ON r.series_id = f.series_id AND f.model = 'rolling_mean' AND r.model <> 'rolling_mean'),
+@query(f"""{_R}, pr AS (SELECT r.model, r.mae AS v, f.mae AS base, r.mae - f.mae AS d FROM rk r JOIN rk f ON r.series_id = f.series_id AND f.model = 'rolling_mean' AND r.model <> 'rolling_mean'),
 sg AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY model, abs(d)) AS k FROM pr WHERE d <> 0),
 sm AS (SELECT model, count(*) AS m, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, sum(k * k - 1) AS ties FROM sg GROUP BY 1),
 al AS (SELECT p.model, count(*) AS n_pairs, avg(base) AS full_mean, avg(v) AS mean, avg(d) AS mean_delta, any_value(coalesce(m, 0)) AS m, any_value(coalesce(w, 0)) AS w, any_value(coalesce(ties, 0)) AS ties FROM pr p LEFT JOIN sm USING (model) GROUP BY 1),

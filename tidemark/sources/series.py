@@ -30,7 +30,7 @@ def match_column(columns: Sequence[str], candidates: Sequence[str]) -> str | Non
 def tsf_header(lines: DataFrame) -> dict:
     """Directives of a series text file: attributes in order, frequency, horizon, missing, equallength."""
     out: dict = {"attributes": []}
-    for r in lines.where(F.col("value").startswith("@") & ~F.lower("value").startswith("@data")).select("value").limit(1000).collect():
+    for r in lines.where(F.col("value").startswith("@") & ~F.lower("value").startswith("@data")).select("value").collect():  # directives: lines that begin with @, before the data
         key, *rest = r.value.strip().split()
         if key.lower() == "@attribute":
             out["attributes"].append((rest[0], rest[1].lower()))
@@ -100,12 +100,34 @@ def long_to_monthly(df: DataFrame, series: str, date: str, value: str, positive:
     return numbered(rows.groupBy(F.col(series).cast("string").alias("series_id"), F.last_day(date).alias("ds")).agg(F.sum(v).alias("y")))
 
 
-def calendar_fill(obs: DataFrame, fill: float | None = 0.0) -> DataFrame:
-    """All months between a series' first and last; months without a row get ``fill`` (null: interpolated)."""
+def calendar_fill(obs: DataFrame, fill: float | None = 0.0, flag: bool = False) -> DataFrame:
+    """All months between a series' first and last; months without a row get ``fill`` (null: interpolated); with ``flag``, added says which."""
     ends = obs.groupBy("series_id").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     months = F.transform(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("interval 1 month")), lambda d: F.last_day(d))
     full = ends.select("series_id", F.explode(months).alias("ds")).join(obs.select("series_id", "ds", "y"), ["series_id", "ds"], "left")
-    return numbered(interpolate(full) if fill is None else full.withColumn("y", F.coalesce("y", F.lit(fill))))
+    out = numbered(interpolate(full) if fill is None else full.withColumn("y", F.coalesce("y", F.lit(fill))))
+    if not flag:
+        return out
+    known = obs.where("y is not null").select("series_id", "ds", F.lit(False).alias("known"))
+    return out.join(known, ["series_id", "ds"], "left").withColumn("added", F.coalesce("known", F.lit(True))).drop("known")
+
+
+def imputed(filled: DataFrame) -> DataFrame:
+    """n and imputed (months that were filled in) of each series of ``calendar_fill`` with flag."""
+    return filled.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("added").cast("long")).alias("imputed"))
+
+
+def picked(obs: DataFrame, position: int | None = None, series_id: str | None = None) -> DataFrame:
+    """One series: by its id, or by its place (from 0) among the ids in order; ValueError where there is none."""
+    if series_id is None:
+        place = obs.select("series_id").distinct().orderBy("series_id").limit(position + 1).collect()  # at most ``position`` + 1 ids
+        if len(place) <= position:
+            raise ValueError(f"there are {len(place)} series")
+        series_id = place[-1].series_id
+    out = obs.where(F.col("series_id") == series_id)
+    if out.isEmpty():
+        raise ValueError(f"no series {series_id}")
+    return out
 
 
 def json_series(df: DataFrame, column: str) -> DataFrame:
