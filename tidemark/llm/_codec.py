@@ -30,18 +30,22 @@ import numpy as np
 
 MAGIC, VERSION = 0x4B4D4454, 2
 #: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 1 << 12, 1 << 11
+_PLACE = 12
+BLOCK, LANES = 1 << _PLACE, 1 << 11
 U = np.uint64
 _H2 = 11  # bits of an order-2 table
 _ONES, _HALF = U(0x0001000100010001), U(0x7FFF7FFF7FFF7FFF)
-_F16, _LOW, _4, _16, _32, _48 = U(0xFFFF), U(0xFFFFFFFF), U(4), U(16), U(32), U(48)
+_F13, _F16, _LOW = U(0x1FFF), U(0xFFFF), U(0xFFFFFFFF)
+_4, _13, _16, _32, _48 = U(4), U(13), U(16), U(32), U(48)
 _FRESH = U(0x0004000800020002)  # order 2 2, order 1 2, met 8, new 4
-_STEP = U(16)
+_STEP = U(24)
 #: A context's counts are halved when they exceed this, looked at every _EVERY ids.
-_LIMIT, _EVERY = U(2048), 64
+_LIMIT, _EVERY = U(2048), 128
+#: Greatest distance of the order-0 sums.
 _RENEW = 256
 _IDS = np.arange(1 << 16, dtype=np.int64)
-_FALL = np.concatenate([[0], np.cumsum(1 + (1 << 15) // (_IDS + 1024))]).astype(U)  # below 2**18 in all
+_FALL = np.concatenate([[0], np.cumsum(1 + (1 << 15) // (_IDS + 700))]).astype(U)  # below 2**18 in all
+_FALLEN = np.repeat(_IDS, np.diff(_FALL.astype(np.int64))).astype(np.uint16)  # id by place among these
 _PLAIN = U(1 << 32)
 
 
@@ -54,14 +58,15 @@ class _Model:
     ``e``, ``p``, ``k``, ``w`` tells them apart.
     """
 
-    def __init__(self, lanes: int, steps: int, inverse: bool):
+    def __init__(self, lanes: int, steps: int, x: np.ndarray | None = None):
+        inverse = x is None
         self.lane, self.lanes, self.inverse = np.arange(lanes), lanes, inverse
         # 8 * number + confidence (1 to 4), 0: none; order 1 by number, then order 2 by hash
         self.table = np.zeros(lanes * (steps + 2 + (1 << _H2)), np.uint16)
         self.b2 = self.lane + lanes * (steps + 2)
         self.word = np.full(lanes * 144, _FRESH)  # 128 by confidences, then 16 by last events
         self.b_last = self.lane + lanes * 128
-        self.x = np.zeros((steps, lanes), np.uint16)  # numbers of the ids so far
+        self.x = np.zeros((steps, lanes), np.uint16) if inverse else x  # numbers of the ids so far
         self.met = np.zeros(lanes, np.int64)
         self.last, self.q, self.h = (np.zeros(lanes, np.int64) for _ in range(3))
         self.ix = self.lane  # place of the number before, none at first
@@ -77,19 +82,18 @@ class _Model:
         self.i, self.iw = np.empty((2, m), np.int64), np.empty((2, m), np.int64)
 
     def renew(self) -> None:
-        """Order 0: counts (``freq``) and sums before (``cum``) of all numbers met, and room for those to come; with ``inverse``, numbers by place."""
+        """Order 0: of all numbers met, and those to come, the sum of counts before and the own count (``share``, 13 bits); with ``inverse``, numbers by place."""
         n, rows = int(self.met.max(initial=0)) + 1, self.counts.shape[0]
         seen = self.x[self.summed : self.steps].astype(np.int64) * self.lanes + np.arange(self.lanes)
         counts = np.bincount(seen.reshape(-1), minlength=n * self.lanes).reshape(-1, self.lanes).astype(np.int32)
         counts[:rows] += self.counts
         self.counts, self.summed = counts, self.steps
-        self.freq = np.ones((n + _RENEW, self.lanes), np.int32)
-        self.cum = np.zeros((n + _RENEW, self.lanes), np.int32)
-        np.maximum(counts, 1, out=self.freq[:n])  # those not met yet will come once
-        np.cumsum(counts[:-1], axis=0, out=self.cum[1:n])
+        share = np.ones((n + _RENEW, self.lanes), np.uint32)
+        np.maximum(counts, 1, out=share[:n], casting="unsafe")  # those not met yet will come once
+        share[1:n] += np.cumsum(counts[:-1], axis=0, dtype=np.uint32) << 13
+        self.share = share.reshape(-1)
         if self.inverse:
-            self.by_place = np.repeat(np.tile(np.arange(n, dtype=np.int32), self.lanes), counts.T.reshape(-1))
-        self.freq, self.cum = self.freq.reshape(-1), self.cum.reshape(-1)
+            self.by_place = np.repeat(np.tile(np.arange(n, dtype=np.uint16), self.lanes), counts.T.reshape(-1))
         self.known = self.met.copy()
         self.next = self.steps + min(_RENEW, max(8, self.steps))
 
@@ -124,10 +128,11 @@ class _Model:
         self.word[self.iw] = self.w + (_STEP << self.shift)
         self.last = (self.last << 2 & 15) | event
         self.table[self.i] = np.where(self.p == x, self.e + (self.k < 4), np.where(self.k > 1, self.e - 1, (x << 3) + 1))
-        self.x[self.steps, : len(x)] = x
+        if self.inverse:
+            self.x[self.steps, : len(x)] = x
         if len(new):
             n = self.met[new]
-            self.cum[self.ix[new]] = self.summed + n - self.known[new]
+            self.share[self.ix[new]] = (self.summed + n - self.known[new] << 13) + 1
             self.met[new] = n + 1
         self.steps += 1
         if self.steps == self.next:
@@ -142,10 +147,11 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes, n = ids.shape
     numbers, new = np.empty(ids.shape, np.uint16), np.zeros(ids.shape, bool)
     for at in range(0, lanes, 32):
-        own = ids[at : at + 32].astype(U)
+        kind = np.uint32 if ids.dtype == np.uint16 else U  # 16 bits, or 32, and the place in the block
+        own = ids[at : at + 32].astype(kind)
         m = len(own)
-        key = np.sort((own << U(15)) + np.arange(n, dtype=U), axis=1)
-        place, kind = (key & U(0x7FFF)).astype(np.int64), key >> U(15)
+        key = np.sort((own << kind(_PLACE)) + np.arange(n, dtype=kind), axis=1)
+        place, kind = (key & kind((1 << _PLACE) - 1)).astype(np.int64), key >> kind(_PLACE)
         first = np.ones(key.shape, bool)
         first[:, 1:] = kind[:, 1:] != kind[:, :-1]
         flat = (place + np.arange(m)[:, None] * n).reshape(-1)
@@ -170,7 +176,7 @@ def _encode_group(ids: np.ndarray, wide: bool) -> list[bytes]:
     rows = rows.reshape(lanes, steps)
     numbers, new = _numbered(rows)
     grid, raw, new = np.ascontiguousarray(numbers.T), np.ascontiguousarray(rows.T), np.ascontiguousarray(new.T)
-    model = _Model(lanes, steps, False)
+    model = _Model(lanes, steps, grid)
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     width = 2 * steps + 4
     words = np.zeros(lanes * width, np.uint32)
@@ -211,8 +217,9 @@ def _encode_group(ids: np.ndarray, wide: bool) -> list[bytes]:
         if len(met):
             im = ix[met]
             r = size[met] // (model.summed + model.met[met] - model.known[met]).astype(U)
-            add[met] += r * model.cum.take(im).astype(U)
-            size[met] = r * model.freq.take(im).astype(U)
+            share = model.share.take(im).astype(U)
+            add[met] += r * (share >> _13)
+            size[met] = r * (share & _F13)
         some = new[i, :m].nonzero()[0]
         y = raw[i].take(some).astype(np.int64)
         if len(some) and not wide:
@@ -250,7 +257,7 @@ def _decode_group(payloads: list[bytes], n: int, wide: bool) -> np.ndarray:
     used = np.array([len(p) // 4 for p in payloads])
     words = np.frombuffer(b"".join([*payloads, bytes(8)]), "<u4").astype(U)
     at = np.cumsum(used) - used
-    model = _Model(lanes, steps, True)
+    model = _Model(lanes, steps)
     name = np.zeros(lanes * (steps + 2), np.uint32)  # id by number
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
     code = (words[at] << _32) | words[at + 1]
@@ -288,14 +295,15 @@ def _decode_group(payloads: list[bytes], n: int, wide: bool) -> np.ndarray:
             number = np.where(late < 0, number, model.known[met] + 1 + late)
             x[met] = number
             im = number * lanes + met
-            c[met] -= r * model.cum.take(im).astype(U)
-            size[met] = r * model.freq.take(im).astype(U)
+            share = model.share.take(im).astype(U)
+            c[met] -= r * (share >> _13)
+            size[met] = r * (share & _F13)
         y = np.zeros(0, np.int64)
         if len(some):
             x[some] = model.met[some] + 1
             if not wide:
                 r = size[some] // _FALL[-1]
-                y = np.searchsorted(_FALL, np.minimum(c[some] // r, _FALL[-1] - U(1)), "right") - 1
+                y = _FALLEN.take(np.minimum(c[some] // r, _FALL[-1] - U(1)).astype(np.int64)).astype(np.int64)
                 low_y = _FALL.take(y)
                 c[some] -= r * low_y
                 size[some] = r * (_FALL.take(y + 1) - low_y)

@@ -25,7 +25,7 @@ from ._text import utf8
 #: Twice the pieces a worker remembers before it starts anew; about 200 MB.
 MEMO = 1_600_000
 #: Bytes of text that are cut into pieces at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 12 << 20
 
 #: Normalizer and pre-tokenizer under which pieces are independent of each other.
 WORD_LEVEL = {
