@@ -70,6 +70,33 @@ def conflicts(rows: DataFrame, by: list[str], metric: str, tolerance: float = 1e
     return rows.groupBy(*by).agg(F.min(metric).alias("least"), F.max(metric).alias("greatest")).where(F.col("greatest") - F.col("least") > tolerance)
 
 
+def export(folder: str, tables: dict[str, DataFrame], notes: dict | None = None, kind: str = "parquet") -> None:
+    """Write each table below ``folder`` by its name, and ``notes`` (settings, versions) as one JSON line beside them."""
+    if kind not in ("parquet", "csv", "json"):
+        raise ValueError(f"no such kind of file: {kind}")
+    for name, t in tables.items():
+        w = t.write.mode("overwrite")
+        (w.option("header", True) if kind == "csv" else w).format(kind).save(f"{folder.rstrip('/')}/{name}")
+    if notes is not None and tables:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(stable_json(notes),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/notes")
+
+
+def run_tables(s: DataFrame, alpha: float = 0.1) -> dict[str, DataFrame]:
+    """What a run is judged by, from its table of results: per_series, aggregate, failures and audit (rows that break causality)."""
+    each = per_series(s, alpha)
+    half = lambda c: F.percentile(c, F.lit(0.5)).alias(f"{c}_median")
+    total = each.groupBy("dataset", "model").agg(F.count_distinct("series_id").alias("n_series"), F.avg("mase").alias("mase_mean"), half("mase"), half("smape"), half("rmse"), half("msis"), F.avg("ecp").alias("ecp_mean"))
+    failed = s.where("status <> 'ok'").select("dataset", "series_id", "model", "target_timestamp", "error")
+    return {"results": s, "per_series": each, "aggregate": total, "failures": failed, "audit": violations(s)}
+
+
+def failed_rows(rows: DataFrame, dataset: str, model: str) -> DataFrame:
+    """Rows of fitted models with status failed as rows of the table of results, without a forecast."""
+    f = rows.where("status = 'failed'").select("series_id", F.col("ds").alias("target_timestamp"), "status", "error")
+    return store(f, dataset=dataset, model=model)
+
+
 def failure(series: Column, model: str, message: Column) -> list[Column]:
     """Columns of a row for a model that failed on a series."""
     return [series.alias("series_id"), F.lit(model).alias("model"), F.lit("failed").alias("status"), message.alias("error")]

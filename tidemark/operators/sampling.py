@@ -41,6 +41,35 @@ def roles(ids: DataFrame, share: float = 0.3, seed: int = 42) -> DataFrame:
     return placed.select("series_id", "key", F.when(F.col("place") <= first, "development").otherwise("evaluation").alias("role"))
 
 
+def development_one(obs: DataFrame, seed: int = 42, least: int = 30, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """One row: the series, of at least ``least`` rows and not excluded, that is first in hash order."""
+    i = obs.where((F.col("n") >= least) & ~F.col("series_id").isin(list(excluded))).select("series_id").distinct()
+    return i.agg(F.min_by("series_id", hash_key(F.col("series_id"), seed, 64)).alias("series_id")).where("series_id is not null")
+
+
+def development_group(obs: DataFrame, n: int = 10, seed: int = 42, least: int = 18, series: list[str] | None = None) -> DataFrame:
+    """series_id of ``n`` series for tuning, or of those given, all of at least ``least`` rows; at least one series must be left for evaluation.
+
+    ValueError for repeated or unknown ids, or too few series.
+    """
+    ids = obs.groupBy("series_id").agg((F.max("n") >= least).alias("ok"))
+    if series is not None:
+        if len(set(series)) < len(series):
+            raise ValueError("repeated series")
+        known = ids.where(F.col("series_id").isin(series) & F.col("ok")).count()
+        if known < len(series):
+            raise ValueError(f"{len(series) - known} of the series are unknown or too short")
+        chosen = ids.where(F.col("series_id").isin(series)).select("series_id")
+    else:
+        fit = ids.where("ok").count()
+        if not 0 < n <= fit:
+            raise ValueError(f"{n} series are asked for and {fit} are long enough")
+        chosen = ids.where("ok").orderBy(hash_key(F.col("series_id"), seed, 64)).limit(n).select("series_id")
+    if (n if series is None else len(series)) >= ids.count():
+        raise ValueError("no series is left for evaluation")
+    return chosen
+
+
 def only(obs: DataFrame, ids: DataFrame) -> DataFrame:
     return obs.join(ids.select("series_id"), "series_id", "left_semi")
 

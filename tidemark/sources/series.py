@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import header_date
 from tidemark.plans.substrate import along, whole, numbered
+from tidemark.sources.files import text_lines
 
 
 def plain_name(name: str) -> str:
@@ -52,7 +53,8 @@ def parse_tsf(lines: DataFrame, attributes: Sequence[tuple[str, str]]) -> DataFr
 
 
 def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    lines = spark.read.text(path)
+    """Data and header of a series text file, in any usual encoding."""
+    lines = text_lines(spark, path)
     header = tsf_header(lines)
     return parse_tsf(lines, header["attributes"]), header
 
@@ -138,11 +140,26 @@ def json_series(df: DataFrame, column: str) -> DataFrame:
     return numbered(e.select("series_id", F.last_day(header_date(F.col("x.index"))).alias("ds"), F.col("x.values").alias("y")).where("ds is not null"))
 
 
-def validated(obs: DataFrame, least: int = 36, most: int = 199, horizon: int = 12) -> DataFrame:
+def _finite(obs: DataFrame, strict: bool) -> DataFrame:
+    """Series with finite values only; with ``strict`` any other value is an error."""
+    ok = F.coalesce(~F.isnan("y") & (F.abs("y") < float("inf")), F.lit(False))
+    if strict:
+        return obs.withColumn("y", F.when(ok, F.col("y")).otherwise(F.raise_error(F.concat(F.lit("value that is not finite in "), "series_id")).cast("double")))
+    return obs.withColumn("_ok", F.min(ok).over(whole())).where("_ok").drop("_ok")
+
+
+def validated(obs: DataFrame, least: int = 36, most: int = 199, horizon: int = 12, strict: bool = False) -> DataFrame:
     """Series with finite values only and ``least`` training months; of these the last ``most``; split is train or test."""
-    finite = F.min(F.coalesce(~F.isnan("y") & (F.abs("y") < float("inf")), F.lit(False))).over(whole())
-    o = obs.withColumn("_ok", finite).where(F.col("_ok") & (F.col("n") - horizon >= least) & (F.col("t") >= F.col("n") - horizon - most))
-    return numbered(o.drop("_ok")).withColumn("split", F.when(F.col("t") >= F.col("n") - horizon, "test").otherwise("train"))
+    o = _finite(obs, strict).where((F.col("n") - horizon >= least) & (F.col("t") >= F.col("n") - horizon - most))
+    return numbered(o).withColumn("split", F.when(F.col("t") >= F.col("n") - horizon, "test").otherwise("train"))
+
+
+def bounded(obs: DataFrame, least: int = 36, most: int = 199, strict: bool = False) -> DataFrame:
+    """As ``validated`` for rows that have their split: by the number of each series' training rows; series need a test row."""
+    train = F.sum((F.col("split") == "train").cast("int")).over(whole())
+    o = _finite(obs, strict).withColumn("_k", train)
+    o = o.where((F.col("_k") >= least) & (F.col("_k") < F.col("n")) & (F.col("t") >= F.col("_k") - most))
+    return numbered(o).join(o.select("series_id", "ds", "split"), ["series_id", "ds"])
 
 
 def gaps(obs: DataFrame) -> DataFrame:
