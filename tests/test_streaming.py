@@ -52,3 +52,25 @@ def test_daily_sums(spark, tmp_path):
     assert closed and all(batch[d] == v for d, v in closed.items()) and set(closed) < set(batch)
     m = online.monthly(spark.createDataFrame(rows, "k string, ts timestamp, v double"), "k", "ts", "v").agg(F.sum("y")).first()[0]
     assert m == 20
+
+
+def test_stream_goes_on_from_states_at_rest(rocks, tmp_path):
+    """States made in batch, written and read back, begin a stream: its rows are those of one stream over all."""
+    spark, rng = rocks, np.random.default_rng(3)
+    y, days = {s: rng.normal(10, 2, 30).round(3) for s in "ab"}, months(30)
+    rows = [(s, days[i], float(y[s][i])) for s in "ab" for i in range(30)]
+    kind = "series_id string, ds date, y double"
+    df = spark.createDataFrame(rows, kind)
+    online.states(df.where(F.col("ds") <= days[19])).write.parquet(str(tmp_path / "states"))
+    df.where(F.col("ds") > days[19]).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).json(str(tmp_path / "in"))
+    q = online.forecasts(stream, initial=spark.read.parquet(str(tmp_path / "states"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {(r.series_id, r.ds): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 20
+    for s in "ab":
+        pred = [np.mean(y[s][max(0, i - 6) : i]) if i else y[s][0] for i in range(30)]
+        want = loop_aci(list(y[s]), pred)
+        for i in range(20, 30):
+            r = got[(s, days[i])]
+            assert r.status == "ok" and np.allclose((r.pred, r.lower, r.upper, r.alpha, r.n_scores), (pred[i], *want[i]))

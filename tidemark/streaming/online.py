@@ -3,11 +3,14 @@
 ``monthly``: transactions to monthly sums with a watermark for late rows.
 ``forecasts``: one-step forecasts with adaptive conformal intervals, series by
 series: the forecast for the next row is emitted, and kept as state, before that
-row is seen; when it arrives its error updates the interval.
+row is seen; when it arrives its error updates the interval.  ``states``: the same
+state made from rows at rest, from which a stream can go on.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,33 +43,40 @@ class Forecaster(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.state.update((list(map(float, r["history"])), list(map(float, r["scores"])), float(r["alpha"]), float(r["pred"]), float(r["half"]), r["last_ds"], int(r["n"])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("ds")
-        if self.state.exists():
-            history, scores, alpha, _, _, last, n = self.state.get()
+        state, out = self.after(key[0], new, self.state.get() if self.state.exists() else None)
+        self.state.update(state)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def after(self, key: str, new: pd.DataFrame, state: tuple | None) -> tuple[tuple, list[tuple]]:
+        """The state after rows in order of ds, and a row of OUT for each."""
+        if state is not None:
+            history, scores, alpha, _, _, last, n = state
             history, scores = list(history), list(scores)
         else:
             history, scores, alpha, last, n = [], [], self.target, None, 0
         out = []
         for ds, y in zip(new["ds"], new["y"]):
             if last is not None and ds <= last:
-                out.append((key[0], ds, y, None, None, None, alpha, len(scores), "late"))
+                out.append((key, ds, y, None, None, None, alpha, len(scores), "late"))
                 continue
             pred = sum(history) / len(history) if history else y
             half = self._half(scores, alpha)
-            out.append((key[0], ds, y, pred, pred - half, pred + half, alpha, len(scores), "ok"))
+            out.append((key, ds, y, pred, pred - half, pred + half, alpha, len(scores), "ok"))
             miss = abs(y - pred) > half
             alpha = min(max(alpha + self.rate * (self.target - miss), self.low), self.high)
-            scores = sorted([*scores, abs(y - pred)])
+            insort(scores, abs(y - pred))
             history, last, n = [*history, y][-self.window :], ds, n + 1
         pred = sum(history) / len(history) if history else 0.0
-        self.state.update((history, scores, alpha, pred, self._half(scores, alpha), last, n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        return (history, scores, alpha, pred, self._half(scores, alpha), last, n), out
 
     @staticmethod
     def _half(scores: list[float], alpha: float) -> float:
-        import math
-
         n = len(scores)
         return scores[min(max(math.ceil((n + 1) * (1 - alpha)), 1), n) - 1] if n else 0.0
 
@@ -74,6 +84,18 @@ class Forecaster(StatefulProcessor):
         pass
 
 
-def forecasts(observations: DataFrame, window: int = 6, target: float = 0.1, rate: float = 0.05) -> DataFrame:
-    """Forecasts of a stream of (series_id, ds, y). Needs the RocksDB state store."""
-    return observations.groupBy("series_id").transformWithStateInPandas(Forecaster(window, target, rate), OUT, "append", "none")
+def states(observations: DataFrame, window: int = 6, target: float = 0.1, rate: float = 0.05) -> DataFrame:
+    """The state of each series after (series_id, ds, y) at rest: to be kept as a table, and given to ``forecasts`` as where a stream begins."""
+    f = Forecaster(window, target, rate)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        state, _ = f.after(g.series_id.iloc[0], g.sort_values("ds"), None)
+        return pd.DataFrame([(g.series_id.iloc[0], *state)], columns=["series_id", *(c.split()[0] for c in STATE.split(", "))])
+
+    return observations.groupBy("series_id").applyInPandas(run, f"series_id string, {STATE}")
+
+
+def forecasts(observations: DataFrame, window: int = 6, target: float = 0.1, rate: float = 0.05, initial: DataFrame | None = None) -> DataFrame:
+    """Forecasts of a stream of (series_id, ds, y), from ``initial`` states if given. Needs the RocksDB state store."""
+    begin = initial.groupBy("series_id") if initial is not None else None
+    return observations.groupBy("series_id").transformWithStateInPandas(Forecaster(window, target, rate), OUT, "append", "none", initialState=begin)
