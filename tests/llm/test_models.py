@@ -159,3 +159,92 @@ def test_url_kind_in_one_fold(spark):
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
     got = {r.page_id: r.verdict for r in judge(pages, [("allow", "good.com/"), ("block", "bad.com/")]).collect()}
     assert (got[60], got[61]) == ("block", "allow")
+
+
+def plain_statistics(text):
+    """The classifier's statistics by plain loops over characters and words."""
+    t = text or ""
+    data = t.encode()
+    words = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    n, size, lines = len(words), len(data), data.count(b"\n") + 1
+    later = lambda xs: len(xs) - len(set(xs))
+    chars = lambda allowed: sum(b in allowed for b in data) / max(size, 1)
+    runs = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    return {
+        "words": n, "bytes": size, "word_length": sum(map(len, words)) / max(n, 1), "longest_word": max(map(len, words), default=0), "upper": chars(range(65, 91)), "digits": chars(b"0123456789"),
+        "symbols": chars(b"#*$%&|<>@^~_=+\\{}[]"), "exclamations": chars(b"!?"), "stops": chars(b"."), "other_marks": chars(b",;:'\"()/-`"), "non_ascii": chars(range(0xC0, 0x100)),
+        "repeated_words": later(words) / max(n, 1), "twins": sum(a == b for a, b in zip(words, words[1:])) / max(n, 1), "repeated_runs": later(runs) / max(n, 1), "lines": lines, "words_a_line": n / lines,
+        "short_words": sum(len(x) < 2 for x in words) / max(n, 1),
+    }
+
+
+def test_structure_against_loops(spark):
+    import pyarrow as pa
+
+    texts = [None, "", " \n\n ", "One ONE one. é!\nx x x x x x x", "a#b 12 " * 40, "Ünï cödé, \t(so: \"it\" is);\n" * 3] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = quality_classifier.structure(quality_classifier.Words(pa.array(texts), quality_classifier.SPACED))
+    limits = quality_classifier.STATISTICS
+    for row, text in zip(got, texts):
+        s = plain_statistics(text)
+        assert list(s) == list(limits) and row.tolist() == [int(np.searchsorted(limits[k], s[k], "right")) for k in limits]
+
+
+def test_machine_slopes_against_differences():
+    """The slopes by which the machine learns, against those of the loss with all pairs written out."""
+    rng = np.random.default_rng(2)
+    m = quality_classifier.Machine()
+    m.factor[:] = rng.normal(0, 0.5, m.factor.shape)
+    m.weight[:] = rng.normal(0, 0.5, m.weight.shape)
+    m.bias = 0.3
+    texts = [(np.array(w), np.array(v)) for w, v in (([3, 70, 500], [0.5, 1.0, 0.25]), ([70, 9], [1.0, 2.0]), ([4], [1.0]))]
+    labels = np.array([1.0, 0.0, 1.0])
+
+    def loss(weight, factor, bias):
+        total = 0.0
+        for (which, value), y in zip(texts, labels):
+            z = bias + sum(weight[w] * v for w, v in zip(which, value))
+            z += sum(float(factor[which[i]] @ factor[which[j]]) * value[i] * value[j] for i in range(len(which)) for j in range(i))
+            total += math.log1p(math.exp(-z if y else z))
+        return total / len(texts)
+
+    weight, factor = m.weight.astype(float), m.factor.astype(float)
+    there, b, w, v = m.slopes(texts, labels)
+    h = 1e-6
+    assert abs((loss(weight, factor, 0.3 + h) - loss(weight, factor, 0.3 - h)) / (2 * h) - b) < 1e-5
+    for i, k in enumerate(there.tolist()):
+        up, down = weight.copy(), weight.copy()
+        up[k], down[k] = up[k] + h, down[k] - h
+        assert abs((loss(up, factor, 0.3) - loss(down, factor, 0.3)) / (2 * h) - w[i]) < 1e-5
+        for f in range(quality_classifier.RANK):
+            up, down = factor.copy(), factor.copy()
+            up[k, f], down[k, f] = up[k, f] + h, down[k, f] - h
+            assert abs((loss(weight, up, 0.3) - loss(weight, down, 0.3)) / (2 * h) - v[i, f]) < 1e-5
+
+
+def test_features_of_a_text_are_bounded_in_learning():
+    doc, which, value = np.repeat([0, 1], [50, 3]), np.concatenate([np.arange(50), [1, 2, 99]]), np.ones(53)
+    d, w, _ = quality_classifier.narrowed(doc, which, value, 10, 45)
+    assert (d == 0).sum() == 10 + 5 and set(range(45, 50)) <= set(w[d == 0].tolist()) and w[d == 1].tolist() == [1, 2, 99]
+    again = quality_classifier.narrowed(doc[:50], which[:50], value[:50], 10, 45)[1]
+    assert again.tolist() == w[d == 0].tolist()
+
+
+def test_risk_steps_change_held_out_results():
+    """The steps on the risk, not the words' ratio they begin from, tell texts with a bad word in bad company from the rest."""
+    rng = np.random.default_rng(4)
+
+    def text(bad):
+        words = set(rng.integers(10, 60, 8).tolist()) | ({1, 2} if bad else {int(rng.integers(1, 3))} if rng.random() < 0.5 else set())
+        b = np.array(sorted(words))
+        return b, np.ones(len(b), np.float32)
+
+    positive = [text(True) for _ in range(300)]
+    unlabelled = [text(rng.random() < 0.2) for _ in range(600)]
+    held = [(text(k), k) for k in [True] * 100 + [False] * 400]
+
+    def right(model):
+        w, b = model
+        return np.mean([(w[t[0]] @ t[1] + b > 0) == k for t, k in held])
+
+    start, fitted = right(toxicity.fit(positive, unlabelled, 0.2, bits=8, epochs=0)), right(toxicity.fit(positive, unlabelled, 0.2, bits=8))
+    assert fitted > 0.95 and fitted > start + 0.02

@@ -43,3 +43,27 @@ def test_stages(spark, small):
     for r in p.itertuples():
         assert r.ids_crc32 == zlib.crc32(np.array(total[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
     assert P.ORACLE_SQL is None and P.run(spark, small).count() == len(p)
+
+
+def test_stages_at_the_edge(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables go through every stage."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "p1 p2 p3 p4 p5 p6 p7 p8 p9 p10"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (odd, odd.where("false")):
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.dtypes == docs.dtypes
+            rows = out.collect()
+            if docs is not odd:
+                assert rows == []
+            elif name in ("n-gram Jaccard join", "substring dedup", "benchmark decontamination"):
+                assert {2, 3, 4} <= {r.doc_id for r in rows}
+            elif name == "packing":
+                n = {}
+                for r in rows:
+                    n[r.doc_id] = n.get(r.doc_id, 0) + r.length
+                assert n[2] == n[3] == n[4] == 1 and set(n) == {r.doc_id for r in odd.collect()}
+    assert {r.doc_id for r in P.decontaminated(spark, odd, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, 9, 10, 11}
+    assert P.run(spark, str(tmp_path)).count() > 0
