@@ -57,6 +57,20 @@ def test_experiments_hold_the_plain_models(obs):
     assert {r.series_id for r in moved} == {s for s, r in roles.items() if r == "evaluation"} and len({r.trial for r in moved}) == 1
 
 
+def test_ablations(obs):
+    """Deltas are against the whole model a variant was taken from; without a foundation the prior is the mean so far."""
+    e = experiments.ablation(obs).cache()
+    mae = {(r.variant, r.series_id): r.mae for r in e.collect()}
+    whole = lambda v: "reservoir_full" if v.startswith("reservoir") else "full"
+    assert all(abs(r.delta - (mae[(r.variant, r.series_id)] - mae[(whole(r.variant), r.series_id)])) < 1e-12 for r in experiments.ablation_deltas(e).collect())
+    t = {r.variant: r for r in experiments.ablation_tests(e).collect()}
+    assert set(t) == {v for v, _ in mae} - {"full", "reservoir_full"} and {"no_foundation", "no_selector", "reservoir_no_gate"} <= set(t)
+    for v, r in t.items():
+        d = [mae[(v, s)] - mae[(whole(v), s)] for s in "abcd"]
+        assert r.n_pairs == 4 and abs(r.mean_delta - np.mean(d)) < 1e-9 and abs(r.median - np.median([mae[(v, s)] for s in "abcd"])) < 1e-9
+        assert r.p == 1.0 if not any(d) else 0 < r.p <= r.holm <= 1
+
+
 def test_failures_are_rows(obs):
     """One setting that cannot be fitted fails, by series and with its error; the others are as they were."""
     rows = models.sketch(obs, variants={"full": (), "broken": {"alpha": "none"}})

@@ -31,13 +31,18 @@ def ljung_box(obs: DataFrame, lags: int = 12) -> DataFrame:
 
 
 def spectral_entropy(obs: DataFrame) -> DataFrame:
-    """Entropy of the periodogram without the mean, over the log of the number of frequencies."""
-    o = obs.withColumn("d", F.col("y") - F.avg("y").over(whole())).withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    angle = 2 * math.pi * F.pmod(F.col("k") * F.col("t"), F.col("n")) / F.col("n")
-    p = o.groupBy("series_id", "k").agg((F.sum(F.col("d") * F.cos(angle)) ** 2 + F.sum(F.col("d") * F.sin(angle)) ** 2).alias("p"))
-    s = p.withColumn("share", F.col("p") / F.nullif(F.sum("p").over(whole()), F.lit(0.0)))
-    h = F.sum(F.when(F.col("share") > 1e-15, -F.col("share") * F.log("share")).otherwise(0.0))
-    return s.groupBy("series_id").agg((h / F.log(F.count("*"))).alias("entropy"))
+    """Entropy of the periodogram without the mean, over the log of the number of frequencies; made inside one row a series."""
+    g = obs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("rows"), F.avg("y").alias("mean"), F.count("*").alias("n"))
+    step = 2 * math.pi / F.col("n")
+
+    def part(f, k):
+        return F.aggregate("rows", F.lit(0.0), lambda a, x: a + (x["y"] - F.col("mean")) * f(step * F.pmod(k * x["t"], F.col("n"))))
+
+    power = F.transform(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int")), lambda k: F.pow(part(F.cos, k), F.lit(2)) + F.pow(part(F.sin, k), F.lit(2)))
+    p = g.where("n >= 2").select("series_id", power.alias("p")).withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    share = lambda x: x / F.nullif(F.col("total"), F.lit(0.0))
+    h = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.when(share(x) > 1e-15, -share(x) * F.log(share(x))).otherwise(0.0))
+    return p.select("series_id", (h / F.log(F.size("p"))).alias("entropy"))
 
 
 def breaks(obs: DataFrame, width: int = 8, least: float = 3.0) -> DataFrame:

@@ -46,7 +46,30 @@ def ablation(obs: DataFrame, sketch: dict | None = None, reservoir: dict | None
         more = F.array(own, *[F.struct(F.lit(k).alias("variant"), c.alias("pred")) for k, c in read.items()])
         rows = fitted.where("block = 'test'").select("series_id", "y", F.explode(F.when(F.col("variant") == full, more).otherwise(F.array(own))).alias("x")).select("series_id", "y", "x.*")
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("variant", "series_id").agg(mae)
+    from pyspark.sql import Window
+
+    mean = F.coalesce(F.avg("y").over(along().rowsBetween(Window.unboundedPreceding, -1)), F.col("y"))
+    bare = models.sketch(obs, prior=mean, **(sketch or {})).where("block = 'test'").select("series_id", "y", F.lit("no_foundation").alias("variant"), "pred")
+    return out.unionByName(bare).groupBy("variant", "series_id").agg(mae)
+
+
+def ablation_deltas(errors: DataFrame, full: dict[str, str] | None = None) -> DataFrame:
+    """variant, series_id, mae and delta: error less that of the whole model it was taken from (those named reservoir_..., and all others)."""
+    own = F.when(F.col("variant").startswith("reservoir"), "reservoir_full").otherwise("full")
+    base = errors.where("variant in ('full', 'reservoir_full')").select(F.col("variant").alias("whole"), "series_id", F.col("mae").alias("base"))
+    return errors.withColumn("whole", own).join(base, ["whole", "series_id"]).select("variant", "series_id", "mae", (F.col("mae") - F.col("base")).alias("delta"))
+
+
+def ablation_tests(errors: DataFrame) -> DataFrame:
+    """Each variant against its whole model: pairs, mean and median error, mean delta, the signed-rank test and its adjustment."""
+    from tidemark.operators import statistics
+
+    half = errors.groupBy(F.col("variant").alias("model")).agg(F.percentile("mae", F.lit(0.5)).alias("median"))
+    out = None
+    for whole, mine in (("full", ~F.col("variant").startswith("reservoir")), ("reservoir_full", F.col("variant").startswith("reservoir"))):
+        t = statistics.signed_rank_test(errors.where(mine).withColumnRenamed("variant", "model"), "mae", whole)
+        out = t if out is None else out.unionByName(t)
+    return out.join(half, "model").withColumnRenamed("model", "variant")
 
 
 def robustness(obs: DataFrame, priors: tuple[str, ...] = ("naive", "seasonal_naive", "rolling_mean")) -> DataFrame:

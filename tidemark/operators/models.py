@@ -252,21 +252,24 @@ def walked(predict, least: int = 3, m: int = 12, fall_back: str = "last"):
 KINDS = ("linear", "nlinear", "dlinear", "kernel")
 
 
-def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int = 12, alpha: float = 1.0, most: int | None = None) -> DataFrame:
+def window_regression(obs: DataFrame, kind: str | tuple[str, ...], width: int = 12, horizon: int = 12, alpha: float = 1.0, most: int | None = None) -> DataFrame:
     """One-step forecasts of test rows by regression on the ``width`` values before each.
 
     linear: ridge on the window; nlinear: on its differences from its last
     value; dlinear: on its running mean and what that leaves; kernel: ridge with
     a Gaussian kernel on the standardised window.  Windows are columns; a
-    grouped map solves one series' system.
+    grouped map solves one series' system.  Several kinds are fitted in one pass,
+    and told apart by column variant.
     """
-    if kind not in KINDS:
-        raise ValueError(f"unknown kind: {kind}")
+    kinds = (kind,) if isinstance(kind, str) else tuple(kind)
+    if unknown := [k for k in kinds if k not in KINDS]:
+        raise ValueError(f"unknown kind: {', '.join(unknown)}")
     o = splits.tail(latest(obs, most), horizon).withColumn("x", F.collect_list("y").over(along().rowsBetween(-width, -1)))
-    o = o.where(F.size("x") == width).select("series_id", "ds", "t", "y", "split", "x")
+    o = o.where(F.size("x") == width).select("series_id", "ds", "t", "y", "split", "x", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("variant"))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
+        kind = g.variant.iloc[0]
         x, y, train = np.array(g.x.tolist(), float), g.y.to_numpy(float), (g.split == "train").to_numpy()
         base = np.zeros(len(g))
         if train.sum() < 3:
@@ -287,10 +290,11 @@ def window_regression(obs: DataFrame, kind: str, width: int = 12, horizon: int =
             w, b = _ridge(x[train], (y - base)[train], alpha)
             pred = x @ w + b + base
         test = ~train
-        return pd.DataFrame({"series_id": g.series_id[test], "ds": g.ds[test], "y": y[test], "pred": pred[test]})
+        return pd.DataFrame({"series_id": g.series_id[test], "ds": g.ds[test], "y": y[test], "pred": pred[test], "variant": kind})
 
-    schema = "series_id string, ds date, y double, pred double, status string, error string"
-    return o.groupBy("series_id").applyInPandas(captured(fit, schema, "split"), schema)
+    schema = "series_id string, ds date, y double, pred double, status string, error string, variant string"
+    out = o.groupBy("series_id", "variant").applyInPandas(captured(fit, schema, "split"), schema)
+    return out.drop("variant") if isinstance(kind, str) else out
 
 
 def autoregression(obs: DataFrame, lags: int = 3, horizon: int = 12, most: int | None = None) -> DataFrame:

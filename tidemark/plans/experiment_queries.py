@@ -96,11 +96,8 @@ def prior_holt_winters(spark, d):
 @query()
 def window_models(spark, d):
     """Linear, last-value, trend-and-rest and kernel regressions on windows: errors of each series."""
-    o, out = brand_monthly(spark, d), None
-    for kind in models.KINDS:
-        m = models.window_regression(o, kind).groupBy("series_id").agg(metrics.point()["mae"].alias("mae"), F.count("*").alias("n_points")).withColumn("model", F.lit(kind))
-        out = m if out is None else out.unionByName(m)
-    return out.select("series_id", "model", "n_points", "mae")
+    m = models.window_regression(brand_monthly(spark, d), models.KINDS).withColumnRenamed("variant", "model")
+    return m.groupBy("series_id", "model").agg(F.count("*").alias("n_points"), metrics.point()["mae"].alias("mae"))
 
 
 @query()

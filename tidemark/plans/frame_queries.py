@@ -125,6 +125,18 @@ def imputed_counts(spark, d):
     return S.imputed(S.calendar_fill(numbered(e.groupBy("series_id", "ds").agg(F.sum("value").alias("y"))), None, flag=True))
 
 
+@query()
+def ablation_deltas(spark, d):
+    """Errors of every variant less those of its whole model."""
+    return experiments.ablation_deltas(experiments.ablation(brand_monthly(spark, d), **models.PUBLISHED))
+
+
+@query()
+def ablation_tests(spark, d):
+    """Every variant against its whole model, with signed-rank tests."""
+    return experiments.ablation_tests(experiments.ablation(brand_monthly(spark, d), **models.PUBLISHED).persist())
+
+
 @query()
 def fitted_efficiency(spark, d):
     """Both fitted models and their prior by length of history."""

@@ -74,13 +74,11 @@ def hpo_uq(spark, d):
     """Settings of the intervals, with the forecasts as they are: score by width, misses and lacking coverage; median over series."""
     f = forecasts.compared(splits.tail(brand_monthly(spark, d), 12), ("rolling_mean",)).where("t >= n - 24")
     scale = metrics.scales(splits.tail(brand_monthly(spark, d), 12)).withColumnRenamed("scale", "unit")
-    out = None
-    for i, (rate, width) in enumerate(_UQ):
-        rows = conformal.adaptive(f, ["series_id", "model"], 0.1, rate, width).where("split = 'test'").join(scale, "series_id")
-        ecp = F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double"))
-        one = rows.groupBy("series_id").agg((F.avg(metrics.interval_score(0.1)) / F.first("unit") + 100 * F.greatest(F.lit(0.0), 0.9 - ecp) ** 2).alias("score"))
-        one = one.select(F.lit(i).alias("trial"), F.lit(rate).alias("rate"), F.lit(width).alias("scale"), "score")
-        out = one if out is None else out.unionByName(one)
+    trials = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(rate).alias("rate"), F.lit(width).alias("scale")) for i, (rate, width) in enumerate(_UQ)])
+    f = f.withColumn("x", F.explode(trials)).select(*f.columns, "x.*")
+    rows = conformal.adaptive(f, ["series_id", "model", "trial"], 0.1, "rate", "scale").where("split = 'test'").join(scale, "series_id")
+    ecp = F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double"))
+    out = rows.groupBy("series_id", "trial", "rate", "scale").agg((F.avg(metrics.interval_score(0.1)) / F.first("unit") + 100 * F.greatest(F.lit(0.0), 0.9 - ecp) ** 2).alias("score"))
     return out.groupBy("trial", "rate", "scale").agg(F.percentile("score", F.lit(0.5)).alias("median"))
 
 

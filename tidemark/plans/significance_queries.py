@@ -85,6 +85,11 @@ def paired_bootstrap(spark, d):
     return statistics.paired_bootstrap(scored(spark, d), "mae")
 
 
+@query(f"{_R}, k AS (SELECT series_id FROM rk WHERE mae IS NOT NULL GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM rk)), g AS (SELECT model, avg(rank) AS average_rank, count(*) AS n_complete FROM ra JOIN k USING (series_id) GROUP BY 1), f AS (SELECT model, count(*) - count(mae) AS failures FROM rk GROUP BY 1) SELECT model, average_rank, n_complete, failures, n_complete > 0 AS included FROM f JOIN g USING (model)", "average_rank")
+def critical_differences(spark, d):
+    return statistics.critical_differences(scored(spark, d), "mae")
+
+
 @query(f"""{_R}, {_draws('rk', 'model', 'series_id', 'mae', _MEAN)}, g AS (SELECT model, count(mae) AS successful, count(*) - count(mae) AS failures, avg(mae) AS mean, quantile_cont(mae, 0.5) AS median, coalesce(stddev_samp(mae), 0) AS std, quantile_cont(mae, 0.75) - quantile_cont(mae, 0.25) AS iqr FROM rk GROUP BY 1), k AS (SELECT model, avg(rank) AS average_rank FROM ra GROUP BY 1)
 SELECT model, successful, failures, mean, median, std, iqr, low AS ci95_low, high AS ci95_high, average_rank FROM g JOIN ci USING (model) JOIN k USING (model)""", "mean median std iqr ci95_low ci95_high average_rank")
 def ranked_summary(spark, d):
