@@ -108,7 +108,7 @@ def test_ablation_refits(spark):
     """Each variant is a fit without its columns: without them in the table the full fit is the same."""
     obs = numbered(spark.createDataFrame([("s", d, float(v)) for d, v in zip(months(96), one_series())], "series_id string, ds date, y double"))
     got = {r.variant: r.mae for r in experiments.ablation(obs).collect()}
-    assert set(got) == {*experiments.SKETCHES, *experiments.RESERVOIRS, "no_shrinkage", "no_selector", "prior_only", "reservoir_no_selector", "reservoir_prior_only"}
+    assert set(got) == {*experiments.SKETCHES, *experiments.RESERVOIRS, "no_shrinkage", "no_selector", "no_foundation", "prior_only", "reservoir_no_selector", "reservoir_prior_only"}
     rows = models.sketch(obs, variants=experiments.SKETCHES).orderBy("ds").toPandas()
     o, cols = models.featured(obs)
     f = o.orderBy("t").toPandas().iloc[:-1]
