@@ -166,6 +166,9 @@ def test_codec_groups(monkeypatch):
     n = _codec.BLOCK
     x = np.concatenate([rng.permutation(n) + 7, np.full(n, 65535), rng.integers(0, 9, 2 * n), rng.permutation(65536)[: n + 5], [3]])
     assert (_codec.decode(_codec.encode(x)) == x).all()
+    for k in (1, 7, 8, 9, 300, 4000):  # a short last block beside blocks of few ids
+        for x_ in (np.concatenate([np.full(2 * n, 5), np.full(k, 7)]), np.concatenate([np.full(n, 5), rng.integers(0, 4000, k)]), rng.integers(0, 3, n + k)):
+            assert (_codec.decode(_codec.encode(x_)) == x_).all()
     first = np.frombuffer(_codec.encode(x[:n]), "<u4")[5:8]
     assert (np.frombuffer(_codec.encode(x), "<u4")[5:8] == first).all()
 

@@ -84,7 +84,7 @@ class _Model:
     def renew(self) -> None:
         """Order 0: of all numbers met, and those to come, the sum of counts before and the own count (``share``, 13 bits); with ``inverse``, numbers by place."""
         n, rows = int(self.met.max(initial=0)) + 1, self.counts.shape[0]
-        seen = self.x[self.summed : self.steps].astype(np.int64) * self.lanes + np.arange(self.lanes)
+        seen = self.x[self.summed : self.steps, : len(self.lane)].astype(np.int64) * self.lanes + self.lane  # not of lanes that are through
         counts = np.bincount(seen.reshape(-1), minlength=n * self.lanes).reshape(-1, self.lanes).astype(np.int32)
         counts[:rows] += self.counts
         self.counts, self.summed = counts, self.steps
