@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, quality_classifier, quality_rules, toxicity
+from . import oracles, quality_classifier, quality_rules, sentence_pieces, toxicity
 from .decontaminate import matches, report
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -15,15 +15,17 @@ from .substring_dedup import dedup
 from .token_binary import read, segments
 from .token_counts import length_histogram
 from .url_filter import judge
+from .whitening import whiten
 from ._scratch import written
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary(PIECES)
+    d = sentence_pieces.decode(sentence_pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), most=32)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_whitening": op12_whitening,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
