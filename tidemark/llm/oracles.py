@@ -64,3 +64,21 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - removed_words < CAST(0.3 AS DOUBLE) * n_words) AS kept
 FROM base
 """
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, unnest({_WORDS2}) AS x FROM documents),
+tf AS (SELECT doc_id, x, count(*)::BIGINT AS tf FROM d GROUP BY doc_id, x),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM len),
+df AS (SELECT x, count(*)::BIGINT AS df FROM tf GROUP BY x),
+b AS (SELECT item_id, unnest({_WORDS2}) AS x FROM benchmark),
+w AS (
+  SELECT x, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, total),
+m AS (SELECT doc_id, 100 - 75 + ((75 * n * n_docs) // n_all) AS m FROM len, total),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM b JOIN w USING (x) JOIN tf USING (x) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""

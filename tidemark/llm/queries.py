@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, quality_classifier, quality_rules, sentence_pieces, toxicity
 from .decontaminate import matches, report
+from .lexical_search import search
 from .ngram_join import near_duplicates
 from .packing import pack
 from .substring_dedup import dedup
@@ -104,6 +105,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), most=32)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,10 +128,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_sentence_pieces": op11_sentence_pieces,
     "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracles.OP2,
     "op6_quality_rules": oracles.OP6,
     "op8_substring_dedup": oracles.OP8,
+    "op13_lexical_search": oracles.OP13,
 }
