@@ -30,7 +30,7 @@ from ._text import utf8
 #: Bytes of text that are cut into words at once.
 AT_ONCE = 2 << 20
 #: Words a worker remembers before it starts anew.
-MEMO = 800_000
+MEMO = 500_000
 LONG = 512
 #: Symbols that are merged side by side.
 SIDE = 1 << 20

@@ -14,13 +14,14 @@ from tidemark.plans.substrate import numbered
 from tidemark.sources import files
 from tidemark.sources import series as S
 
-ID_NAMES = ("series_id", "unique_id", "series_name", "series", "id", "m4id", "material", "item_id")
-DATE_NAMES = ("date", "ds", "timestamp", "month", "period", "periodo")
-START_NAMES = ("start_timestamp", "starting_date", "start_date", "startingdate")
+#: Column names, tried in order, without regard to accents, case and punctuation.
+ID_NAMES = ("series_id", "unique_id", "series", "series_name", "id", "m4id", "m3id", "v1", "name", "material", "referencia", "producto", "codigo material", "product", "product_id", "item_id")
+DATE_NAMES = ("date", "ds", "timestamp", "month", "period", "periodo", "fecha", "mes", "anomes", "yearmonth")
+START_NAMES = ("start_timestamp", "starting_date", "start_date", "start")
 YEAR_NAMES, MONTH_NAMES = ("starting_year", "start_year", "year"), ("starting_month", "start_month", "starting_period", "month")
-#: Columns of wide tables that are no values, whatever they hold.
+#: Columns of wide tables that are no values, whatever they hold; the names must be these for equal columns to be read.
 NOT_VALUES = ("series_id", "series", "series_name", "id", "frequency", "category", "type", "n", "nf", "horizon", "forecast_horizon", "starting_year", "starting_month", "starting_period", "start_timestamp", "starting_date")
-VALUE_NAMES = ("value", "y", "target", "sales", "valor venta", "valor", "quantity")
+VALUE_NAMES = ("value", "y", "target", "sales", "sales value", "valor venta", "valor neto", "venta neta", "valor", "quantity")
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
@@ -111,8 +112,9 @@ def load(spark: SparkSession, name: str, path: str, test: str | None = None, inf
     if c.kind == "wide" and test:
         both = wide_tables(read_table(spark, path), read_table(spark, test), read_table(spark, info) if info else None)
         return S.bounded(both, c.least, c.most, strict)
+    if c.kind == "tsf":
+        return S.bounded(_tsf(spark, path, S.plain_name(name), c), c.least, c.most, strict)
     readers: dict[str, Callable[[], DataFrame]] = {
-        "tsf": lambda: _tsf(spark, path, c),
         "long": lambda: S.calendar_fill(long_table(read_table(spark, path), positive=True)),
         "json": lambda: S.json_series(spark.read.text(path, wholetext=True), "value"),
         "wide": lambda: _wide(read_table(spark, path)),
@@ -120,12 +122,13 @@ def load(spark: SparkSession, name: str, path: str, test: str | None = None, inf
     return S.validated(readers[c.kind](), c.least, c.most, c.horizon, strict)
 
 
-def _tsf(spark: SparkSession, path: str, c: Collection) -> DataFrame:
+def _tsf(spark: SparkSession, path: str, name: str, c: Collection) -> DataFrame:
+    """Rows with their split: each series' own horizon is held out; a series no longer than it is left out."""
     df, header = S.read_tsf(spark, path)
-    start = next((n for n, kind in header["attributes"] if kind == "date"), None)
-    if start is None:
-        df, start = df.withColumn("_start", F.to_date(F.lit("2000-01-31"))), "_start"
-    return S.arrays_to_long(df, header["attributes"][0][0], start, "series_value", c.missing)
+    d = S.own_horizons(df, header, name, c.horizon)
+    rows = S.arrays_to_long(d, "series_id", "start", "series_value", c.missing).join(d.select("series_id", "horizon"), "series_id")
+    rows = rows.where((F.col("horizon") > 0) & (F.col("n") > F.col("horizon")))
+    return rows.withColumn("split", F.when(F.col("t") >= F.col("n") - F.col("horizon"), "test").otherwise("train")).drop("horizon")
 
 
 def _wide(df: DataFrame) -> DataFrame:

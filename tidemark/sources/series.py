@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import header_date
 from tidemark.plans.substrate import along, whole, numbered
-from tidemark.sources.files import text_lines
+from tidemark.sources.files import numbered_lines
 
 
 def plain_name(name: str) -> str:
@@ -29,34 +29,68 @@ def match_column(columns: Sequence[str], candidates: Sequence[str]) -> str | Non
 
 
 def tsf_header(lines: DataFrame) -> dict:
-    """Directives of a series text file: attributes in order, frequency, horizon, missing, equallength."""
-    out: dict = {"attributes": []}
-    for r in lines.where(F.col("value").startswith("@") & ~F.lower("value").startswith("@data")).select("value").collect():  # directives: lines that begin with @, before the data
-        key, *rest = r.value.strip().split()
+    """Directives of a series text file (value, line): attributes in order, frequency, horizon, missing, equallength, and data_line, the line after which the data come (null without any)."""
+    text = F.trim("value")
+    data = lines.where(F.lower(text) == "@data").agg(F.min("line")).first()[0]
+    out: dict = {"attributes": [], "data_line": data}
+    if data is None:
+        return out
+    for r in lines.where((F.col("line") < data) & F.startswith(text, F.lit("@"))).orderBy("line").select(text.alias("value")).collect():  # the lines above the data
+        key, *rest = r.value.split(maxsplit=2)
         if key.lower() == "@attribute":
-            out["attributes"].append((rest[0], rest[1].lower()))
+            if len(rest) != 2:
+                raise ValueError(f"not an attribute: {r.value}")
+            out["attributes"].append((rest[0], rest[1].strip().lower()))
         elif rest:
-            out[key[1:].lower()] = rest[0]
+            out[key[1:].lower()] = r.value.split(maxsplit=1)[1].strip()
     return out
 
 
-def parse_tsf(lines: DataFrame, attributes: Sequence[tuple[str, str]]) -> DataFrame:
-    """Data lines (column value) to a column for each attribute and ``series_value`` (array, null for ?)."""
-    parts = F.split("value", ":", len(attributes) + 1)
-    data = lines.where(~F.col("value").rlike(r"^\s*([#@]|$)") & (F.size(parts) == len(attributes) + 1))
+def parse_tsf(lines: DataFrame, attributes: Sequence[tuple[str, str]], after: int | None = None) -> DataFrame:
+    """Data lines (column value) to a column for each attribute and ``series_value`` (array, null for ?); ``line`` is kept.
+
+    Blank lines, those that begin with #, and those up to line ``after`` are none; a
+    line with too few fields is an error.
+    """
+    text = F.trim("value")
+    parts = F.split(text, ":", len(attributes) + 1)
+    wrong = F.raise_error(F.concat(F.lit("not a series: "), F.substring(text, 1, 180))).cast("array<string>")
+    own = ~text.rlike("^(#|$)") if after is None else ~text.rlike("^(#|$)") & (F.col("line") > after)
+    # asked again inside, as conditions on the fields may be judged before the lines are chosen
+    data = lines.where(own).withColumn("_f", F.when(F.size(parts) == len(attributes) + 1, parts).when(own, wrong))
     cols = []
     for i, (name, kind) in enumerate(attributes):
-        raw = F.trim(F.get(parts, i))
+        raw = F.trim(F.get("_f", F.lit(i)))
         cols.append({"date": header_date(raw), "numeric": raw.try_cast("double"), "integer": raw.try_cast("long")}.get(kind, raw).alias(name))
-    values = F.transform(F.split(F.get(parts, len(attributes)), ","), lambda v: F.trim(v).try_cast("double"))
-    return data.select(*cols, values.alias("series_value"))
+    values = F.transform(F.split(F.get("_f", F.lit(len(attributes))), ","), lambda v: F.trim(v).try_cast("double"))
+    return data.select(*[c for c in ("line",) if c in lines.columns and c not in dict(attributes)], *cols, values.alias("series_value"))
 
 
 def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """Data and header of a series text file, in any usual encoding."""
-    lines = text_lines(spark, path)
+    """Data (in the order of line) and header of one series text file, in any usual encoding."""
+    lines = numbered_lines(spark, path)
     header = tsf_header(lines)
-    return parse_tsf(lines, header["attributes"]), header
+    if header["data_line"] is None:
+        return parse_tsf(lines.where("false"), header["attributes"]), header
+    return parse_tsf(lines, header["attributes"], header["data_line"]), header
+
+
+def own_horizons(df: DataFrame, header: dict, name: str, default: int) -> DataFrame:
+    """(series_id, start, horizon, series_value) of ``read_tsf``: columns found by name, ids made from the row's place where there are none; the horizon is the row's, else the file's, else ``default``."""
+    key, start, horizon = (match_column(df.columns, names) for names in (("series_name", "series_id", "series", "id"), ("start_timestamp", "starting_date", "start"), ("forecast_horizon", "horizon")))
+    given = header.get("horizon")
+    own = F.col(f"`{horizon}`").try_cast("double").cast("int") if horizon else F.lit(None).cast("int")
+    first = F.col(f"`{start}`") if start else F.lit(None)
+    first = first if start and dict(df.dtypes)[start] == "date" else header_date(first.cast("string"))
+    if key:
+        named = df.withColumn("_id", F.col(f"`{key}`").cast("string"))
+    else:  # places by parts of the file: only the parts' numbers of rows meet
+        d = df.withColumn("_part", F.shiftright("line", 33))
+        parts = d.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("line")) - 1 + F.col("_before")
+        named = d.join(parts, "_part").withColumn("_id", F.format_string(f"{name}_%05d", place))
+    default_start = F.lit("2000-01-31").cast("date")
+    return named.select(F.col("_id").alias("series_id"), F.coalesce(first, default_start).alias("start"), F.coalesce(own, F.lit(int(float(given)) if given else default)).alias("horizon"), "series_value")
 
 
 def arrays_to_long(df: DataFrame, series: str, start: str, values: str, missing: str = "drop") -> DataFrame:
