@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import tails
 from tidemark.plans.substrate import along, whole
 
 
@@ -76,18 +77,6 @@ def residual_moments(rows: DataFrame, by: list[str], residual: str) -> DataFrame
     return g.select(*by, "n", "mean", "sd", "median", "mad", skew.alias("skew"), kurt.alias("kurtosis"), (n / 6 * (F.col("g1") ** 2 + F.col("g2") ** 2 / 4)).alias("jarque_bera"))
 
 
-def chi_square_tail(x, df: int):
-    """Upper tail of the chi-square distribution with an even number of degrees of freedom: a finite sum."""
-    if df % 2:
-        raise ValueError("an even number of degrees of freedom is needed")
-    half, term = x / 2, F.lit(1.0)
-    total = term
-    for i in range(1, df // 2):
-        term = term * half / i
-        total = total + term
-    return F.exp(-half) * total
-
-
 def dickey_fuller(obs: DataFrame) -> DataFrame:
     """n, slope and t of the regression of each change on the value before it, with a constant."""
     o = obs.withColumn("x", F.lag("y").over(along())).where("x is not null").withColumn("d", F.col("y") - F.col("x"))
@@ -145,12 +134,12 @@ def frame(obs: DataFrame, m: int = 12) -> DataFrame:
     """One row a series with everything that is known of it; what a series is too short for is null.
 
     observations, missing, zeros, cv, acf1, acf_season, ljung_box and its p (m
-    lags, even m), trend_strength, seasonal_strength, entropy, breaks, unit_root_t
+    lags), trend_strength, seasonal_strength, entropy, breaks, unit_root_t
     and unit_root (not rejected at 5 per cent), level and level_p.
     """
     parts = [
         autocorrelation(obs, sorted({1, m})).select("series_id", F.col("rho1").alias("acf1"), F.col(f"rho{m}").alias("acf_season")),
-        ljung_box(obs, m).select("series_id", F.col("q").alias("ljung_box"), chi_square_tail(F.col("q"), m).alias("ljung_box_p")),
+        ljung_box(obs, m).select("series_id", F.col("q").alias("ljung_box"), tails.chi_square(F.col("q"), F.lit(m)).alias("ljung_box_p")),
         strengths(obs, m),
         spectral_entropy(obs),
         break_count(adjacent_breaks(obs)),
@@ -166,12 +155,12 @@ def frame(obs: DataFrame, m: int = 12) -> DataFrame:
 
 def residual_tests(rows: DataFrame, by: list[str], residual: str, order: str, m: int = 12, limit: float = 0.2) -> DataFrame:
     """Residuals by group in order: acf at 1 and m, Ljung-Box with its p, the skewness and kurtosis test (k2) and Jarque-Bera with their p, and whether the seasonal correlation is over ``limit``."""
-    key = F.concat_ws("|", *by)
+    key = F.to_json(F.struct(*by))  # one string for a group, different for different ones
     r = rows.where(F.col(residual).isNotNull()).select(*by, key.alias("series_id"), F.col(order).alias("ds"), F.col(residual).alias("y"))
     lb = autocorrelation(r, list(range(1, m + 1)))
     total = sum((F.col(f"rho{k}") * F.col(f"rho{k}") / (F.col("n") - k) for k in range(1, m + 1)), F.lit(0.0))
     q = F.col("n") * (F.col("n") + 2) * total
-    lb = lb.select("series_id", F.col("rho1").alias("acf1"), F.col(f"rho{m}").alias("acf_season"), q.alias("ljung_box"), chi_square_tail(q, m).alias("ljung_box_p"))
+    lb = lb.select("series_id", F.col("rho1").alias("acf1"), F.col(f"rho{m}").alias("acf_season"), q.alias("ljung_box"), tails.chi_square(q, F.lit(m)).alias("ljung_box_p"))
     g = r.groupBy(*by, "series_id").agg(F.count("*").alias("n"), F.skewness("y").alias("g1"), F.kurtosis("y").alias("g2"))
     n, g1, g2 = F.col("n").cast("double"), F.col("g1"), F.col("g2")
     # D'Agostino's transforms of both moments to normal scores

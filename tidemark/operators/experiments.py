@@ -29,7 +29,7 @@ def best_trial(scores: DataFrame) -> DataFrame:
 
 
 #: Feature groups that a refitted sketch model leaves out.
-SKETCHES = {"full": (), "no_ar": ("ar",), "no_momentum": ("momentum",), "no_causal_filters": ("causal",), "no_seasonal": ("seasonal",), "no_calendar": ("calendar",), "no_multiscale": ("momentum", "causal")}
+SKETCHES = {"full": (), "no_ar": ("ar",), "no_momentum": ("momentum",), "no_causal_filters": ("causal",), "no_seasonal": ("seasonal",), "no_calendar": ("calendar",), "no_ema": ("ema",), "no_volatility": ("volatility",), "no_multiscale": ("momentum", "causal")}
 #: Parts that a refitted reservoir model leaves out.
 RESERVOIRS = {"reservoir_full": (), "reservoir_no_reservoir": ("reservoir",), "reservoir_no_ar_lags": ("ar",), "reservoir_no_gate": ("gate",)}
 

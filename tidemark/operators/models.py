@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import forecasts, splits, windows
+from tidemark.operators import forecasts, readouts, splits, windows
 from tidemark.plans.substrate import along
 
 SCALES = (2, 3, 6)
 #: The published defaults of both models, where they differ from those here.
-PUBLISHED = {"sketch": {"spans": (2, 4, 8, 12), "scales": (2, 3, 4, 6)}, "reservoir": {"size": 50}}
+PUBLISHED = {"sketch": {"spans": (2, 4, 8, 12), "scales": (2, 3, 4, 6), "means": (2, 4, 8, 12)}, "reservoir": {"size": 50, "search": "closing"}}
 
 
 def latest(obs: DataFrame, most: int | None) -> DataFrame:
@@ -44,21 +44,35 @@ def featured(obs: DataFrame, window: int = 6, lags: int = 3, m: int = 12, spans:
 
 
 def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    mx, my = x.mean(0), y.mean()
-    w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-    return w, float(my - mx @ w)
+    return readouts.fitted("ridge", x, y, alpha)
 
 
-def _scaled(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
-    """Columns less their median over interquartile range / 1.35, both of the rows ``fit``."""
+def _scaler(x: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median and interquartile range / 1.35 (1 where that vanishes) of the rows ``fit``."""
     q1, c, q3 = np.percentile(x[fit], [25, 50, 75], axis=0)
     s = (q3 - q1) / 1.35
-    return np.nan_to_num((x - c) / np.where(s > 1e-8, s, 1.0))
+    return c, np.where(s > 1e-8, s, 1.0)
+
+
+def _scaled(x: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Columns less their median over interquartile range / 1.35, both of the rows ``fit``."""
+    c, s = _scaler(x, fit)
+    return np.nan_to_num((x - c) / s)
+
+
+def _with_means(g: pd.DataFrame, means: tuple[int, ...]) -> pd.DataFrame:
+    """Adds exponential means of the residual (ema<span>) and of its size (volatility<span>) to one series' rows in order."""
+    e = g.e.astype(float)
+    return g.assign(**{f"ema{s}": e.ewm(span=s, adjust=False).mean() for s in means}, **{f"volatility{s}": e.abs().ewm(span=s, adjust=False).mean() for s in means})
+
+
+def _mean_columns(means: tuple[int, ...]) -> list[str]:
+    return [f"{name}{s}" for name in ("ema", "volatility") for s in means]
 
 
 def group(column: str) -> str:
-    """Feature group of a column of ``featured``: ar, momentum, seasonal, calendar or causal."""
-    for start, name in (("lag", "ar"), ("momentum", "momentum"), ("season_", "calendar"), ("seasonal", "seasonal")):
+    """Feature group of a column: ar, ema, volatility, momentum, seasonal, calendar or causal."""
+    for start, name in (("lag", "ar"), ("ema", "ema"), ("volatility", "volatility"), ("momentum", "momentum"), ("season_", "calendar"), ("seasonal", "seasonal")):
         if column.startswith(start):
             return name
     return "causal"
@@ -103,13 +117,16 @@ def _sketch_fit(g: pd.DataFrame, cols: list[str], s: dict) -> dict:
     used = [c for c in cols if group(c) not in s["without"]]
     fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
     early = fit_ & (g.t.to_numpy() >= 3)
-    out = {"used": used, "w": np.zeros(len(used)), "raw": np.zeros(len(g)), "gamma": 0.0, "active": False}
+    k = len(used)
+    out = {"used": used, "w": np.zeros(k), "b": 0.0, "centre": np.zeros(k), "scale": np.ones(k), "raw": np.zeros(len(g)), "gamma": 0.0, "active": False}
     if early.sum() > 3 and adapt.any():
         target = g.target.to_numpy(float)
         if used:
-            x = _scaled(g[used].to_numpy(float), early)
-            out["w"], b = _ridge(x[early], target[early], s["alpha"])
-            out["raw"] = x @ out["w"] + b
+            x = g[used].to_numpy(float)
+            out["centre"], out["scale"] = _scaler(x, early)
+            x = np.nan_to_num((x - out["centre"]) / out["scale"])
+            out["w"], out["b"] = readouts.fitted(s["readout"], x[early], target[early], s["alpha"])
+            out["raw"] = x @ out["w"] + out["b"]
         r, c = target[adapt], out["raw"][adapt]
         out["gamma"] = float(np.clip((c @ r) / (c @ c + 1e-12), 0.0, s["most_gamma"]))
         out["active"] = _worth(r, out["gamma"] * c, c, s["least_r2"], s["least_gain"], s["penalty"])
@@ -120,10 +137,11 @@ def _blocks(obs: DataFrame, horizon: int, ratio: float) -> DataFrame:
     return splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", F.col("ds").alias("next_ds"), "block")
 
 
-def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], spans: tuple[int, ...], scales: tuple[int, ...], most: int | None, prior: Column | None) -> tuple[DataFrame, list[str]]:
+def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], spans: tuple[int, ...], scales: tuple[int, ...], most: int | None, prior: Column | None, ends: bool = False) -> tuple[DataFrame, list[str]]:
     obs = latest(obs, most)
     o, cols = featured(obs, spans=spans, scales=scales, prior=prior)
-    o = o.where(F.col("target").isNotNull()).join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    o = o if ends else o.where(F.col("target").isNotNull())
+    o = o.join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
     return o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in names]))), cols
 
 
@@ -131,20 +149,20 @@ def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], span
 SELECTION = {"least_r2": float("-inf"), "least_gain": float("-inf"), "penalty": 0.0}
 
 
-def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...] | dict] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
-    """Ridge on window features of the residuals, shrunk by a least-squares factor of the adapter block; active as SELECTION (or ``selection``) says.
+def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...] | dict] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, means: tuple[int, ...] = (), readout: str = "ridge", most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
+    """A linear readout (see ``readouts``) of window features of the residuals, and of their exponential ``means`` if given, shrunk by a least-squares factor of the adapter block; active as SELECTION (or ``selection``) says.
 
     One row a target month: p (prior), raw (correction), gate (factor), pred,
     status and error.  ``variants``: feature groups to leave out, or settings
-    (without, alpha, most_gamma, those of SELECTION), by name; each is fitted, and
-    adds its rows, with column variant.
+    (without, alpha, most_gamma, readout, those of SELECTION), by name; each is
+    fitted, and adds its rows, with column variant.
     """
-    given = _settings(variants, {"alpha": alpha, "most_gamma": most_gamma, **SELECTION, **selection})
+    given = _settings(variants, {"alpha": alpha, "most_gamma": most_gamma, "readout": readout, **SELECTION, **selection})
     o, cols = _sketched(obs, horizon, ratio, list(given), spans, scales, most, prior)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        f = _sketch_fit(g, cols, given[g.variant.iloc[0]])
+        g = _with_means(g.sort_values("t"), means)
+        f = _sketch_fit(g, cols + _mean_columns(means), given[g.variant.iloc[0]])
         p = g.next_p.to_numpy(float)
         return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": f["raw"], "gate": f["gamma"], "pred": p + (f["gamma"] if f["active"] else 0.0) * f["raw"], "block": g.block, "active": f["active"], "variant": g.variant})
 
@@ -153,66 +171,91 @@ def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: fl
     return out if variants else out.drop("variant")
 
 
-def importance(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, ratio: float = 0.7, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, most: int | None = None) -> DataFrame:
+def importance(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, ratio: float = 0.7, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, means: tuple[int, ...] = (), most: int | None = None) -> DataFrame:
     """Each feature's weight in the sketch model: series_id, feature, feature_group, weight (on robustly scaled columns), size; parameters (weights, constant and factor) of the series' model."""
-    given = _settings(None, {"alpha": alpha, "most_gamma": 1.5, **SELECTION})[""]
+    given = _settings(None, {"alpha": alpha, "most_gamma": 1.5, "readout": "ridge", **SELECTION})[""]
     o, cols = _sketched(obs, horizon, ratio, [""], spans, scales, most, None)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        f = _sketch_fit(g, cols, given)
+        g = _with_means(g.sort_values("t"), means)
+        f = _sketch_fit(g, cols + _mean_columns(means), given)
         return pd.DataFrame({"series_id": g.series_id.iloc[0], "feature": f["used"], "feature_group": [group(c) for c in f["used"]], "weight": f["w"], "size": np.abs(f["w"]), "parameters": len(f["w"]) + 2})
 
     return o.groupBy("series_id").applyInPandas(fit, "series_id string, feature string, feature_group string, weight double, size double, parameters int")
 
 
-def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...] | dict] | None = None, most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
-    """Ridge on the states of a leaky reservoir driven by the residuals, and their lags; gated by the residuals' recent spread.
+def reservoir_weights(size: int, radius: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Input and inner weights of a reservoir: the same for a seed wherever they are made."""
+    rng = np.random.default_rng(seed)
+    w_in, w_res = rng.uniform(-1, 1, (size, 2)), rng.normal(size=(size, size))
+    return w_in, w_res * (min(max(radius, 1e-6), 0.999) / max(np.abs(np.linalg.eigvals(w_res)).max(), 1e-12))
 
-    gate = 1 / (1 + exp(a (z - b))) falls with volatility z; a and b are the best
-    of a grid on the adapter block.  ``variants``: parts to leave out (reservoir,
-    ar or gate), or settings (without, size, radius, leak, alpha, those of
-    SELECTION), by name; each is fitted, and adds its rows, with column variant.
-    """
-    given = _settings(variants, {"size": size, "radius": radius, "leak": leak, "alpha": alpha, **SELECTION, **selection})
-    obs = latest(obs, most)
+
+#: Points of the gate's grid: steepness and middle.
+GATES = [(a, c) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0)]
+
+
+def _reservoir_fit(g: pd.DataFrame, keep: list[str], s: dict, lags: int, seed: int) -> dict:
+    without, size, leak = s["without"], int(s["size"]), s["leak"]
+    fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
+    e, target = g.e.to_numpy(float), g.target.to_numpy(float)
+    early = fit_ & (g.t.to_numpy() >= lags)
+    out = {"raw": np.zeros(len(g)), "gate": np.zeros(len(g)), "active": False, "w": np.zeros(0), "b": 0.0, "centre": np.zeros(2), "scale": np.ones(2), "shape": None, "state": np.zeros(size)}
+    if early.sum() > 3 and adapt.any():
+        w_in, w_res = reservoir_weights(size, s["radius"], seed)
+        both = np.column_stack([e, g.ewm_std.to_numpy(float)])
+        out["centre"], out["scale"] = _scaler(both, early)
+        z, vol = np.nan_to_num((both - out["centre"]) / out["scale"]).T
+        h, states = np.zeros(size), []
+        for v in z:
+            h = (1 - leak) * h + leak * np.tanh(w_in @ np.array([1.0, v]) + w_res @ h)
+            states.append(h)
+        parts = {"reservoir": np.array(states), "ar": g[keep].to_numpy(float)}
+        x = np.column_stack([v for part, v in parts.items() if part not in without])
+        out["w"], out["b"] = readouts.fitted(s["readout"], x[early], target[early], s["alpha"])
+        out["raw"] = raw = x @ out["w"] + out["b"]
+        gate = lambda a, c: 1 / (1 + np.exp(np.clip(a * (vol - c), -50, 50)))
+        if "gate" in without:
+            out["gate"] = np.ones(len(g))
+        else:
+            losses = [(np.abs(target - gate(*shape) * raw)[adapt].mean(), i) for i, shape in enumerate(GATES)]
+            out["shape"] = GATES[min(losses)[1]] if s["search"] == "grid" else readouts.steepness(target[adapt], raw[adapt], vol[adapt], GATES)
+            out["gate"] = gate(*out["shape"])
+        out["active"] = _worth(target[adapt], (out["gate"] * raw)[adapt], raw[adapt], s["least_r2"], s["least_gain"], s["penalty"])
+        out["state"] = h
+    return out
+
+
+def _reservoired(obs: DataFrame, horizon: int, ratio: float, lags: int, names: list[str], prior: Column | None) -> tuple[DataFrame, list[str]]:
     o, cols = featured(obs, lags=lags, prior=prior)
     spread = windows.ewm_std(o.select("series_id", "ds", "t", "e"), "e", 4).select("series_id", "ds", "ewm_std")
     keep = [c for c in cols if c.startswith("lag")]
-    o = o.select("series_id", "ds", "t", "n", "e", "target", "next_p", "next_ds", *keep).join(spread, ["series_id", "ds"])
-    o = o.where(F.col("target").isNotNull()).join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
-    o = o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in given])))
+    o = o.select("series_id", "ds", "t", "n", "y", "p", "e", "target", "next_p", "next_ds", *keep).join(spread, ["series_id", "ds"])
+    o = o.join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
+    return o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in names]))), keep
+
+
+def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float = 0.8, leak: float = 0.5, lags: int = 3, alpha: float = 1.0, ratio: float = 0.7, seed: int = 7, variants: dict[str, tuple[str, ...] | dict] | None = None, readout: str = "ridge", search: str = "grid", most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
+    """A linear readout (see ``readouts``) of the states of a leaky reservoir driven by the residuals, and of their lags; gated by the residuals' recent spread.
+
+    gate = 1 / (1 + exp(a (z - b))) falls with volatility z; a and b are the best
+    of a grid on the adapter block, or with ``search`` closing of one that closes in
+    around its best points.  ``variants``: parts to leave out (reservoir,
+    ar or gate), or settings (without, size, radius, leak, alpha, readout, search,
+    those of SELECTION), by name; each is fitted, and adds its rows, with column
+    variant.
+    """
+    given = _settings(variants, {"size": size, "radius": radius, "leak": leak, "alpha": alpha, "readout": readout, "search": search, **SELECTION, **selection})
+    o, keep = _reservoired(latest(obs, most), horizon, ratio, lags, list(given), prior)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        s = given[g.variant.iloc[0]]
-        without, size, leak = s["without"], int(s["size"]), s["leak"]
-        fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
-        rng = np.random.default_rng(seed)
-        w_in, w_res = rng.uniform(-1, 1, (size, 2)), rng.normal(size=(size, size))
-        w_res *= min(max(s["radius"], 1e-6), 0.999) / max(np.abs(np.linalg.eigvals(w_res)).max(), 1e-12)
-        e, target = g.e.to_numpy(float), g.target.to_numpy(float)
-        raw, gate, active = np.zeros(len(g)), np.zeros(len(g)), False
-        early = fit_ & (g.t.to_numpy() >= lags)
-        if early.sum() > 3 and adapt.any():
-            z, h, states = _scaled(e[:, None], early)[:, 0], np.zeros(size), []
-            for v in z:
-                h = (1 - leak) * h + leak * np.tanh(w_in @ np.array([1.0, v]) + w_res @ h)
-                states.append(h)
-            parts = {"reservoir": np.array(states), "ar": g[keep].to_numpy(float)}
-            x = np.column_stack([v for part, v in parts.items() if part not in without])
-            w, b = _ridge(x[early], target[early], s["alpha"])
-            raw = x @ w + b
-            vol = _scaled(g.ewm_std.to_numpy(float)[:, None], early)[:, 0]
-            shapes = [np.ones(len(g))] if "gate" in without else (1 / (1 + np.exp(np.clip(a * (vol - c), -50, 50))) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0))
-            gates = [(np.abs(target - k * raw)[adapt].mean(), i, k) for i, k in enumerate(shapes)]
-            gate = min(gates, key=lambda k: k[:2])[2]
-            active = _worth(target[adapt], (gate * raw)[adapt], raw[adapt], s["least_r2"], s["least_gain"], s["penalty"])
+        f = _reservoir_fit(g, keep, given[g.variant.iloc[0]], lags, seed)
         p = g.next_p.to_numpy(float)
-        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + target, "p": p, "raw": raw, "gate": gate, "pred": p + np.where(active, gate, 0.0) * raw, "block": g.block, "active": active, "variant": g.variant})
+        return pd.DataFrame({"series_id": g.series_id, "ds": g.next_ds, "y": p + g.target.to_numpy(float), "p": p, "raw": f["raw"], "gate": f["gate"], "pred": p + np.where(f["active"], f["gate"], 0.0) * f["raw"], "block": g.block, "active": f["active"], "variant": g.variant})
 
     schema = f"{OUT}, variant string"
-    out = o.groupBy("series_id", "variant").applyInPandas(captured(fit, schema), schema)
+    out = o.where(F.col("target").isNotNull()).groupBy("series_id", "variant").applyInPandas(captured(fit, schema), schema)
     return out if variants else out.drop("variant")
 
 
@@ -252,6 +295,26 @@ def walked(predict, least: int = 3, m: int = 12, fall_back: str = "last"):
 KINDS = ("linear", "nlinear", "dlinear", "kernel")
 
 
+def windowed(kind: str, x: np.ndarray, y: np.ndarray, new: np.ndarray, alpha: float) -> np.ndarray:
+    """Forecasts from the windows ``new`` by the regression of y (one column for each step) on the windows x."""
+    if kind == "kernel":
+        c, s = x.mean(), x.std() or 1.0
+        near = lambda u, v: np.exp(-((u[:, None, :] - v[None, :, :]) ** 2).sum(2) / x.shape[1])
+        z, own = (x - c) / s, (new - c) / s
+        return near(own, z) @ np.linalg.solve(near(z, z) + alpha * np.eye(len(z)), (y - c) / s) * s + c
+    base, own_base = np.zeros((len(x), 1)), np.zeros((len(new), 1))
+    if kind == "nlinear":
+        base, own_base = x[:, -1:], new[:, -1:]
+        x, new = x - base, new - own_base
+    elif kind == "dlinear":
+        k = np.ones(5) / 5
+        split = lambda v: (lambda trend: np.hstack([trend, v - trend]))(np.array([np.convolve(np.pad(r, 2, mode="edge"), k, "valid") for r in v]))
+        x, new = split(x), split(new)
+    mx, my = x.mean(0), (y - base).mean(0)
+    w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - base - my))
+    return (new - mx) @ w + my + own_base
+
+
 def window_regression(obs: DataFrame, kind: str | tuple[str, ...], width: int = 12, horizon: int = 12, alpha: float = 1.0, most: int | None = None) -> DataFrame:
     """One-step forecasts of test rows by regression on the ``width`` values before each.
 
@@ -271,24 +334,7 @@ def window_regression(obs: DataFrame, kind: str | tuple[str, ...], width: int =
         g = g.sort_values("t")
         kind = g.variant.iloc[0]
         x, y, train = np.array(g.x.tolist(), float), g.y.to_numpy(float), (g.split == "train").to_numpy()
-        base = np.zeros(len(g))
-        if train.sum() < 3:
-            pred = x[:, -1]
-        elif kind == "kernel":
-            c, s = x[train].mean(), x[train].std() or 1.0
-            z = (x - c) / s
-            near = lambda u, v: np.exp(-((u[:, None, :] - v[None, :, :]) ** 2).sum(2) / width)
-            w = np.linalg.solve(near(z[train], z[train]) + alpha * np.eye(train.sum()), (y[train] - c) / s)
-            pred = near(z, z[train]) @ w * s + c
-        else:
-            if kind == "nlinear":
-                base, x = x[:, -1], x - x[:, -1:]
-            elif kind == "dlinear":
-                k = np.ones(5) / 5
-                trend = np.array([np.convolve(np.pad(r, 2, mode="edge"), k, "valid") for r in x])
-                x = np.hstack([trend, x - trend])
-            w, b = _ridge(x[train], (y - base)[train], alpha)
-            pred = x @ w + b + base
+        pred = x[:, -1] if train.sum() < 3 else windowed(kind, x[train], y[train, None], x, alpha)[:, 0]
         test = ~train
         return pd.DataFrame({"series_id": g.series_id[test], "ds": g.ds[test], "y": y[test], "pred": pred[test], "variant": kind})
 

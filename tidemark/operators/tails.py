@@ -41,21 +41,24 @@ def student(t: Column, df: Column) -> Column:
 
 
 def chi_square(x: Column, df: Column) -> Column:
-    """Upper tail of the chi-square distribution with a whole number of degrees of freedom: a finite sum, and for an odd number a normal tail."""
+    """Upper tail of the chi-square distribution with a whole number of degrees of freedom: a finite sum, and for an odd number a normal tail.
+
+    Terms are made by their logarithms, each at most 1 when it is added.
+    """
     df, half = df.cast("int"), x / 2
     odd = df % 2 == 1
     count = F.when(odd, (df - 1) / 2).otherwise(df / 2 - 1).cast("int")
     steps = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    first = F.when(odd, F.sqrt(half) / (math.sqrt(math.pi) / 2)).otherwise(F.lit(1.0))
-    start = F.struct(first.alias("term"), F.when(odd, F.lit(0.0)).otherwise(F.lit(1.0)).alias("sum"))
+    log = F.log(half)
+    start = F.struct(F.when(odd, log / 2 - math.log(math.sqrt(math.pi) / 2)).otherwise(0.0).alias("term"), F.when(odd, F.lit(0.0)).otherwise(F.exp(-half)).alias("sum"))
 
     def step(s: Column, j: Column) -> Column:
         # odd: terms half**(j - 1/2) / gamma(j + 1/2); even: half**j / j!
-        term = F.when(odd & (j == 1), s["term"]).otherwise(s["term"] * half / F.when(odd, j - 0.5).otherwise(j))
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+        term = F.when(odd & (j == 1), s["term"]).otherwise(s["term"] + log - F.log(F.when(odd, j - 0.5).otherwise(j)))
+        return F.struct(term.alias("term"), (s["sum"] + F.exp(term - half)).alias("sum"))
 
     total = F.aggregate(steps, start, step, lambda s: s["sum"])
-    return F.when(odd, normal(F.sqrt(x))).otherwise(0.0) + F.exp(-half) * total
+    return F.when(x <= 0, 1.0).otherwise(F.least(F.when(odd, normal(F.sqrt(x))).otherwise(0.0) + total, F.lit(1.0)))
 
 
 def signed_rank_exact(w: Column, n: Column) -> Column:

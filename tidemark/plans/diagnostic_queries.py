@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import diagnostics, forecasts, sampling, splits, statistics
+from tidemark.operators import diagnostics, forecasts, sampling, splits, statistics, tails
 from tidemark.plans.experiment_queries import _GRID
 from tidemark.plans.model_queries import _R, _acf_sql, scored
 from tidemark.plans.registry import query
@@ -17,7 +17,7 @@ _Q = f"{_acf_sql(range(1, 13))}, lb AS (SELECT series_id, n, n * (n + 2) * ({' +
 
 @query(f"{_Q} SELECT series_id, q, exp(-q / 2) * (1 + q / 2 * (1 + q / 4 * (1 + q / 6 * (1 + q / 8 * (1 + q / 10))))) AS p FROM lb", "q p")
 def ljung_box_p(spark, d):
-    return diagnostics.ljung_box(brand_monthly(spark, d), 12).select("series_id", "q", diagnostics.chi_square_tail(F.col("q"), 12).alias("p"))
+    return diagnostics.ljung_box(brand_monthly(spark, d), 12).select("series_id", "q", tails.chi_square(F.col("q"), F.lit(12)).alias("p"))
 
 
 @query(f"""{WITH}, l AS (SELECT series_id, lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS x, y - lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS d FROM bm), g AS (SELECT series_id, count(*) AS n, regr_slope(d, x) AS slope, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1)
