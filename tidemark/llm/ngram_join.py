@@ -76,7 +76,11 @@ def survival(similarity: float, threshold: float) -> float:
 
 
 def runs_for(threshold: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold))))
+    """Runs until a pair at the threshold is missed with a probability below 1 - recall; ValueError where a leaf's number has no room for them."""
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold))))
+    if runs > 1 << (63 - _BITS):
+        raise ValueError(f"{runs} runs would be needed at {threshold}")
+    return runs
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     tasks = work.select("c", "paths", F.struct("leaf", pair.alias("pairs")).alias("w")).groupBy("c").agg(F.first("paths").alias("paths"), F.collect_list("w").alias("w"))
     tasks = tasks.join(classes.select(F.col("c").alias("q"), "docs", F.col("doc_id").alias("r_id"), F.col("k").alias("r_k")), F.col("c") == F.col("q")).drop("q")
     with_text = d.join(tasks, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("k").eqNullSafe(F.col("r_k"))).select("c", "docs", "paths", "w", "text")
-    with_sets = _sets(with_text, n).select("c", "docs", "paths", "set", F.explode("w").alias("w")).select("c", "docs", "paths", "set", "w.leaf", F.explode("w.pairs").alias("x")).select("leaf", "x.*", "c", "docs", "paths", "set")
+    with_sets = _sets(with_text, n, "c").select("c", "docs", "paths", "set", F.explode("w").alias("w")).select("c", "docs", "paths", "set", "w.leaf", F.explode("w.pairs").alias("x")).select("leaf", "x.*", "c", "docs", "paths", "set")
     dealt = with_sets.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
     links = written(_compare(dealt, threshold))
     roots = components(links.select(F.col("c").alias("a"), F.col("to").alias("b")))
@@ -299,15 +303,24 @@ def one_each(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: flo
     return d.dropDuplicates([key, "k"]).drop("k").toDF(*docs.columns)
 
 
-def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` with their text's sorted shingle hashes (set, binary) in its place."""
+def _sets(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """``rows`` with their text's sorted shingle hashes (set, binary) in its place; of rows with an equal ``key`` each task keeps the first."""
     schema = rows.drop("text").schema.add("set", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, count = _distinct(*shingles(Words(b.column("text"), SPACED), n))
-            off = (np.concatenate([[0], np.cumsum(count)]) * 8).astype(np.int32)
-            col = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(h.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in schema.names[:-1]), col], schema.names)
+        seen: set = set()
+        for whole in batches:
+            # repeated rows go before their texts are looked at
+            own = whole.column(key).to_pylist()
+            keep = np.zeros(len(own), bool)
+            for i, x in enumerate(own):
+                if x not in seen:
+                    seen.add(x)
+                    keep[i] = True
+            for b in slices([whole if keep.all() else whole.filter(pa.array(keep))], "text"):
+                h, count = _distinct(*shingles(Words(b.column("text"), SPACED), n))
+                off = (np.concatenate([[0], np.cumsum(count)]) * 8).astype(np.int32)
+                col = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in schema.names[:-1]), col], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ deficit and is served in a later round.  Rounds are therefore spans of about
 drops out; the others share on.
 
 The deficit of source s after k rounds is k*q - unit*floor(k*q/unit): a closed
-form.  So no window waits for the one before it: an id's round follows from its
+form.  A source whose quantum is below a unit begins with a deficit of its own, a
+hash's share of a unit, so that many alike are not served in one round.  So no window waits for the one before it: an id's round follows from its
 place in its queue alone, and deficits carry across windows and partitions
 without any sequential pass.  Queue places and stream places are running sums
 made in two levels, never one task for a source or for the stream.
@@ -79,18 +80,22 @@ def placed(tokens: DataFrame, length: int, weights: dict[str, float] | None, uni
     sources = sources.crossJoin(F.broadcast(total)).withColumn("share", share)  # total: one row
     sources = sources.crossJoin(F.broadcast(sources.agg(F.sum("share").alias("shares"))))
     quantum = F.lit(float(length)) * F.col("share") / F.col("shares")
-    sources = sources.select(F.col("source").alias("s"), "n", F.when(quantum >= unit, 1).otherwise(unit).cast("long").alias("unit"), quantum.alias("q"))
+    # a queue that is served by units is dealt into equal ones, so its last is served no later than the others' queues end
+    own = F.when(quantum >= unit, 1).otherwise(F.ceil(F.col("n") / F.ceil(F.col("n") / F.lit(unit)))).cast("long")
+    # such queues begin with different deficits, or all of equal size would be served in the same rounds
+    phase = F.when(quantum >= unit, 0.0).otherwise(F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20))
+    sources = sources.select(F.col("source").alias("s"), "n", own.alias("unit"), phase.alias("phase"), quantum.alias("q"))
     # no round has a number that a double does not hold
     rate = F.greatest(F.col("q") / F.col("unit"), F.col("n") / F.col("unit") / F.lit(float(_LAST)))
-    sources = sources.select("s", "unit", rate.alias("rate"))
+    sources = sources.select("s", "unit", "phase", rate.alias("rate"))
     queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("source", "part", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("part_base"))
-    plan = bases.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "part_base", "unit", "rate")
+    plan = bases.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "part_base", "unit", "phase", "rate")
     plan = written(plan)  # apart from the join, so that Spark can split a source of very many documents there
     d = docs.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
-    d = d.select("row", "source", "unit", "rate", (F.col("part_base") + F.col("queued")).alias("a"), "n_tokens")
+    d = d.select("row", "source", "unit", "phase", "rate", (F.col("part_base") + F.col("queued")).alias("a"), "n_tokens")
     by_round, end = F.col("rate") >= 1, F.col("a") + F.col("n_tokens")
-    round_of = lambda u: F.ceil((u + 1) / F.col("rate")).cast("long")
+    round_of = lambda u: F.ceil((u + 1 - F.col("phase")) / F.col("rate")).cast("long")
     first, last = F.floor(F.col("a") / F.col("unit")), F.floor((end - 1) / F.col("unit"))
     # the document's rounds, and one more at either end for rounding; or, where rounds serve less than a unit, its units
     d = d.withColumn("e", F.explode(F.when(by_round, F.sequence(round_of(first) - 1, round_of(last) + 1)).otherwise(F.sequence(first, last))))
