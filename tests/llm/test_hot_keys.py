@@ -43,3 +43,13 @@ def test_equal_small_sources_spread(spark):
     # of binomial shares around one half, no window strays far
     assert all(abs(r.big / r.n - 0.5) < 0.1 for r in sums[2:-3])
     p.unpersist()
+
+
+def test_slop_stays_within_a_document(spark):
+    from tidemark.llm.decontaminate import GAP, matches
+
+    docs = spark.createDataFrame([(1, "alpha " + "x " * 1000), (2, "y " * 1000 + "beta")], "doc_id int, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "alpha beta")], "item_id int, text string")
+    assert [r["items"] for r in matches(docs, items, n=2, slop=GAP - 1).collect()] == [[], []]
+    with pytest.raises(ValueError):
+        matches(docs, items, n=2, slop=GAP)

@@ -193,8 +193,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, slop: int | N
 
     Windows are ``n`` consecutive words of an item, or all words of a shorter
     one.  Exact phrases; with ``slop``, all words of a window within so many
-    words of its rarest (spans then mark that word).
+    words of its rarest (spans then mark that word); below GAP, or words of the
+    next document would be near (ValueError).
     """
+    if slop is not None and not 0 <= slop < GAP:
+        raise ValueError(f"slop must be at least 0 and below {GAP}")
     spark = docs.sparkSession
     b = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     blocks = max(1, -(-int(b.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // BLOCK_CHARS))
