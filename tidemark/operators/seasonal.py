@@ -92,15 +92,14 @@ def _line_at(rows: Column, place: Column, width: int) -> Column:
     def at(left_reach: Column) -> Column:
         lo, h = left_reach["left"], left_reach["reach"]
         start = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "xx", "y", "xy")])
+        # by steps, so that nothing is worked out twice for a row
+        near = F.transform(F.slice(rows, lo + 1, q), lambda r, i: F.struct((i + lo - place).alias("x"), r["v"].alias("v"), r["w"].alias("w")))
+        near = F.transform(near, lambda r: F.struct(r["x"], r["v"], r["w"], F.least(F.abs(r["x"]) / F.greatest(h, F.lit(1e-12)), F.lit(1.0)).alias("u")))
+        near = F.transform(near, lambda r: F.struct(r["x"], r["v"], (r["w"] * F.when(r["u"] <= 0.001, 1.0).when(r["u"] >= 0.999, 0.0).otherwise(F.pow(1 - r["u"] * r["u"] * r["u"], F.lit(3.0)))).alias("w")))
+        near = F.transform(near, lambda r: F.struct(r["w"], (r["w"] * r["x"]).alias("wx"), r["x"], r["v"]))
 
         def add(s: Column, r: Column) -> Column:
-            x = r["i"] - place
-            u = F.least(F.abs(x) / F.greatest(h, F.lit(1e-12)), F.lit(1.0))
-            c = 1 - u * u * u
-            w = F.when(u <= 0.001, 1.0).when(u >= 0.999, 0.0).otherwise(c * c * c) * r["w"]
-            return F.struct((s["w"] + w).alias("w"), (s["x"] + w * x).alias("x"), (s["xx"] + w * x * x).alias("xx"), (s["y"] + w * r["v"]).alias("y"), (s["xy"] + w * x * r["v"]).alias("xy"))
-
-        near = F.transform(F.slice(rows, lo + 1, q), lambda r, i: F.struct((i + lo).cast("double").alias("i"), r["v"].alias("v"), r["w"].alias("w")))
+            return F.struct((s["w"] + r["w"]).alias("w"), (s["x"] + r["wx"]).alias("x"), (s["xx"] + r["wx"] * r["x"]).alias("xx"), (s["y"] + r["w"] * r["v"]).alias("y"), (s["xy"] + r["wx"] * r["v"]).alias("xy"))
 
         def read(s: Column) -> Column:
             spread = s["xx"] / s["w"] - (s["x"] / s["w"]) * (s["x"] / s["w"])
@@ -122,7 +121,7 @@ def _smooth(values: Column, weights: Column, width: int) -> Column:
 
 def _moving(values: Column, k: int) -> Column:
     """Means of each k values in a row."""
-    return F.transform(F.sequence(F.lit(1), F.size(values) - k + 1), lambda i: F.aggregate(F.slice(values, i, k), F.lit(0.0), lambda s, x: s + x) / k)
+    return _let(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - k + 1), lambda i: F.aggregate(F.slice(v, i, k), F.lit(0.0), lambda s, x: s + x) / k))
 
 
 def _odd(x: float) -> int:
@@ -141,7 +140,8 @@ def stl(obs: DataFrame, m: int = 12, season: int = 7, inner: int = 2, outer: int
     """
     slow, trend_width = _odd(m + 1), _odd(1.5 * m / (1 - 1.5 / season))
     rows = obs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "ds", F.col("y").cast("double").alias("y")))).alias("rows")).where(F.size("rows") >= 2 * m)
-    rows = rows.withColumn("y", F.transform("rows", lambda x: x["y"]))
+    # few bytes, much work: as many parts as there are cores, which small partitions are not joined below
+    rows = rows.repartition(max(1, obs.sparkSession.sparkContext.defaultParallelism), "series_id").withColumn("y", F.transform("rows", lambda x: x["y"]))
     n = F.size("y")
     ones = lambda a: F.transform(a, lambda x: F.lit(1.0))
     minus = lambda a, b: F.zip_with(a, b, lambda x, z: x - z)
@@ -149,7 +149,7 @@ def stl(obs: DataFrame, m: int = 12, season: int = 7, inner: int = 2, outer: int
     def cycles(d: Column, w: Column) -> Column:
         """Smoothed rows of each phase, from a season before the first to one after the last."""
         both = F.zip_with(d, w, lambda v, u: F.struct(v.alias("v"), u.alias("w")))
-        phases = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda p: F.transform(F.sequence(p, n - 1, F.lit(m)), lambda i: F.get(both, i)))
+        phases = _let(both, lambda b: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda p: F.transform(F.sequence(p, n - 1, F.lit(m)), lambda i: F.get(b, i))))
         return _let(phases, lambda ph: F.transform(F.sequence(F.lit(0), n + 2 * m - 1), lambda k: _line_at(F.get(ph, F.pmod(k, F.lit(m))), F.floor(k / m).cast("double") - 1, season)))
 
     def one(s: Column) -> Column:
