@@ -163,7 +163,7 @@ def states(obs: DataFrame, kind: str = "sketch", *, prior: str = "rolling_mean",
     fitting = {"without": list(without), "alpha": alpha, "most_gamma": most_gamma, "readout": readout, "search": search, "size": size, "radius": radius, "leak": leak, **SELECTION, **selection}
     own = {"prior": prior, "window": window, "m": m, "lags": lags, "spans": list(spans), "scales": list(scales), "means": list(means), "seed": seed, "target": target, "rate": rate, "low": 0.01, "high": 0.5, "tail": max([lags, m, *spans, *scales]) + 1, **fitting}
     if kind == "sketch":
-        o, cols = models._sketched(obs, 0, ratio, [""], spans, scales, None, column, ends=True)
+        o, cols = models._sketched(obs, 0, ratio, [""], spans, scales, None, column, ends=True, lags=lags)
     else:
         o, cols = models._reservoired(obs, 0, ratio, lags, [""], column)
 

@@ -177,3 +177,51 @@ def residual_tests(rows: DataFrame, by: list[str], residual: str, order: str, m:
     k2, jb = z1 * z1 + z2 * z2, n / 6 * (g1 * g1 + g2 * g2 / 4)
     g = g.select(*by, "series_id", "n", F.when(n >= 20, k2).alias("k2"), F.when(n >= 20, F.exp(-k2 / 2)).alias("k2_p"), jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jarque_bera_p"))
     return g.join(lb, "series_id").withColumn("seasonal_left", F.abs("acf_season") > limit).drop("series_id")
+
+
+#: Polynomials (highest power first) of the weights of the two greatest values in the root of 1 / n, and of the mean and log spread of the statistic's transform.
+ORDERED = {
+    "last": (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0),
+    "next": (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0),
+    "mean": (0.0038915, -0.083751, -0.31082, -1.5861), "spread": (0.0030302, -0.082676, -0.4803),
+    "few_mean": (-0.0006714, 0.025054, -0.39978, 0.5440), "few_spread": (-0.0020322, 0.062767, -0.77857, 1.3822), "few_end": (0.459, -2.273),
+}
+
+
+def normality(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Whether the values of each group look normal, by their order: by, n, w, w_p.
+
+    w is the squared correlation of the ordered values with weights from normal
+    quantiles; p by the published transforms (for 3 values exactly).  Null for
+    fewer than 3 values, more than 5000, or without spread.
+    """
+    from pyspark.sql import Window
+
+    r = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    w = Window.partitionBy(*by)
+    r = r.withColumn("i", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w)).withColumn("c", F.col("x") - F.avg("x").over(w))
+    score = lambda i, n: tails.normal_quantile((i - 0.375) / (n + 0.25))
+    r = r.withColumn("m", score(F.col("i"), F.col("n")))
+    at = lambda k: F.max(F.when(F.col("i") == k, F.col("c")))
+    g = r.groupBy(*by, "n").agg(F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("c")).alias("mx"), F.sum(F.col("c") * F.col("c")).alias("ss"), at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(F.col("n") - 1).alias("y2"), at(F.col("n")).alias("y1"))
+
+    def poly(name: str, x: Column) -> Column:
+        out = F.lit(0.0)
+        for c in ORDERED[name]:
+            out = out * x + c
+        return out
+
+    n, u = F.col("n").cast("double"), 1 / F.sqrt(F.col("n"))
+    m1, m2 = score(n, n), score(n - 1, n)
+    a1, a2 = poly("last", u) + m1 / F.sqrt("mm"), poly("next", u) + m2 / F.sqrt("mm")
+    ends, inner = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
+    many = (F.col("mm") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+    few = (F.col("mm") - 2 * m1 * m1) / (1 - 2 * a1 * a1)
+    top = F.when(F.col("n") == 3, ends * 0.5**0.5).when(F.col("n") <= 5, a1 * ends + (F.col("mx") - m1 * ends) / F.sqrt(few)).otherwise(a1 * ends + a2 * inner + (F.col("mx") - m1 * ends - m2 * inner) / F.sqrt(many))
+    stat = F.when(F.col("n").between(3, 5000) & (F.col("ss") > 0), F.least(top * top / F.when(F.col("ss") > 0, F.col("ss")), F.lit(1.0)))
+    g = g.select(*by, "n", stat.alias("w"))
+    log, left = F.log(n), F.log(F.greatest(1 - F.col("w"), F.lit(1e-300)))
+    z = F.when(F.col("n") > 11, (left - poly("mean", log)) / F.exp(poly("spread", log))).otherwise((-F.log(F.greatest(poly("few_end", n) - left, F.lit(1e-300))) - poly("few_mean", n)) / F.exp(poly("few_spread", n)))
+    above = F.when(z > 0, tails.normal(z) / 2).otherwise(1 - tails.normal(z) / 2)
+    three = F.greatest(6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(0.75**0.5)), F.lit(0.0))
+    return g.select(*by, "n", "w", F.when(F.col("w").isNotNull(), F.when(F.col("n") == 3, three).otherwise(above)).alias("w_p"))

@@ -135,33 +135,113 @@ def adapted_priors(obs: DataFrame, priors: tuple[str, ...] = ("naive", "seasonal
     return _evaluated(_both(o, sketch, reservoir, prior).withColumnRenamed("key", "prior"), ["series_id", "prior", "model"])
 
 
-#: Ranges of the settings that a search tries: low, high, and whether by their logarithm.
+#: Ranges of the settings that a search tries: low, high, and whether by their logarithm; or a list to choose from.
 SPACES = {
-    "sketch": {"alpha": (1e-3, 100.0, True), "most_gamma": (0.25, 3.0, False)},
-    "reservoir": {"size": (1, 200, False), "radius": (0.05, 0.99, False), "leak": (0.05, 1.0, False), "alpha": (0.1, 50.0, True)},
+    "sketch": {"alpha": (1e-3, 100.0, True), "most_gamma": (0.25, 3.0, False), "lags": (1, 6, False), "ratio": (0.55, 0.8, False), "spans": [(2, 4), (2, 4, 8), (2, 4, 8, 12), (3, 6, 12)], "scales": [(2, 3), (2, 3, 6), (2, 3, 4, 6)], "without": [(), ("calendar",)]},
+    "reservoir": {"size": (1, 200, False), "radius": (0.05, 0.99, False), "leak": (0.05, 1.0, False), "alpha": (0.1, 50.0, True), "lags": (2, 12, False), "ratio": (0.6, 0.85, False), "readout": ["ridge", "lasso", "elastic", "bayes"]},
+    "window": {"kind": ["linear", "nlinear", "dlinear", "kernel"], "width": (3, 24, False), "alpha": (0.01, 100.0, True)},
+    "autoregression": {"lags": (1, 12, False), "trend": ["n", "c", "t", "ct"], "period": [None, 12]},
 }
+#: Priors that a search over a fitted model tries too.
+PRIORS = ["rolling_mean", "seasonal_naive", "naive"]
+
+
+def _drawn(rng, space: dict, around: dict | None = None, share: float = 1.0) -> dict:
+    """One setting from a space; ``around`` another one, within ``share`` of each range about it."""
+    import numpy as np
+
+    out = {}
+    for name, given in space.items():
+        if isinstance(given, list):
+            out[name] = given[int(rng.integers(len(given)))] if around is None or rng.uniform() < share else around[name]
+            continue
+        low, high, log = given
+        lo, hi = (np.log(low), np.log(high)) if log else (low, high)
+        if around is not None:
+            mid, reach = (np.log(around[name]) if log else around[name]), share * (hi - lo) / 2
+            lo, hi = max(lo, mid - reach), min(hi, mid + reach)
+        x = float(np.exp(rng.uniform(lo, hi)) if log else rng.uniform(lo, hi))
+        out[name] = round(x) if isinstance(low, int) else x
+    return out
+
+
+def drawn(kind: str, seed: int) -> dict:
+    """One setting from the ranges of SPACES."""
+    import numpy as np
+
+    return _drawn(np.random.default_rng(seed), SPACES[kind])
 
 
 def sampled(kind: str, trials: int, seed: int = 42) -> dict[str, dict]:
     """Settings of ``trials`` trials by name, drawn from the ranges of SPACES; the first has the defaults."""
     import numpy as np
 
-    rng, out = np.random.default_rng(seed), {"trial0": {}}
-    for i in range(1, trials):
-        one = {}
-        for name, (low, high, log) in SPACES[kind].items():
-            x = float(np.exp(rng.uniform(np.log(low), np.log(high)))) if log else float(rng.uniform(low, high))
-            one[name] = round(x) if isinstance(low, int) else x
-        out[f"trial{i}"] = one
-    return out
+    rng = np.random.default_rng(seed)
+    return {"trial0": {}} | {f"trial{i}": _drawn(rng, SPACES[kind]) for i in range(1, trials)}
 
 
 def fitted_trials(obs: DataFrame, kind: str, settings: dict[str, dict], **given) -> DataFrame:
-    """trial, series_id, score: mean error on test rows of the model fitted with each setting, all in one pass; infinite where it failed."""
-    rows = {"sketch": models.sketch, "reservoir": models.reservoir}[kind](obs, variants=settings, **given)
+    """trial, series_id, score: mean error on test rows of the model fitted with each setting, all in one pass; infinite where it failed.
+
+    Columns are made for all lags, spans and scales that any trial asks for, and each
+    trial takes its own.
+    """
+    base = {"lags": 3, "spans": (2, 4), "scales": models.SCALES} if kind == "sketch" else {"lags": 3}
+    base |= {k: given.pop(k) for k in list(given) if k in base}
+    own = {name: {**base, **s} for name, s in settings.items()}
+    wide = {"lags": max(s["lags"] for s in own.values())}
+    if kind == "sketch":
+        wide |= {k: tuple(sorted({x for s in own.values() for x in s[k]})) for k in ("spans", "scales")}
+    rows = {"sketch": models.sketch, "reservoir": models.reservoir}[kind](obs, variants=own, **wide, **given)
     return _evaluated(rows.withColumnRenamed("variant", "trial"), ["trial", "series_id"]).select("trial", "series_id", F.coalesce("mae", F.lit(float("inf"))).alias("score"))
 
 
+def family_trials(obs: DataFrame, kind: str, settings: dict[str, dict], horizon: int = 12) -> DataFrame:
+    """``fitted_trials`` for any family of SPACES; of a fitted model's settings, prior names the prior."""
+    from tidemark.operators import least_squares
+
+    out = None
+    add = lambda rows: rows if out is None else out.unionByName(rows)
+    error = F.avg(F.abs(F.col("y") - F.col("pred")))
+    if kind in ("sketch", "reservoir"):
+        for prior in sorted({s.get("prior", "rolling_mean") for s in settings.values()}):  # a pass for each prior
+            own = {n: {k: v for k, v in s.items() if k != "prior"} for n, s in settings.items() if s.get("prior", "rolling_mean") == prior}
+            out = add(fitted_trials(obs, kind, own, horizon=horizon, prior=forecasts.MODELS[prior]()))
+        return out
+    for name, s in settings.items():  # widths and lags are columns of the plan
+        rows = models.window_regression(obs, s["kind"], s["width"], horizon, s["alpha"]) if kind == "window" else least_squares.autoregression(obs, s["lags"], s["trend"], s["period"], horizon)
+        scores = splits.tail(obs, horizon).select("series_id").distinct().join(rows.groupBy("series_id").agg(error.alias("score")), "series_id", "left")
+        out = add(scores.select(F.lit(name).alias("trial"), "series_id", F.coalesce(F.when(F.isnan("score"), float("inf")).otherwise(F.col("score")), F.lit(float("inf"))).alias("score")))
+    return out
+
+
+def searched(run, obs: DataFrame, kind: str, trials: int = 12, histories: tuple[int | None, ...] = (48, 72, None), share: float = 1 / 3, horizon: int = 12, seed: int = 42) -> DataFrame:
+    """Search in rounds: each judges its trials on longer histories (None: all); the best ``share`` goes on, joined by as many new ones drawn close around them.
+
+    round, trial, settings (as JSON), n_series, median (over series; a failed one is
+    infinite).  Every round's scores are a table of ``run`` (``runs.Run``), so a
+    search that was broken off repeats no round.
+    """
+    import json
+
+    import numpy as np
+
+    rng, space = np.random.default_rng(seed), SPACES[kind] | ({"prior": PRIORS} if kind in ("sketch", "reservoir") else {})
+    settings, out = {f"trial{i}": _drawn(rng, space) for i in range(trials)}, None
+    for k, most in enumerate(histories):
+        given = {"kind": kind, "history": most, "horizon": horizon, "settings": settings}
+        scores = run.table(f"{kind}-round{k}", given, lambda: family_trials(models.latest(obs, most), kind, settings, horizon))
+        ranked = scores.groupBy("trial").agg(F.count("*").alias("n_series"), F.percentile("score", F.lit(0.5)).alias("median"))
+        text = run.spark.createDataFrame([(n, json.dumps(s)) for n, s in settings.items()], "trial string, settings string")
+        one = ranked.join(text, "trial").select(F.lit(k).alias("round"), "trial", "settings", "n_series", "median")
+        out = one if out is None else out.unionByName(one)
+        best = [r.trial for r in ranked.orderBy("median", "trial").limit(max(1, round(len(settings) * share))).collect()]  # a share of the trials
+        if k + 1 < len(histories):
+            close = {f"trial{k + 1}_{i}": _drawn(rng, space, settings[name], 0.5 ** (k + 1)) for i, name in enumerate(best)}
+            settings = {name: settings[name] for name in best} | close
+    return out
+
+
 def best_setting(scores: DataFrame) -> DataFrame:
     """Trials by the median score over series; the least first, in order of name among equals."""
     return scores.groupBy("trial").agg(F.percentile("score", F.lit(0.5)).alias("median"), F.count("*").alias("n")).orderBy("median", "trial")

@@ -113,9 +113,30 @@ def _worth(target: np.ndarray, corrected: np.ndarray, raw: np.ndarray, least_r2:
     return bool(r2 > least_r2 and prior - adapted > least_gain and adapted + penalty < prior)
 
 
+def _asked(column: str, s: dict) -> bool:
+    """Whether a variant that names its own lags, spans or scales has a column; all others have all."""
+    size = int("".join(c for c in column if c.isdigit()) or 0)
+    of = {"ar": "lags", "momentum": "spans", "causal": "scales"}.get(group(column))
+    if of not in s:
+        return True
+    return size <= s[of] if of == "lags" else size in s[of]
+
+
+def _blocks_of(g: pd.DataFrame, s: dict) -> pd.Series:
+    """A series' blocks: as they are, or by the variant's own ratio (the rule of ``splits.internal``)."""
+    if "ratio" not in s:
+        return g.block
+    j, n = g.t.to_numpy() + 1, int((g.block != "test").sum()) + 1
+    r_end = min(max(np.rint(n * s["ratio"]), 11), n - 6)
+    a_end = min(max(r_end + np.rint(n * 0.2), r_end + 3), n - 3)
+    own = np.where(j < r_end, "readout", np.where(j < a_end, "adapter", "conformal"))
+    return g.block.where(g.block == "test", own)
+
+
 def _sketch_fit(g: pd.DataFrame, cols: list[str], s: dict) -> dict:
-    used = [c for c in cols if group(c) not in s["without"]]
-    fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
+    used = [c for c in cols if group(c) not in s["without"] and _asked(c, s)]
+    block = _blocks_of(g, s)
+    fit_, adapt = ((block == b).to_numpy() for b in ("readout", "adapter"))
     early = fit_ & (g.t.to_numpy() >= 3)
     k = len(used)
     out = {"used": used, "w": np.zeros(k), "b": 0.0, "centre": np.zeros(k), "scale": np.ones(k), "raw": np.zeros(len(g)), "gamma": 0.0, "active": False}
@@ -137,9 +158,9 @@ def _blocks(obs: DataFrame, horizon: int, ratio: float) -> DataFrame:
     return splits.internal(splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon), ratio).select("series_id", F.col("ds").alias("next_ds"), "block")
 
 
-def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], spans: tuple[int, ...], scales: tuple[int, ...], most: int | None, prior: Column | None, ends: bool = False) -> tuple[DataFrame, list[str]]:
+def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], spans: tuple[int, ...], scales: tuple[int, ...], most: int | None, prior: Column | None, ends: bool = False, lags: int = 3) -> tuple[DataFrame, list[str]]:
     obs = latest(obs, most)
-    o, cols = featured(obs, spans=spans, scales=scales, prior=prior)
+    o, cols = featured(obs, lags=lags, spans=spans, scales=scales, prior=prior)
     o = o if ends else o.where(F.col("target").isNotNull())
     o = o.join(_blocks(obs, horizon, ratio), ["series_id", "next_ds"], "left").withColumn("block", F.coalesce("block", F.lit("test")))
     return o.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in names]))), cols
@@ -149,16 +170,17 @@ def _sketched(obs: DataFrame, horizon: int, ratio: float, names: list[str], span
 SELECTION = {"least_r2": float("-inf"), "least_gain": float("-inf"), "penalty": 0.0}
 
 
-def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...] | dict] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, means: tuple[int, ...] = (), readout: str = "ridge", most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
+def sketch(obs: DataFrame, horizon: int = 12, alpha: float = 1.0, most_gamma: float = 1.5, ratio: float = 0.7, variants: dict[str, tuple[str, ...] | dict] | None = None, spans: tuple[int, ...] = (2, 4), scales: tuple[int, ...] = SCALES, means: tuple[int, ...] = (), readout: str = "ridge", lags: int = 3, most: int | None = None, prior: Column | None = None, **selection: float) -> DataFrame:
     """A linear readout (see ``readouts``) of window features of the residuals, and of their exponential ``means`` if given, shrunk by a least-squares factor of the adapter block; active as SELECTION (or ``selection``) says.
 
     One row a target month: p (prior), raw (correction), gate (factor), pred,
     status and error.  ``variants``: feature groups to leave out, or settings
-    (without, alpha, most_gamma, readout, those of SELECTION), by name; each is
-    fitted, and adds its rows, with column variant.
+    (without, alpha, most_gamma, readout, ratio, lags, spans and scales among those
+    asked for, those of SELECTION), by name; each is fitted, and adds its rows,
+    with column variant.
     """
     given = _settings(variants, {"alpha": alpha, "most_gamma": most_gamma, "readout": readout, **SELECTION, **selection})
-    o, cols = _sketched(obs, horizon, ratio, list(given), spans, scales, most, prior)
+    o, cols = _sketched(obs, horizon, ratio, list(given), spans, scales, most, prior, lags=lags)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = _with_means(g.sort_values("t"), means)
@@ -197,7 +219,9 @@ GATES = [(a, c) for a in (0.25, 1.0, 4.0) for c in (-2.0, -1.0, 0.0, 1.0, 2.0)]
 
 def _reservoir_fit(g: pd.DataFrame, keep: list[str], s: dict, lags: int, seed: int) -> dict:
     without, size, leak = s["without"], int(s["size"]), s["leak"]
-    fit_, adapt = ((g.block == b).to_numpy() for b in ("readout", "adapter"))
+    keep, lags = [c for c in keep if _asked(c, s)], s.get("lags", lags)
+    block = _blocks_of(g, s)
+    fit_, adapt = ((block == b).to_numpy() for b in ("readout", "adapter"))
     e, target = g.e.to_numpy(float), g.target.to_numpy(float)
     early = fit_ & (g.t.to_numpy() >= lags)
     out = {"raw": np.zeros(len(g)), "gate": np.zeros(len(g)), "active": False, "w": np.zeros(0), "b": 0.0, "centre": np.zeros(2), "scale": np.ones(2), "shape": None, "state": np.zeros(size)}
@@ -242,8 +266,8 @@ def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float =
     of a grid on the adapter block, or with ``search`` closing of one that closes in
     around its best points.  ``variants``: parts to leave out (reservoir,
     ar or gate), or settings (without, size, radius, leak, alpha, readout, search,
-    those of SELECTION), by name; each is fitted, and adds its rows, with column
-    variant.
+    ratio, lags up to those asked for, those of SELECTION), by name; each is fitted,
+    and adds its rows, with column variant.
     """
     given = _settings(variants, {"size": size, "radius": radius, "leak": leak, "alpha": alpha, "readout": readout, "search": search, **SELECTION, **selection})
     o, keep = _reservoired(latest(obs, most), horizon, ratio, lags, list(given), prior)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
 
-#: Required columns, in order.
+#: The required columns, in the order that the table prescribes.
 COLUMNS = [
     "run_id", "git_commit", "dataset", "series_id", "history_budget", "split_id", "model", "prior_name", "prior_params_json", "model_params_json", "uq_params_json", "seed",
     "seasonal_period", "requested_coverage", "effective_target_coverage", "interval_method", "mase_scale", "rmsse_scale", "msis_scale", "n_train", "train_start", "train_end",
@@ -38,6 +38,19 @@ def store(rows: DataFrame, **constants) -> DataFrame:
     return out.select(*[F.col(c).cast(kind(c)).alias(c) for c in COLUMNS])
 
 
+def provenance(obs: DataFrame, horizon: int = 12, ratio: float = 0.7) -> DataFrame:
+    """What a series' results rest on: series_id, data_hash (of its months and values, in no order but their own), n_train, train_start, train_end, and the sizes of the three blocks of its training rows (null where it is too short for them)."""
+    from tidemark.operators import splits
+
+    line = F.concat_ws("|", F.col("ds").cast("string"), F.col("y").cast("decimal(38,6)").cast("string"))
+    whole = obs.groupBy("series_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("data_hash"))
+    train = splits.tail(obs, horizon).where("split = 'train'").withColumn("n", F.col("n") - horizon)
+    ends = train.groupBy("series_id").agg(F.count("*").cast("int").alias("n_train"), F.min("ds").alias("train_start"), F.max("ds").alias("train_end"))
+    count = lambda b: F.sum((F.col("block") == b).cast("int")).cast("int")
+    blocks = splits.internal(train, ratio).groupBy("series_id").agg(count("readout").alias("n_readout"), count("adapter").alias("n_adapter_calibration"), count("conformal").alias("n_conformal_calibration"))
+    return whole.join(ends, "series_id", "left").join(blocks, "series_id", "left")
+
+
 def violations(s: DataFrame) -> DataFrame:
     """Rows whose target was known at the cutoff, or whose bounds are out of order."""
     late = ~(F.col("target_timestamp") > F.col("information_cutoff"))

@@ -40,6 +40,30 @@ def student(t: Column, df: Column) -> Column:
     return F.when(df <= SERIES, F.greatest(1 - inside, F.lit(0.0))).otherwise(wide)
 
 
+#: Coefficients of the rational approximations of the normal quantile (relative error below 1.2e-9), and where the middle one ends.
+QUANTILE = {
+    "middle": ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)),
+    "tail": ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)),
+    "end": 0.02425,
+}
+
+
+def normal_quantile(p: Column) -> Column:
+    """The value below which a standard normal lies with probability p (above 0 and below 1; else null)."""
+
+    def poly(coefficients: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    q, least = p - 0.5, F.least(p, 1 - p)
+    r = F.sqrt(-2 * F.log(F.when((least > 0) & (least < 1), least)))
+    side = F.when(p < 0.5, 1.0).otherwise(-1.0) * poly(QUANTILE["tail"][0], r) / poly(QUANTILE["tail"][1], r)
+    middle = poly(QUANTILE["middle"][0], q * q) * q / poly(QUANTILE["middle"][1], q * q)
+    return F.when(least > 0, F.when(least < QUANTILE["end"], side).otherwise(middle))
+
+
 def chi_square(x: Column, df: Column) -> Column:
     """Upper tail of the chi-square distribution with a whole number of degrees of freedom: a finite sum, and for an odd number a normal tail.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, seasonal, splits, statistics
+from tidemark.operators import diagnostics, experiments, models, results, seasonal, splits, statistics, tails
+from tidemark.plans.ahead_queries import _BELOW
 from tidemark.plans.frame_queries import _CUSTOMERS, _customers
+from tidemark.plans.model_queries import _FC, compared
 from tidemark.plans.more_queries import _SES
 from tidemark.plans.registry import query
 from tidemark.plans.substrate import BRAND_SQL, brand_monthly, table
@@ -98,3 +100,52 @@ def failure_cells(spark, d):
     have = failures(spark, d)
     grid = have.select("series_id").distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in _COHORT])))
     return grid.join(have.where("mae is not null").select("series_id", "model"), ["series_id", "model"], "left_anti")
+
+
+def _poly(coefficients, x):
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def _quantile(p):
+    """The normal quantile of an expression, in SQL."""
+    r = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    side = f"(CASE WHEN {p} < 0.5 THEN 1 ELSE -1 END) * {_poly(tails.QUANTILE['tail'][0], r)} / {_poly(tails.QUANTILE['tail'][1], r)}"
+    q = f"({p} - 0.5)"
+    middle = f"{_poly(tails.QUANTILE['middle'][0], f'({q} * {q})')} * {q} / {_poly(tails.QUANTILE['middle'][1], f'({q} * {q})')}"
+    return f"(CASE WHEN least({p}, 1 - {p}) < CAST({tails.QUANTILE['end']} AS DOUBLE) THEN {side} ELSE {middle} END)"
+
+
+@query(f"""{_FC}, e AS (SELECT series_id, model, y::DOUBLE - pred AS x FROM fm), o AS (SELECT *, row_number() OVER (w ORDER BY x) AS i, (count(*) OVER w)::DOUBLE AS n, x - avg(x) OVER w AS c FROM e WINDOW w AS (PARTITION BY series_id, model)),
+p AS (SELECT *, (i - CAST(0.375 AS DOUBLE)) / (n + CAST(0.25 AS DOUBLE)) AS u FROM o), q AS (SELECT *, {_quantile('u')} AS m FROM p),
+g AS (SELECT series_id, model, n, 1 / sqrt(n) AS u, sum(m * m) AS mm, sum(m * c) AS mx, sum(c * c) AS ss, max(m) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2, max(c) - min(c) AS d1, max(CASE WHEN i = n - 1 THEN c END) - max(CASE WHEN i = 2 THEN c END) AS d2 FROM q GROUP BY 1, 2, 3),
+a AS (SELECT *, {_poly(diagnostics.ORDERED['last'], 'u')} + m1 / sqrt(mm) AS a1, {_poly(diagnostics.ORDERED['next'], 'u')} + m2 / sqrt(mm) AS a2 FROM g),
+s AS (SELECT series_id, model, n, pow(a1 * d1 + a2 * d2 + (mx - m1 * d1 - m2 * d2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss AS w FROM a),
+z AS (SELECT *, (ln(1 - w) - {_poly(diagnostics.ORDERED['mean'], 'ln(n)')}) / exp({_poly(diagnostics.ORDERED['spread'], 'ln(n)')}) AS zz FROM s), x AS (SELECT *, abs(zz) / sqrt(2) AS x FROM z)
+SELECT series_id, model, n::BIGINT AS n, w, round(CASE WHEN zz > 0 THEN {_BELOW} ELSE 1 - {_BELOW} END, 4) AS w_p FROM x""", "w")
+def residual_normality(spark, d):
+    """Each model's residuals on each series, by their order."""
+    rows = compared(spark, d).withColumn("e", F.col("y") - F.col("pred"))
+    g = diagnostics.normality(rows, ["series_id", "model"], "e")
+    return g.select("series_id", "model", "n", "w", F.round("w_p", 4).alias("w_p"))
+
+
+@query(f"""WITH {BRAND_SQL}, h AS (SELECT series_id, n, sha256(string_agg(ds::VARCHAR || '|' || y::DECIMAL(38, 6)::VARCHAR, ';' ORDER BY ds::VARCHAR || '|' || y::DECIMAL(38, 6)::VARCHAR)) AS data_hash FROM bm GROUP BY 1, 2),
+e AS (SELECT series_id, count(*)::INTEGER AS n_train, min(ds) AS train_start, max(ds) AS train_end FROM bm WHERE t < n - 12 GROUP BY 1),
+b AS (SELECT series_id, n_train AS k, least(greatest(round_even(n_train * CAST(0.7 AS DOUBLE), 0), 11), n_train - 6) AS r FROM e WHERE n_train >= 17), c AS (SELECT *, least(greatest(r + round_even(k * CAST(0.2 AS DOUBLE), 0), r + 3), k - 3) AS a FROM b)
+SELECT h.series_id, data_hash, n_train, train_start, train_end, r::INTEGER AS n_readout, (a - r)::INTEGER AS n_adapter_calibration, (k - a)::INTEGER AS n_conformal_calibration FROM h LEFT JOIN e USING (series_id) LEFT JOIN c USING (series_id)""")
+def provenance(spark, d):
+    return results.provenance(brand_monthly(spark, d))
+
+
+@query()
+def baseline_trials(spark, d):
+    """Errors of drawn settings of the plain regressions: each trial, each series."""
+    obs, out = brand_monthly(spark, d), None
+    for kind in ("window", "autoregression"):
+        settings = {f"{kind}{i}": experiments.drawn(kind, i) for i in range(4)}
+        rows = experiments.family_trials(obs, kind, settings)
+        out = rows if out is None else out.unionByName(rows)
+    return out
