@@ -113,3 +113,20 @@ def test_provenance(obs):
     assert again.data_hash == want
     short = numbered(obs.where("t < 20").select("series_id", "ds", "y"))
     assert results.provenance(short).first().n_readout is None and results.provenance(short).first().n_train == 8
+
+
+def fits(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
+
+
+def test_models_are_fitted_once(obs):
+    """Priors, deltas and defaults are read from the rows of one fit, not fitted again."""
+    from tests.conftest import SMALL
+    from tidemark.queries import QUERIES
+
+    spark = obs.sparkSession
+    assert fits(experiments.efficiency(obs)) == 2 and fits(experiments.adapted_priors(obs)) == 2
+    assert fits(experiments.ablation(obs)) == 3 and fits(experiments.ablation_deltas(experiments.ablation(obs))) == 3
+    assert fits(QUERIES["evaluate_proposed"](spark, SMALL)) == 2
+    # the best setting is known from all scores before it is applied: twice, and no more
+    assert fits(experiments.transferred(obs, "sketch", experiments.sampled("sketch", 3))) == 2

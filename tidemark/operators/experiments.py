@@ -55,9 +55,13 @@ def ablation(obs: DataFrame, sketch: dict | None = None, reservoir: dict | None
 
 def ablation_deltas(errors: DataFrame, full: dict[str, str] | None = None) -> DataFrame:
     """variant, series_id, mae and delta: error less that of the whole model it was taken from (those named reservoir_..., and all others)."""
+    from pyspark.sql import Window
+
     own = F.when(F.col("variant").startswith("reservoir"), "reservoir_full").otherwise("full")
-    base = errors.where("variant in ('full', 'reservoir_full')").select(F.col("variant").alias("whole"), "series_id", F.col("mae").alias("base"))
-    return errors.withColumn("whole", own).join(base, ["whole", "series_id"]).select("variant", "series_id", "mae", (F.col("mae") - F.col("base")).alias("delta"))
+    whole = Window.partitionBy("whole", "series_id")  # not a join, which would fit every model again
+    rows = errors.withColumn("whole", own).withColumn("base", F.max(F.when(F.col("variant") == F.col("whole"), F.col("mae"))).over(whole))
+    there = F.max((F.col("variant") == F.col("whole")).cast("int")).over(whole) == 1
+    return rows.withColumn("there", there).where("there").select("variant", "series_id", "mae", (F.col("mae") - F.col("base")).alias("delta"))
 
 
 def ablation_tests(errors: DataFrame) -> DataFrame:
@@ -112,10 +116,10 @@ def _both(keyed: DataFrame, sketch: dict | None, reservoir: dict | None, prior:
     """Test rows of both fitted models, and of their prior, for series whose id ends in |key: model, key."""
     out = None
     for name, fit, given in (("sketch", models.sketch, sketch), ("reservoir", models.reservoir, reservoir)):
-        rows = fit(keyed, prior=prior, **(given or {})).select("series_id", "ds", "y", "p", "pred", "block", "status").withColumn("model", F.lit(name))
+        own = [F.struct(F.lit(name).alias("model"), F.col("pred"))] + ([F.struct(F.lit("prior").alias("model"), F.col("p").alias("pred"))] if name == "sketch" else [])
+        rows = fit(keyed, prior=prior, **(given or {})).select("series_id", "ds", "y", "block", "status", F.explode(F.array(*own)).alias("x"))
+        rows = rows.select("series_id", "ds", "y", "x.pred", "block", "status", "x.model")
         out = rows if out is None else out.unionByName(rows)
-        if name == "sketch":
-            out = out.unionByName(rows.withColumn("pred", F.col("p")).withColumn("model", F.lit("prior")))
     key = F.substring_index("series_id", "|", -1).alias("key")
     own = F.col("series_id").substr(F.lit(1), F.length("series_id") - F.length(F.substring_index("series_id", "|", -1)) - 1).alias("series_id")
     return out.select(own, key, "model", "ds", "y", "pred", "block", "status")
@@ -255,5 +259,5 @@ def transferred(obs: DataFrame, kind: str, settings: dict[str, dict], **given) -
     scores = fitted_trials(obs, kind, settings, **given).join(roles, "series_id")
     best = best_setting(scores.where("role = 'development'")).limit(1).select("trial")
     first = next(iter(settings))
-    default = scores.where(F.col("trial") == first).select("series_id", F.col("score").alias("default_score"))
-    return scores.where("role = 'evaluation'").join(F.broadcast(best), "trial").join(default, "series_id").select("series_id", "trial", "score", "default_score")  # best: one row
+    held = scores.where("role = 'evaluation'").crossJoin(F.broadcast(best.withColumnRenamed("trial", "best")))  # best: one row
+    return held.groupBy("series_id", F.col("best").alias("trial")).agg(F.max(F.when(F.col("trial") == F.col("best"), F.col("score"))).alias("score"), F.max(F.when(F.col("trial") == first, F.col("score"))).alias("default_score"))

@@ -89,10 +89,9 @@ def evaluate_proposed(spark, d):
     rows = None
     for name, f in (("reservoir", models.reservoir), ("sketch", models.sketch)):
         m = f(brand_monthly(spark, d), **models.PUBLISHED[name]).where("block in ('conformal', 'test')")
-        one = m.select("series_id", F.lit(name).alias("model"), "ds", "y", "pred", "block")
+        both = [F.struct(F.lit(name).alias("model"), F.col("pred"))] + ([F.struct(F.lit("prior").alias("model"), F.col("p").alias("pred"))] if name == "reservoir" else [])
+        one = m.select("series_id", "ds", "y", "block", F.explode(F.array(*both)).alias("x")).select("series_id", "x.model", "ds", "y", "x.pred", "block")
         rows = one if rows is None else rows.unionByName(one)
-        if name == "reservoir":
-            rows = rows.unionByName(m.select("series_id", F.lit("prior").alias("model"), "ds", "y", F.col("p").alias("pred"), "block"))
     rows = rows.join(obs.select("series_id", "ds", "t"), ["series_id", "ds"])
     iv = conformal.adaptive(rows, ["series_id", "model"]).where("block = 'test'")
     return metrics.evaluate(iv.join(metrics.scales(obs), "series_id"), ["series_id", "model"])
