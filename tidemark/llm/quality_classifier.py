@@ -3,7 +3,8 @@
 A text's features are its distinct words, hashed, each with the value one over
 the root of their number, and one feature for each statistic of its structure
 (shares of capitals, digits, symbols, repeated words and lines, lengths and so
-on), which says in which of a few fixed intervals the statistic lies.  A
+on), which says in which of a few fixed intervals the statistic lies.  Columns of
+metadata, if any are named, are intervals likewise (null and what is no number is one more).  A
 factorisation machine adds to a linear score all pairwise interactions through
 low-rank vectors: sum over f of ((sum v x)**2 - sum v**2 x**2) / 2, linear in
 the features.  It is fitted by numpy with AdaGrad on at most MOST labelled texts,
@@ -18,7 +19,7 @@ scores are 0.5.  Repeated rows are scored each; one row of a doc_id is learned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,12 @@ STATISTICS = {
     "exclamations": _SHARE, "stops": _SHARE, "other_marks": _SHARE, "non_ascii": _SHARE, "repeated_words": _SHARE, "twins": _SHARE, "repeated_runs": _SHARE,
     "lines": _COUNT, "words_a_line": _COUNT, "short_words": _SHARE,
 }
+#: Limits of intervals for lengths given as metadata.
+LENGTHS = _COUNT
 _WIDTH = 11
 SIZE = (1 << BITS) + _WIDTH * len(STATISTICS)
+#: Intervals of a column of metadata.
+_WIDER = _WIDTH + 1
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -86,8 +91,8 @@ def structure(w: Words) -> np.ndarray:
     return np.stack([np.searchsorted(limits, s[k], "right") for k, limits in STATISTICS.items()], 1) if len(n) else np.zeros((0, len(STATISTICS)), np.int64)
 
 
-def features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, feature number and value of each feature that is not 0, in order of texts."""
+def features(strings: pa.Array, given: Sequence[pa.Array] = (), limits: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature number and value of each feature that is not 0, in order of texts; ``given``: columns of metadata as doubles."""
     w = Words(strings, SPACED)
     pair = np.unique((w.doc_of_word().astype(np.int64) << BITS) | (w.hash >> U64(64 - BITS)).astype(np.int64))
     doc, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
@@ -95,7 +100,10 @@ def features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = 1 / np.sqrt(np.maximum(distinct, 1))[doc]
     bins = structure(w)
     own = (1 << BITS) + _WIDTH * np.arange(len(STATISTICS)) + bins
-    doc = np.concatenate([doc, np.repeat(np.arange(len(bins)), len(STATISTICS))])
+    for k, (column, steps) in enumerate(zip(given, limits)):
+        x = column.to_numpy(zero_copy_only=False).astype(float)  # null becomes NaN
+        own = np.column_stack([own, SIZE + _WIDER * k + np.where(np.isnan(x), _WIDTH, np.searchsorted(steps, x, "right"))])
+    doc = np.concatenate([doc, np.repeat(np.arange(len(bins)), own.shape[1])])
     bucket, value = np.concatenate([bucket, own.reshape(-1)]), np.concatenate([value, np.full(own.size, 1.0)])
     order = np.argsort(doc, kind="stable")
     return doc[order], bucket[order].astype(np.int32), value[order].astype(np.float32)
@@ -112,12 +120,23 @@ def narrowed(doc: np.ndarray, which: np.ndarray, value: np.ndarray, widest: int,
 
 
 class Machine:
-    """Bias, weights and factors."""
+    """Bias, weights and factors; metadata: the columns that are read beside the text, and their limits (at most 10 each)."""
 
-    def __init__(self, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.bias, self.weight = 0.0, np.zeros(SIZE, np.float32)
-        self.factor = rng.normal(0, 0.01, (SIZE, RANK)).astype(np.float32)
+    def __init__(self, seed: int = 3, metadata: dict[str, Sequence[float]] | None = None):
+        rng, self.metadata = np.random.default_rng(seed), {k: np.asarray(v, float) for k, v in (metadata or {}).items()}
+        if any(len(v) >= _WIDTH for v in self.metadata.values()):
+            raise ValueError(f"metadata may have {_WIDTH - 1} limits")
+        size = SIZE + _WIDER * len(self.metadata)
+        self.bias, self.weight = 0.0, np.zeros(size, np.float32)
+        self.factor = rng.normal(0, 0.01, (size, RANK)).astype(np.float32)
+
+    def columns(self, docs: DataFrame) -> list[Column]:
+        """The metadata of ``docs`` as doubles m0, m1, ...; null where there is no such column."""
+        return [(F.col(f"`{k}`").cast("string").try_cast("double") if k in docs.columns else F.lit(None).cast("double")).alias(f"m{i}") for i, k in enumerate(self.metadata)]
+
+    def features(self, batch: pa.RecordBatch, text: str, given: Sequence[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = [f"m{i}" for i in range(len(self.metadata))] if given is None else given
+        return features(batch.column(text), [batch.column(n) for n in names], list(self.metadata.values()))
 
     def raw(self, doc: np.ndarray, which: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the logistic function, and sum v x of each text."""
@@ -132,7 +151,7 @@ class Machine:
     def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 1e-5, batch: int = 64, seed: int = 5) -> "Machine":
         """AdaGrad on the mean logistic loss of mini-batches."""
         rng, eps = np.random.default_rng(seed), 1e-6
-        gw, gv, gb = np.full(SIZE, eps), np.full((SIZE, RANK), eps), eps
+        gw, gv, gb = np.full(len(self.weight), eps), np.full(self.factor.shape, eps), eps
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
@@ -164,22 +183,23 @@ def one_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("one_key")).agg(*kept).select("r.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, most: int = MOST, widest: int = WIDEST, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Machine:
-    """Fit on at most ``most`` labelled documents for which ``learn`` (of column doc_id) holds, and ``widest`` words of each."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, metadata: dict[str, Sequence[float]] | None = None, most: int = MOST, widest: int = WIDEST, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Machine:
+    """Fit on at most ``most`` labelled documents for which ``learn`` (of column doc_id) holds, and ``widest`` words of each; ``metadata`` names columns and the limits of their intervals."""
+    machine = Machine(metadata=metadata)
     l = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).where("q is not null").where(learn).groupBy("doc_id").agg(F.min("q").alias("q"))
     l = l.orderBy(F.xxhash64("doc_id", F.lit(9))).limit(most).select(F.col("doc_id").alias("l_id"), "q")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(l, F.col("doc_id") == F.col("l_id"))
-    d = one_each(d, "l_id").select("q", "text")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *machine.columns(docs)).join(l, F.col("doc_id") == F.col("l_id"))
+    d = one_each(d, "l_id").drop("doc_id", "l_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc, which, value = narrowed(*features(b.column("text")), widest, 1 << BITS)
+            doc, which, value = narrowed(*machine.features(b, "text"), widest, 1 << BITS)
             off = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("q"), pa.ListArray.from_arrays(off, pa.array(which)), pa.ListArray.from_arrays(off, pa.array(value))], ["q", "which", "value"])
 
     rows = d.withColumn("q", F.col("q").cast("int")).mapInArrow(run, "q int, which array<int>, value array<float>").toArrow()  # at most ``most`` rows of ``widest`` features and those of structure
     texts = [(a.values.to_numpy(), v.values.to_numpy()) for a, v in zip(rows.column("which"), rows.column("value"))]
-    return Machine().fit(texts, (rows.column("q").to_numpy() == 1).astype(float))
+    return machine.fit(texts, (rows.column("q").to_numpy() == 1).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,20 +208,22 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            z, _ = machine.raw(*features(b.column("text")), b.num_rows)
+            z, _ = machine.raw(*machine.features(b, "text"), b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "k", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, k long, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("k"), F.col(text).alias("text"), *machine.columns(docs)).mapInArrow(run, f"doc_id {kind}, k long, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``."""
     names, at = docs.columns, docs.columns.index(text)
-    d = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind may clash
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind may clash
+    given = [f"m{i}" for i in range(len(machine.metadata))]
+    d = own.select("*", *[(F.col(f"c{names.index(k)}").cast("string").try_cast("double") if k in names else F.lit(None).cast("double")).alias(m) for m, k in zip(given, machine.metadata)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, f"c{at}"):
-            z, _ = machine.raw(*features(b.column(at)), b.num_rows)
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) >= least))
+            z, _ = machine.raw(*machine.features(b, f"c{at}", given), b.num_rows)
+            yield b.select(list(range(len(names)))).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) >= least))
 
-    return d.mapInArrow(run, d.schema).toDF(*names)
+    return d.mapInArrow(run, own.schema).toDF(*names)

@@ -83,7 +83,7 @@ def _held(n: int, remainder: int) -> Column:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    machine = quality_classifier.train(docs, labels, _remainder(4) != 2)
+    machine = quality_classifier.train(docs, labels, _remainder(4) != 2, metadata={"n_chars": quality_classifier.LENGTHS})
     s = quality_classifier.score(docs, machine)
     return s.select("doc_id", _held(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
