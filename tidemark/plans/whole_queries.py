@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import diagnostics, experiments, models, results, seasonal, splits, statistics, tails
+from tidemark.operators import diagnostics, experiments, models, results, seasonal, splits, statistics, suite, tails
 from tidemark.plans.ahead_queries import _BELOW
 from tidemark.plans.frame_queries import _CUSTOMERS, _customers
 from tidemark.plans.model_queries import _FC, compared
@@ -149,3 +149,10 @@ def baseline_trials(spark, d):
         rows = experiments.family_trials(obs, kind, settings)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query()
+def model_suite(spark, d):
+    """Errors of every model by its name and usual settings."""
+    rows = suite.forecast(brand_monthly(spark, d), list(suite.RUNNERS))
+    return rows.groupBy("model", "series_id").agg(F.count("*").alias("n_points"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
