@@ -34,3 +34,15 @@ def test_suite(spark):
     assert np.allclose(pick("sketch", "long"), by(models.sketch(obs.where("series_id = 'long'")).where("block = 'test'")).pred)
     with pytest.raises(ValueError):
         suite.forecast(obs, ["lstm"])
+
+
+def test_strict_logs(spark):
+    from pyspark.errors import PySparkException
+
+    from tidemark.operators import splits, transforms
+
+    rows = [("s", d, v) for d, v in zip(months(14), [5.0] * 13 + [-9.0])]
+    obs = splits.tail(numbered(spark.createDataFrame(rows, "series_id string, ds date, y double")), 1)
+    assert transforms.positive_log(obs).where("z is null").count() == 1
+    with pytest.raises(PySparkException):
+        transforms.positive_log(obs, strict=True).collect()

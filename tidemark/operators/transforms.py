@@ -26,10 +26,11 @@ def inverse(value: Column, scale: Column) -> Column:
     return F.when(scale == "log", F.exp(value)).otherwise(value)
 
 
-def positive_log(obs: DataFrame, eps: float = 1e-3) -> DataFrame:
-    """offset and z = log(y + offset), the offset lifting the least training value to eps; null where the sum is not above 0."""
+def positive_log(obs: DataFrame, eps: float = 1e-3, strict: bool = False) -> DataFrame:
+    """offset and z = log(y + offset), the offset lifting the least training value to eps; null, or with ``strict`` an error, where the sum is not above 0."""
     offset = F.greatest(F.lit(0.0), F.lit(eps) - F.min(train(F.col("y"))).over(whole()))
-    return obs.withColumn("offset", offset).withColumn("z", F.when(F.col("y") + F.col("offset") > 0, F.log(F.col("y") + F.col("offset"))))
+    wrong = F.when(F.col("y").isNotNull(), F.raise_error(F.concat(F.lit("value not above 0 in "), "series_id")).cast("double")) if strict else F.lit(None).cast("double")
+    return obs.withColumn("offset", offset).withColumn("z", F.when(F.col("y") + F.col("offset") > 0, F.log(F.col("y") + F.col("offset"))).otherwise(wrong))
 
 
 def robust_scale(obs: DataFrame) -> DataFrame:
