@@ -218,3 +218,18 @@ def test_bounds_are_never_below(spark, small):
 
 def test_lexical_search_query(spark, small):
     alike(Q.op13_lexical_search(spark, small).toPandas(), duck(oracles.OP13, small))
+
+
+def test_wide_sums(spark):
+    """An item whose weights add up to more than 32 bits has bounds in 64."""
+    items = [(1, " ".join(f"t{i}" for i in range(150_000)))]
+    q = lexical_search.Query.of(items)
+    q.weigh(10**12, 10**15, {})
+    assert q.kind is np.int64 and q.weight.sum() > 1 << 31
+    docs = spark.createDataFrame([(1, items[0][1]), (2, "t1 t2")], "doc_id int, text string")
+    for b in lexical_search.index(docs).toArrow().to_batches():
+        for i in range(b.num_rows):
+            n = b.column("n_terms")[i].values.to_numpy()
+            assert (lexical_search.bounds(q, b, i) >= lexical_search.exact(q, b.column("texts")[i].values, n)).all()
+    q.weigh(10, 100, {})
+    assert q.kind is np.int32

@@ -137,6 +137,7 @@ class Query:
     n_docs: int = 0
     n_sum: int = 0
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    kind: type = np.int64  # of sums of weights
 
     @staticmethod
     def of(items: list[tuple]) -> "Query":
@@ -153,6 +154,8 @@ class Query:
         self.n_docs, self.n_sum = n_docs, n_sum
         w = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(t, 0) + 1))) for t in range(len(self.terms))], np.int64)
         self.weight = w[self.term] * self.times
+        most = np.bincount(self.item, self.weight).max(initial=0)
+        self.kind = np.int32 if most < 1 << 31 else np.int64
 
     def length(self, n: np.ndarray) -> np.ndarray:
         """m of documents of n terms."""
@@ -206,8 +209,7 @@ def bounds(q: Query, batch: pa.RecordBatch, i: int) -> np.ndarray:
             e, of = entries[use], q.item[entries[use]]
             begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             held = np.unpackbits(may[q.term[e]], axis=1, count=len(n), bitorder="little")
-            weight = q.weight[e] if q.weight.max(initial=0) > 1 << 15 else q.weight[e].astype(np.int32)
-            out[of[begin]] += np.add.reduceat(held * weight[:, None], begin, axis=0) * gain
+            out[of[begin]] += np.add.reduceat(held * q.weight[e].astype(q.kind)[:, None], begin, axis=0, dtype=q.kind) * gain
     return out
 
 
