@@ -8,8 +8,11 @@ cuts series to their last rows before anything else.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from tidemark.operators import forecasts, readouts, splits, windows
 from tidemark.plans.substrate import along
 
 SCALES = (2, 3, 6)
+#: Rows after which a block of forecasts is given on.
+AT_ONCE = 20_000
 #: The published defaults of both models, where they differ from those here.
 PUBLISHED = {"sketch": {"spans": (2, 4, 8, 12), "scales": (2, 3, 4, 6), "means": (2, 4, 8, 12)}, "reservoir": {"size": 50, "search": "closing"}}
 
@@ -284,17 +289,61 @@ def reservoir(obs: DataFrame, horizon: int = 12, size: int = 20, radius: float =
 
 
 def custom(obs: DataFrame, predict, horizon: int = 12) -> DataFrame:
-    """One-step forecasts of test rows by ``predict(history) -> float``, called with what came before each; status and error as ``captured``."""
-    o = splits.tail(obs, horizon).select("series_id", "ds", "t", "y", "split")
+    """One-step forecasts of test rows by ``predict(history) -> float``, called with what came before each; status and error as ``captured``.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        y = g.y.to_numpy(float)
-        at = np.flatnonzero((g.split == "test").to_numpy())
-        return pd.DataFrame({"series_id": g.series_id.to_numpy()[at], "ds": g.ds.to_numpy()[at], "y": y[at], "pred": [float(predict(y[:i])) for i in at]})
+    ``predict`` may be a dict of such functions: all see a series in one pass, and
+    ``model`` tells their rows apart.  A series is one row with its values, so a
+    task goes through its series in a loop, without a data frame for each.
+    """
+    several = isinstance(predict, dict)
+    each = list(predict.items()) if several else [("", predict)]
+    o = splits.tail(obs, horizon).select(F.col("series_id").cast("string").alias("series_id"), "t", F.col("ds").cast("date").alias("ds"), F.col("y").cast("double").alias("y"), (F.col("split") == "test").cast("int").alias("test"))
+    o = o.groupBy("series_id").agg(F.sum("test").alias("n_test"), F.sort_array(F.collect_list(F.struct("t", "ds", "y"))).alias("v"))
+    o = o.select("series_id", "n_test", F.col("v.ds").alias("ds"), F.col("v.y").alias("y"))
+    schema = f"series_id string, {'model string, ' if several else ''}ds date, y double, pred double, status string, error string"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    schema = "series_id string, ds date, y double, pred double, status string, error string"
-    return o.groupBy("series_id").applyInPandas(captured(run, schema, "split"), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b.column("y").offsets.to_numpy()
+            values = b.column("y").values.to_numpy(zero_copy_only=False).astype(float)
+            tests = b.column("n_test").to_pylist()
+            rows, places, preds, models, errors = [], [], [], [], []
+
+            def block() -> pa.RecordBatch:
+                ok = np.array([e is None for e in errors], bool)
+                cols = {
+                    "series_id": b.column("series_id").take(pa.array(rows, pa.int64())),
+                    "model": pa.array(models, pa.string()),
+                    "ds": b.column("ds").values.take(pa.array(places, pa.int64())),
+                    "y": pa.array(np.where(ok, values[np.array(places, np.int64)], np.nan), pa.float64(), from_pandas=True),
+                    "pred": pa.array(np.array(preds, float), pa.float64(), from_pandas=True),
+                    "status": pa.array(np.where(ok, "ok", "failed"), pa.string()),
+                    "error": pa.array(errors, pa.string()),
+                }
+                return pa.RecordBatch.from_arrays([cols[k] for k in names], names)
+
+            for i, n_test in enumerate(tests):
+                begin, end = int(ends[i]), int(ends[i + 1])
+                for name, f in each:
+                    y = values[begin:end].copy()
+                    try:
+                        own, error = [float(f(y[:k])) for k in range(len(y) - n_test, len(y))], None
+                    except Exception as e:  # any error of one series' model is that series' result
+                        own, error = [np.nan], f"{type(e).__name__}: {e}"
+                    m, first = len(own), end - n_test
+                    rows += [i] * m
+                    places += range(first, first + m)
+                    preds += own
+                    models += [name] * m
+                    errors += [error] * m
+                if len(rows) >= AT_ONCE:
+                    yield block()
+                    rows, places, preds, models, errors = [], [], [], [], []
+            if rows:
+                yield block()
+
+    return o.mapInArrow(run, schema)
 
 
 def walked(predict, least: int = 3, m: int = 12, fall_back: str = "last"):
