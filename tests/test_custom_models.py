@@ -53,3 +53,8 @@ def test_custom_models_share_one_pass(spark, monkeypatch):
 
 def test_failures_take_one_pass_over_the_series(spark, small):
     assert passes(QUERIES["failure_summary"](spark, small)) == (1, 0)
+
+
+def test_failed_cells_without_a_join(spark, small):
+    cells = QUERIES["failure_cells"](spark, small)
+    assert passes(cells) == (1, 0) and "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()

@@ -94,9 +94,8 @@ def failure_common(spark, d):
 @query(f"{_FAILURES} SELECT series_id, model FROM ho WHERE mae IS NULL")
 def failure_cells(spark, d):
     """Series and models of the full grid that have no value."""
-    have = failures(spark, d)
-    grid = have.select("series_id").distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in _COHORT])))
-    return grid.join(have.where("mae is not null").select("series_id", "model"), ["series_id", "model"], "left_anti")
+    have = failures(spark, d).groupBy("series_id").agg(F.collect_set(F.when(F.col("mae").isNotNull(), F.col("model"))).alias("have"))
+    return have.select("series_id", F.explode(F.array_except(F.array(*[F.lit(m) for m in _COHORT]), "have")).alias("model"))
 
 
 def _poly(coefficients, x):
