@@ -58,3 +58,8 @@ def test_failures_take_one_pass_over_the_series(spark, small):
 def test_failed_cells_without_a_join(spark, small):
     cells = QUERIES["failure_cells"](spark, small)
     assert passes(cells) == (1, 0) and "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_common_series_of_failures(spark, small):
+    """The count of the models reads the series again: two passes, whatever their number."""
+    assert passes(QUERIES["failure_common"](spark, small)) == (2, 0)
