@@ -63,3 +63,7 @@ def test_failed_cells_without_a_join(spark, small):
 def test_common_series_of_failures(spark, small):
     """The count of the models reads the series again: two passes, whatever their number."""
     assert passes(QUERIES["failure_common"](spark, small)) == (2, 0)
+
+
+def test_captured_failures_make_no_frame_a_series(spark, small):
+    assert passes(QUERIES["captured_failures"](spark, small)) == (1, 0)
