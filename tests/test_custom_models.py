@@ -67,3 +67,7 @@ def test_common_series_of_failures(spark, small):
 
 def test_captured_failures_make_no_frame_a_series(spark, small):
     assert passes(QUERIES["captured_failures"](spark, small)) == (1, 0)
+
+
+def test_coverage_makes_no_frame_a_series(spark, small):
+    assert passes(QUERIES["model_coverage"](spark, small)) == (1, 0)
