@@ -71,3 +71,7 @@ def test_captured_failures_make_no_frame_a_series(spark, small):
 
 def test_coverage_makes_no_frame_a_series(spark, small):
     assert passes(QUERIES["model_coverage"](spark, small)) == (1, 0)
+
+
+def test_walked_prior_makes_no_frame_a_series(spark, small):
+    assert passes(QUERIES["walked_prior"](spark, small)) == (1, 0)
