@@ -75,3 +75,11 @@ def test_coverage_makes_no_frame_a_series(spark, small):
 
 def test_walked_prior_makes_no_frame_a_series(spark, small):
     assert passes(QUERIES["walked_prior"](spark, small)) == (1, 0)
+
+
+def test_common_series_make_their_rows_once(spark, small):
+    """The models' count takes the shuffle of the series' rows from the other branch."""
+    common = QUERIES["failure_common"](spark, small)
+    assert common.count() == len(common.collect()) > 0
+    final = common._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 1 and "ReusedExchange" in final

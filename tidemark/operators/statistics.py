@@ -43,7 +43,8 @@ def complete(rows: DataFrame, models: Sequence[str], metric: str) -> DataFrame:
 
 def common_series(rows: DataFrame, metric: str, unit: Sequence[str] = UNIT, by: Sequence[str] = ()) -> DataFrame:
     """Units for which every model (of their group ``by``) has a value."""
-    k = rows.groupBy(*by).agg(F.count_distinct("model").alias("k"))
+    # the models' count reads the values too: alike in both branches, the rows' last shuffle is made once
+    k = rows.groupBy(*by).agg(F.count_distinct("model").alias("k"), F.count(metric).alias("n")).where("n > 0").select(*by, "k")
     have = rows.where(f"{metric} is not null").groupBy(*by, *unit).agg(F.count_distinct("model").alias("m"))
     have = have.join(k, list(by)) if by else have.crossJoin(F.broadcast(k))
     return have.where("m = k").select(*by, *unit)
