@@ -173,6 +173,19 @@ def test_codec_groups(monkeypatch):
     assert (np.frombuffer(_codec.encode(x), "<u4")[5:8] == first).all()
 
 
+def test_codec_carries(monkeypatch):
+    """Blocks beside each other that are counted in several strips, of 16 and 32 bits; a carry goes through words that are full."""
+    monkeypatch.setattr(_codec, "_STRIP", 2)
+    rng = np.random.default_rng(2)
+    n = _codec.BLOCK
+    x = np.concatenate([np.repeat(rng.integers(0, 65536, n), 3), rng.zipf(1.1, 8 * n + 5) % 65536, np.full(n, 65535), rng.integers(65500, 65536, n)])
+    assert (_codec.decode(_codec.encode(x)) == x).all()
+    wide = x * 65537
+    assert (_codec.decode(_codec.encode(wide, True)) == wide).all()
+    own = np.array([1, 0xFFFFFFFF, 0x1FFFFFFFF, 7, 0xFFFFFFFF, 0x100000000, 3], np.uint64)
+    assert _codec._carried(own).tolist() == [2, 0, 0xFFFFFFFF, 8, 0, 0, 3]
+
+
 def test_codec_is_below_order_0():
     """Fewer bits an id than zlib takes for the whole, and than the ids' own entropy without context, on real texts."""
     import pyarrow.parquet as pq

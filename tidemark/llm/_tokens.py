@@ -56,6 +56,7 @@ _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: The characters that byte-level vocabularies write for bytes: printable ones themselves, the k-th other one as 256 + k.
 _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SAME)))}
+_KINDS, _FOLDED = _KIND.tobytes(), _FOLD.tobytes()
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -86,7 +87,7 @@ class Encoder:
     def _learn(self, pieces: list[bytes]) -> None:
         got, rest, tokenize = [], [], self.tokenizer.model.tokenize
         for x in pieces:
-            if _PLAIN.fullmatch(x):
+            if x.isalpha() or _PLAIN.fullmatch(x):  # of ASCII, or with Latin-1
                 got.append([t.id for t in tokenize(x.decode() if x.isascii() else x.decode("latin1").translate(_BYTES))])
             else:
                 rest.append(len(got))
@@ -109,7 +110,7 @@ class Encoder:
         if len(self.memo) > MEMO // 2:
             self._reset()
         data, offsets = utf8(texts)
-        kind = _KIND[data]
+        kind = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
         solid = kind != _BLANK
         first = solid.copy()
         first[1:] &= ~solid[:-1]
@@ -131,7 +132,7 @@ class Encoder:
         counts = np.diff(np.searchsorted(np.flatnonzero(first), offsets))
         if not len(starts):
             return np.zeros(0, np.int64), counts
-        packed = _FOLD[data[solid]]
+        packed = data[solid].tobytes().translate(_FOLDED)
         # equal pieces meet before any becomes a Python object
         off = np.append(starts, len(packed)).astype(np.int32)
         own = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(packed)]).dictionary_encode()
