@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -186,6 +187,31 @@ def test_codec_carries(monkeypatch):
     assert _codec._carried(own).tolist() == [2, 0, 0xFFFFFFFF, 8, 0, 0, 3]
 
 
+def test_codec_takes_fewer_passes_than_ids(monkeypatch):
+    """The encoder looks up shares of many steps at once, and the ids come back whatever that number."""
+    rng = np.random.default_rng(3)
+    n = _codec.BLOCK
+    x = np.concatenate([rng.zipf(1.2, 2 * n + 77) % 50_000, np.tile(rng.integers(0, 99, 60), 50)])
+    coded = _codec.encode(x)
+    for k in (1, 7, 64):
+        monkeypatch.setattr(_codec, "_AHEAD", k)
+        assert _codec.encode(x) == coded
+    assert (_codec.decode(coded) == x).all()
+
+
+def test_new_pieces_are_learned_once():
+    """Pieces met before, new ones, and slices of arrays have the library's ids."""
+    from tidemark.llm._tokens import Encoder, _bytes
+
+    a = pa.array([b"", b"ab", b"\xc3\xa9", b"c"])
+    assert _bytes(a) == a.to_pylist() and _bytes(a[1:3]) == [b"ab", b"\xc3\xa9"]
+    e = Encoder(Q.vocabulary())
+    for texts in (["one two", "two three"], ["three four one", None, ""], ["one"]):
+        flat, counts = e.encode(pa.array(texts, pa.string()))
+        want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
 def test_codec_is_below_order_0():
     """Fewer bits an id than zlib takes for the whole, and than the ids' own entropy without context, on real texts."""
     import pyarrow.parquet as pq

@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,13 @@ _KINDS, _FOLDED = _KIND.tobytes(), _FOLD.tobytes()
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _bytes(a: pa.BinaryArray) -> list[bytes]:
+    """As ``to_pylist`` of an array without nulls, by slices of one string."""
+    off = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset)
+    data = a.buffers()[2].slice(int(off[0]), int(off[-1] - off[0])).to_pybytes()
+    return [data[i:j] for i, j in pairwise((off - off[0]).tolist())]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,11 +143,12 @@ class Encoder:
         # equal pieces meet before any becomes a Python object
         off = np.append(starts, len(packed)).astype(np.int32)
         own = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(packed)]).dictionary_encode()
-        keys = own.dictionary.to_pylist()
-        new = [x for x in keys if x not in self.memo]
-        if new:
-            self._learn(new)
-        numbers = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        keys = _bytes(own.dictionary)
+        numbers = np.fromiter(map(self.memo.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+            self._learn([keys[i] for i in new.tolist()])
         return numbers[own.indices.to_numpy()], counts
 
     def _by_words(self, texts: pa.Array, wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
